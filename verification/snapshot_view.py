@@ -7,6 +7,7 @@ in Spark and in DuckDB.
 
 from pyspark.sql import DataFrame, SparkSession
 
+from workload_lens.session import tune
 from workload_lens.sources.snapshots import as_snapshots
 
 BASE_CTES = """
@@ -43,31 +44,97 @@ snap as (
 """
 
 
-def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+# Snapshots with rows that break constraints.
+DAMAGED_CTES = (
+    BASE_CTES
+    + """,
+damaged as (
+  select window_start,
+    case when cast(rows as bigint) % 7 = 3 then window_start else window_end end as window_end,
+    cluster, role, userid, dbid,
+    case when cast(rows as bigint) % 11 = 5 then null else query end as query,
+    cast(calls as bigint) - cast(rows as bigint) % 2 as c, rows
+  from snap)
+"""
+)
+
+# Snapshots in which some statements are cut off or empty.
+BROKEN_CTES = (
+    BASE_CTES
+    + """,
+broken as (
+  select window_start, window_end, project, environment, cluster, role, fqdn, userid, dbid, calls,
+    case when cast(rows as bigint) % 17 = 4 then ''
+         when cast(rows as bigint) % 5 = 2 then concat(query, ' and x = ''cut')
+         else query end as query
+  from snap)
+"""
+)
+
+# Statements with lists of constants of different lengths.
+LIST_CTES = (
+    BASE_CTES
+    + """,
+lists as (
+  select case when k % 2 = 0
+      then concat('select * from t where k in (', cast(k as varchar(10)), repeat(', 7', cast(user_id % 4 as int)), ')')
+      else concat('insert into t (a, b) values (', cast(k as varchar(10)), ', 1)', repeat(', (2, 3)', cast(user_id % 3 as int))) end as query
+  from stmt)
+"""
+)
+
+# Windows that reach from the first to the last call of a day.
+CUT_CTES = """
+cut as (
+  select min(ts) as window_start, max(ts) + interval '1' second as window_end,
+    'shop' as project, 'production' as environment,
+    concat('c', cast(user_id % 3 as varchar(10))) as cluster,
+    case when user_id % 2 = 0 then 'primary' else 'secondary' end as role,
+    concat('db-c', cast(user_id % 3 as varchar(10)), '-', cast(user_id % 2 as varchar(10)), '.example') as fqdn
+  from (select cast(ts as timestamp) as ts, user_id from events) e
+  group by date_trunc('day', ts), user_id % 3, user_id % 2)
+"""
 
 
-def with_ctes(spark: SparkSession, sf_dir: str, ctes: str, body: str) -> DataFrame:
+def events_table(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    if not stream:
+        return spark.read.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+def with_ctes(
+    spark: SparkSession, sf_dir: str, ctes: str, body: str, stream: bool = False
+) -> DataFrame:
     """Run ``body`` over the events table and common table expressions."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    tune(spark)
     text = f"with {ctes} {body}".replace("from events", "from {events}")
-    return spark.sql(text, events=events_table(spark, sf_dir))
+    return spark.sql(text, events=events_table(spark, sf_dir, stream))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_snapshots(with_ctes(spark, sf_dir, BASE_CTES, "select * from snap"))
 
 
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+CALL_CTES = (
+    BASE_CTES.split("snap as (")[0]
+    .replace("select ws, user_id,", "select ts, ws, user_id,")
+    .replace("select event_id,", "select cast(ts as timestamp) as ts, event_id,")
+    + """call as (
+  select ts, 'shop' as project, 'production' as environment,
+    concat('c', cast(cl as varchar(10))) as cluster,
+    case when ro = 0 then 'primary' else 'secondary' end as role,
+    concat('db-c', cast(cl as varchar(10)), '-', cast(ro as varchar(10)), '.example') as fqdn,
+    ro + 10 as userid, cl + 1 as dbid, query, value as duration, k as rows,
+    k * 3 as shared_blks_hit, k % 7 as shared_blks_read, k % 5 as shared_blks_dirtied,
+    k % 3 as shared_blks_written, k % 11 as local_blks_hit, k % 13 as local_blks_read,
+    k % 17 as local_blks_dirtied, k % 19 as local_blks_written, k % 23 as temp_blks_read,
+    k % 29 as temp_blks_written, value * 0.25 as blk_read_time, value * 0.125 as blk_write_time
+  from stmt)
+"""
+)
+
+
+def calls(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """The single calls behind the snapshots."""
-    body = """
-      select s.*, 'shop' as project, 'production' as environment,
-        concat('c', cast(cl as varchar(10))) as cluster,
-        case when ro = 0 then 'primary' else 'secondary' end as role,
-        concat('db-c', cast(cl as varchar(10)), '-', cast(ro as varchar(10)), '.example') as fqdn,
-        ro + 10 as userid, cl + 1 as dbid, value as duration, k as rows
-      from stmt s"""
-    ctes = BASE_CTES.split("snap as (")[0].rstrip().rstrip(",")
-    ctes = ctes.replace("select ws, user_id,", "select ts, ws, user_id,")
-    ctes = ctes.replace("select event_id,", "select cast(ts as timestamp) as ts, event_id,")
-    return with_ctes(spark, sf_dir, ctes, body)
+    return with_ctes(spark, sf_dir, CALL_CTES, "select * from call", stream)

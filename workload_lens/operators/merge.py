@@ -25,7 +25,8 @@ def statement_texts(
     snapshots, and the text work is done here only.
     """
     texts = snapshots.groupBy("query").agg(F.min("window_start").alias("first_seen"))
-    texts = add_fingerprint(texts, "query", collapse_lists)
+    seen = F.col("first_seen").isNotNull()
+    texts = add_fingerprint(texts, "query", collapse_lists, present=seen)
     return extract_context(texts, "query", patterns)
 
 

@@ -59,7 +59,8 @@ def topk_union(
         salted = ranked.withColumn("salt", F.pmod("d1", F.lit(_SALTS)))
         ranked = _first_in_group(salted, [*group, "metric", "salt"], order, k).drop("salt")
     winners = _first_in_group(ranked, [*group, "metric"], order, k).select("d1", "d2").distinct()
-    return keyed.join(winners, ["d1", "d2"], "left_semi").select(columns).distinct()
+    kept = keyed.join(winners, ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
+    return kept.select(columns)
 
 
 def topk_union_branches(snapshots: DataFrame, k: int = 100) -> DataFrame:

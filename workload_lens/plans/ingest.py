@@ -1,7 +1,7 @@
 """From snapshots to the star schema."""
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workload_lens.config import JobConfig
@@ -34,7 +34,9 @@ from workload_lens.sources.star import (
     table_path,
 )
 
-_WINDOW_COLUMNS = [F.col(c).alias(f"observed_{c}") for c in WINDOW]
+
+def _observed_window() -> list[Column]:
+    return [F.col(c).alias(f"observed_{c}") for c in WINDOW]
 
 
 def events_fact(merged: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def events_fact(merged: DataFrame) -> DataFrame:
         hash_id("fingerprint").alias("fingerprint_id"),
         hash_id(*LOGICAL_SOURCE).alias("logical_source_id"),
         hash_id("fqdn").alias("physical_source_id"),
-        *_WINDOW_COLUMNS,
+        *_observed_window(),
         F.current_timestamp().alias("recorded_at"),
         "calls",
         F.col("total_time").alias("time"),
@@ -62,7 +64,7 @@ def event_context_fact(histogram: DataFrame) -> DataFrame:
         event_id().alias("event_id"),
         hash_id("fingerprint").alias("fingerprint_id"),
         hash_id(*LOGICAL_SOURCE).alias("logical_source_id"),
-        *_WINDOW_COLUMNS,
+        *_observed_window(),
         *[hash_id(c).alias(f"{c}_id") for c in CONTEXT],
         "c",
         F.to_date("window_start").alias("observed_date"),
