@@ -137,13 +137,17 @@ STATS_SELECT = (
 )
 
 # The reporting period: three days up to the end of the data, cluster c1.
-PERIOD = (
-    "observed_window_start >= timestamp '2024-01-28' and observed_window_end <= timestamp '2024-01-31'"
-)
+def period(table: str) -> str:
+    return (
+        f"{table}.observed_window_start >= timestamp '2024-01-28'"
+        f" and {table}.observed_window_end <= timestamp '2024-01-31'"
+    )
+
+
 PERIOD_STAR = f"""{STAR},
 sources as (select * from logical_sources
             where project = 'shop' and environment = 'production' and cluster = 'c1'),
-pe as (select ev.* from ev join sources on sources.id = logical_source_id where {PERIOD}),
+pe as (select ev.* from ev join sources on sources.id = logical_source_id where {period('ev')}),
 totals as (
   select fingerprint_id, sum(calls) as calls, sum(time) as total_ms,
     sum(time) / sum(calls) as avg_ms_per_call from pe group by fingerprint_id)"""
@@ -161,7 +165,7 @@ def contexts_cte() -> str:
     return f""",
 tc as (
   select ec.* from ec join pe on pe.id = ec.event_id
-  where ec.fingerprint_id in (select fingerprint_id from top) and ec.{PERIOD}),
+  where ec.fingerprint_id in (select fingerprint_id from top) and {period('ec')}),
 times as (select fingerprint_id, controller_id, action_id, job_tag_id, sum(c)::bigint as times
           from tc group by all),
 ranked as (
@@ -189,7 +193,7 @@ by_role as (
   select cluster, role, {ids}, sum({weight}) as calls
   from ev join logical_sources l on l.id = ev.logical_source_id
   join ec on ec.event_id = ev.id
-  where project = 'shop' and environment = 'production' and ev.{PERIOD} and ({some})
+  where project = 'shop' and environment = 'production' and {period('ev')} and ({some})
   group by cluster, role, {ids}),
 pairs as (
   select p.cluster, {pick}, p.calls as primary_calls, s.calls as secondary_calls
@@ -363,7 +367,7 @@ ORACLES: dict[str, str] = {
         {f7("sum(total_time) over (partition by fingerprint order by window_start)", "time_since_start")}
       from w""",
     "window_containment_filter": f"""with {STAR}
-      select * replace ({f7("time")}) from ev where {PERIOD}""",
+      select * replace ({f7("time")}) from ev where {period('ev')}""",
     "fingerprint_totals": f"""with {PERIOD_STAR}
       select fingerprint_id, calls, {f7("total_ms")}, {f7("avg_ms_per_call")} from totals""",
     "fingerprint_window_avg": f"""with {PERIOD_STAR}

@@ -100,7 +100,9 @@ def events_table(spark: SparkSession, sf_dir: str, stream: bool = False) -> Data
     path = f"{sf_dir}/events.parquet"
     if not stream:
         return spark.read.parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # As a pattern, so that one file serves as well as a folder of files.
+    pattern = f"{sf_dir}/event[s].parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
 
 
 def with_ctes(
