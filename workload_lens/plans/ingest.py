@@ -1,7 +1,11 @@
 """From snapshots to the star schema."""
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from workload_lens.config import JobConfig
@@ -31,6 +35,7 @@ from workload_lens.sources.star import (
     create_star,
     read_table,
     replace_batch,
+    stored_days,
     table_path,
 )
 
@@ -94,18 +99,15 @@ def derive_star(snapshots: DataFrame, config: JobConfig | None = None) -> Star:
     )
 
 
-def _without_stored(fine: DataFrame, root: str, batch_id: str) -> DataFrame:
+def _without_stored(fine: DataFrame, root: str, batch_id: str, days: Row) -> DataFrame:
     """Drop statements that another batch has stored, so a snapshot that comes twice counts once.
 
     Only the days that the batch covers are read from the store.
     """
-    days = fine.agg(
-        F.to_date(F.min("window_start")).alias("first"),
-        F.to_date(F.max("window_start")).alias("last"),
-    ).first()
-    if days is None or days["first"] is None:
+    spark = fine.sparkSession
+    if days["first"] is None or not stored_days(spark, root, "statement_events"):
         return fine
-    stored = read_table(fine.sparkSession, root, "statement_events").where(
+    stored = read_table(spark, root, "statement_events").where(
         F.col("observed_date").between(F.lit(days["first"]), F.lit(days["last"]))
         & (F.col("batch_id") != batch_id)
     )
@@ -138,25 +140,44 @@ def ingest_batch(
     keys = EVENT_KEY + CONTEXT
     every = accumulate(annotate(snapshots, texts), [*keys, "reject_reason"]).persist(level)
     try:
-        fresh = _without_stored(accepted(every), root, batch_id)
+        # Also fills both caches before the writes below share them.
+        days = every.agg(
+            F.to_date(F.min("window_start")).alias("first"),
+            F.to_date(F.max("window_start")).alias("last"),
+        ).first()
+        fresh = _without_stored(accepted(every), root, batch_id, days)
         merged = finish(combine(fresh, EVENT_KEY), EVENT_KEY)
 
-        for table, natural_key in DIMENSIONS.items():
+        def add_members(table: str) -> None:
             known = read_table(spark, root, table)
             if table == "fingerprints":
                 append(new_fingerprints(texts, known), root, table)
             else:
                 seen = every if table.endswith("_sources") else accepted(texts)
-                append(new_members(seen, natural_key, known), root, table)
-        replace_batch(event_context_fact(fresh), root, "event_context", batch_id)
-        replace_batch(fingerprint_stats(merged), root, "fingerprint_stats", batch_id)
-        _log_batch(every, texts, root, batch_id)
+                append(new_members(seen, DIMENSIONS[table], known), root, table)
+
+        _side_by_side(
+            spark,
+            lambda: replace_batch(event_context_fact(fresh), root, "event_context", batch_id),
+            lambda: replace_batch(fingerprint_stats(merged), root, "fingerprint_stats", batch_id),
+            *[partial(add_members, table) for table in DIMENSIONS],
+            lambda: _log_batch(batch_quality(every), root, "window_quality", batch_id),
+            lambda: _log_batch(rejected_texts(texts), root, "rejects", batch_id),
+        )
         replace_batch(events_fact(merged), root, "statement_events", batch_id)
     finally:
         every.unpersist()
         texts.unpersist()
 
 
+def _side_by_side(spark: SparkSession, *writes: Callable[[], None]) -> None:
+    """Submit independent writes together, so that small ones do not leave cores idle."""
+    run = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        for done in [pool.submit(run(write)) for write in writes]:
+            done.result()
+
+
 def batch_quality(every: DataFrame) -> DataFrame:
     """Window quality from accumulated statements."""
     rejected = F.sum(F.when(F.col("reject_reason").isNotNull(), F.col("statements")))
@@ -167,15 +188,17 @@ def batch_quality(every: DataFrame) -> DataFrame:
     )
 
 
-def _log_batch(every: DataFrame, texts: DataFrame, root: str, batch_id: str) -> None:
-    """Keep the counts per window and the rejected texts of a batch."""
+def rejected_texts(texts: DataFrame) -> DataFrame:
     rejects = texts.where(F.col("reject_reason").isNotNull())
-    rejects = rejects.select("query", "reject_reason", "first_seen")
-    for table, rows in {"window_quality": batch_quality(every), "rejects": rejects}.items():
-        (
-            rows.withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(table_path(root, table))
-        )
+    return rejects.select("query", "reject_reason", "first_seen")
+
+
+def _log_batch(rows: DataFrame, root: str, table: str, batch_id: str) -> None:
+    """Keep rows about a batch, replacing those of an earlier attempt."""
+    (
+        rows.withColumn("batch_id", F.lit(batch_id))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch_id")
+        .parquet(table_path(root, table))
+    )

@@ -44,14 +44,34 @@ def table_path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 
 
+def _file_system(spark: SparkSession, folder: str):
+    """Hadoop file system and path of a folder, so that any shared storage works."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def stored_days(spark: SparkSession, root: str, table: str) -> dict[date, str]:
+    """Day -> folder of a fact table, from one listing of its top level."""
+    fs, path = _file_system(spark, table_path(root, table))
+    days = {}
+    for status in fs.listStatus(path):
+        key, _, day = status.getPath().getName().partition("=")
+        if key == "observed_date":
+            days[date.fromisoformat(day)] = status.getPath().toString()
+    return days
+
+
 def create_star(spark: SparkSession, root: str) -> None:
     """Create the tables that do not exist yet; the sources get their "everywhere" row."""
     for table, schema in STAR.items():
-        empty = spark.createDataFrame([], schema)
+        fs, path = _file_system(spark, table_path(root, table))
+        if fs.exists(path):
+            continue
         if table == "logical_sources":
-            empty = everywhere_source(empty)
-        writer = empty.write.mode("ignore")
-        writer.partitionBy(*PARTITIONS.get(table, [])).parquet(table_path(root, table))
+            seed = everywhere_source(spark.createDataFrame([], schema))
+            seed.write.mode("ignore").parquet(table_path(root, table))
+        else:
+            fs.mkdirs(path)
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -89,25 +109,16 @@ def retained(facts: DataFrame, as_of: date, days: int = 21) -> DataFrame:
     return facts.where(F.col("observed_date") >= F.lit(as_of - timedelta(days=days)))
 
 
-def expired_partitions(spark: SparkSession, root: str, as_of: date, days: int = 21) -> list[str]:
-    """Day folders of both facts that are past retention (one name per day)."""
-    oldest = as_of - timedelta(days=days)
-    jvm = spark._jvm
-    expired = []
-    for table in ("statement_events", "event_context"):
-        folder = jvm.org.apache.hadoop.fs.Path(table_path(root, table))
-        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        for status in fs.listStatus(folder):
-            key, _, day = status.getPath().getName().partition("=")
-            if key == "observed_date" and date.fromisoformat(day) < oldest:
-                expired.append(status.getPath().toString())
-    return sorted(expired)
-
-
 def drop_expired(spark: SparkSession, root: str, as_of: date, days: int = 21) -> list[str]:
     """Delete the day folders past retention: no file is read or rewritten."""
-    expired = expired_partitions(spark, root, as_of, days)
-    for name in expired:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return expired
+    oldest = as_of - timedelta(days=days)
+    expired = [
+        folder
+        for table in ("statement_events", "event_context")
+        for day, folder in stored_days(spark, root, table).items()
+        if day < oldest
+    ]
+    for folder in expired:
+        fs, path = _file_system(spark, folder)
+        fs.delete(path, True)
+    return sorted(expired)
