@@ -52,8 +52,8 @@ def comparable(df: DataFrame, *columns: str) -> DataFrame:
     """Seven significant digits of floating results: sums differ in the last ones by order."""
 
     def seven_digits(c: str) -> Column:
-        value = F.when(F.abs(F.col(c)) < 1e-9, F.lit(0.0)).otherwise(F.col(c).cast("double"))
-        return value.cast("float").cast("double")
+        value = f"case when abs({c}) < 1e-9D then 0D else cast({c} as double) end"
+        return F.expr(f"cast(cast({value} as float) as double)")
 
     return df.withColumns({c: seven_digits(c) for c in columns})
 
@@ -194,9 +194,10 @@ def preview(spark, sf_dir):
 
 def collapse_in_list(spark, sf_dir):
     lists = view.with_ctes(spark, sf_dir, view.LIST_CTES, "select * from lists")
-    collapsed = add_canonical_text(lists, "query", "collapsed", collapse_lists=True)
+    texts = lists.groupBy("query").agg(F.count(F.lit(1)).alias("calls"))
+    collapsed = add_canonical_text(texts, "query", "collapsed", collapse_lists=True)
     return collapsed.groupBy("collapsed").agg(
-        F.count_distinct("query").alias("texts"), F.count(F.lit(1)).alias("calls")
+        F.count(F.lit(1)).alias("texts"), F.sum("calls").alias("calls")
     )
 
 

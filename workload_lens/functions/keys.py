@@ -8,20 +8,22 @@ that meet in one id are found by ``checks.unique_violations`` on the dimension.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SEPARATOR = "\x1f"
+from workload_lens.schemas import SOURCE
 
-
-def hash_id(*parts: Column | str) -> Column:
+def hash_id_sql(*parts: str) -> str:
     """Positive 60-bit id of a natural key; NULL if any part is NULL."""
-    cols = [F.col(p) if isinstance(p, str) else p for p in parts]
-    text = F.concat(*[c for col in cols for c in (col, F.lit(_SEPARATOR))][:-1])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    text = ", char(31), ".join(parts)
+    return f"cast(conv(substring(md5(concat({text})), 1, 15), 16, 10) as bigint)"
+
+
+def hash_id(*parts: str) -> Column:
+    return F.expr(hash_id_sql(*parts))
 
 
 def event_id() -> Column:
     """Id of one merged statement: fingerprint, source and start of the window."""
-    start = F.unix_micros("window_start").cast("string")
-    return hash_id("fingerprint", "project", "environment", "cluster", "role", "fqdn", start)
+    start = "cast(unix_micros(window_start) as string)"
+    return hash_id("fingerprint", *SOURCE, start)
 
 
 def row_digest(columns: list[str]) -> list[Column]:

@@ -18,33 +18,30 @@ def moment_parts(
     n: str, mean: str, deviation: str, prefix: str = "", ddof: int = 0
 ) -> list[Column]:
     """Aggregates over raw triples."""
-    count, m, d = F.col(n), F.col(mean), F.col(deviation)
-    freedom = F.greatest(count - F.lit(float(ddof)), F.lit(0.0))
-    seen = F.when(count > 0, m)
-    return [
-        F.sum(count).alias(f"{prefix}n"),
-        F.sum(count * m).alias(f"{prefix}nm"),
-        F.sum(count * m * m).alias(f"{prefix}nm2"),
-        F.sum(freedom * d * d).alias(f"{prefix}within"),
-        F.min(seen).alias(f"{prefix}lo"),
-        F.max(seen).alias(f"{prefix}hi"),
-    ]
+    aggregates = {
+        "n": f"sum({n})",
+        "nm": f"sum({n} * {mean})",
+        "nm2": f"sum({n} * {mean} * {mean})",
+        "within": f"sum(greatest({n} - {float(ddof)}D, 0D) * {deviation} * {deviation})",
+        "lo": f"min(case when {n} > 0 then {mean} end)",
+        "hi": f"max(case when {n} > 0 then {mean} end)",
+    }
+    return [F.expr(f"{aggregates[p]} as {prefix}{p}") for p in PARTS]
 
 
 def combine_parts(prefix: str = "") -> list[Column]:
     """Aggregates that merge parts to a coarser key."""
-    fold = {"lo": F.min, "hi": F.max}
-    return [fold.get(p, F.sum)(f"{prefix}{p}").alias(f"{prefix}{p}") for p in PARTS]
+    fold = {"lo": "min", "hi": "max"}
+    return [F.expr(f"{fold.get(p, 'sum')}({prefix}{p}) as {prefix}{p}") for p in PARTS]
 
 
 def pooled_mean(prefix: str = "") -> Column:
-    n, nm = F.col(f"{prefix}n"), F.col(f"{prefix}nm")
-    return F.coalesce(F.try_divide(nm, n), F.lit(0.0))
+    return F.expr(f"coalesce(try_divide({prefix}nm, {prefix}n), 0D)")
 
 
 def pooled_deviation(prefix: str = "", ddof: int = 0) -> Column:
-    n, nm, nm2, within, lo, hi = (F.col(f"{prefix}{p}") for p in PARTS)
-    between = F.when(lo < hi, F.greatest(nm2 - nm * F.try_divide(nm, n), F.lit(0.0)))
-    spread = within + F.coalesce(between, F.lit(0.0))
-    freedom = n - F.lit(float(ddof))
-    return F.coalesce(F.when(freedom > 0, F.sqrt(spread / freedom)), F.lit(0.0))
+    n, nm, nm2, within, lo, hi = (prefix + p for p in PARTS)
+    between = f"case when {lo} < {hi} then greatest({nm2} - {nm} * try_divide({nm}, {n}), 0D) end"
+    spread = f"({within} + coalesce({between}, 0D))"
+    freedom = f"({n} - {float(ddof)}D)"
+    return F.expr(f"case when {freedom} > 0 then sqrt({spread} / {freedom}) else 0D end")

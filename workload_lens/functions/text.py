@@ -155,22 +155,16 @@ def add_fingerprint(
     df: DataFrame,
     text: str = "query",
     collapse_lists: bool = False,
-    present: Column | None = None,
 ) -> DataFrame:
     """Add ``fingerprint`` and ``reject_reason``; exactly one of the two is NULL.
 
     Empty statements are rejected. One that cannot be split into lexical elements falls
     back to the key of its raw text, unless it names a cursor or a temp table: those would
     add one key per use.
-
-    ``present`` is a condition that a row has to meet as well. With one on an aggregate,
-    Spark cannot move a filter on the reason, and the text work in it, below the aggregation.
     """
     df = add_canonical_text(df, text, "canonical", collapse_lists)
     bare = F.col("canonical_bare")
     blank = F.coalesce(F.rlike(bare, F.lit(_BLANK)), F.lit(True))
-    if present is not None:
-        blank = ~present | blank
     well_formed = F.rlike(bare, F.lit(_WELL_FORMED))
     grows_with_use = F.rlike(text, F.lit(f"{_TEMP_TABLE}|{_CURSOR}"))
     df = df.withColumn("well_formed", well_formed).withColumn(

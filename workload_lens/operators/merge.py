@@ -14,6 +14,11 @@ from workload_lens.functions.text import add_fingerprint
 from workload_lens.schemas import ADDITIVE_METRICS, CONTEXT, EVENT_KEY, METRICS
 
 
+# How a metric of several statements is merged; the mean and the deviation are pooled.
+_MERGE = {"min_time": "min", "max_time": "max"}
+_DIRECT = [*ADDITIVE_METRICS, *_MERGE]
+
+
 def statement_texts(
     snapshots: DataFrame,
     patterns: dict[str, str] | None = None,
@@ -22,12 +27,14 @@ def statement_texts(
     """Every distinct text once, with its fingerprint, its context and when it came first.
 
     A statement comes back in window after window, so this is far smaller than the
-    snapshots, and the text work is done here only.
+    snapshots, and the text work is done here only. What is derived from a text depends on
+    an aggregate as well, so that Spark cannot move a filter on it, and with the filter the
+    text work, below the aggregation and onto every row.
     """
     texts = snapshots.groupBy("query").agg(F.min("window_start").alias("first_seen"))
-    seen = F.col("first_seen").isNotNull()
-    texts = add_fingerprint(texts, "query", collapse_lists, present=seen)
-    return extract_context(texts, "query", patterns)
+    texts = texts.withColumn("text", F.when(F.col("first_seen").isNotNull(), F.col("query")))
+    texts = add_fingerprint(texts, "text", collapse_lists)
+    return extract_context(texts, "text", patterns).drop("text")
 
 
 def annotate(snapshots: DataFrame, texts: DataFrame | None = None, **options) -> DataFrame:
@@ -53,9 +60,7 @@ def accumulate(statements: DataFrame, keys: list[str]) -> DataFrame:
     """Mergeable sums. All buffers have a fixed width, so Spark can aggregate by hash."""
     return statements.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("statements"),
-        *[F.sum(m).alias(m) for m in ADDITIVE_METRICS],
-        F.min("min_time").alias("min_time"),
-        F.max("max_time").alias("max_time"),
+        *[F.expr(f"{_MERGE.get(m, 'sum')}({m}) as {m}") for m in _DIRECT],
         F.sum(F.col("calls").cast("long")).alias("c"),
         *moment_parts("calls", "mean_time", "stddev_time", prefix="m_"),
     )
@@ -65,9 +70,7 @@ def combine(accumulated: DataFrame, keys: list[str]) -> DataFrame:
     """The same sums at a coarser key."""
     return accumulated.groupBy(*keys).agg(
         F.sum("statements").alias("statements"),
-        *[F.sum(m).alias(m) for m in ADDITIVE_METRICS],
-        F.min("min_time").alias("min_time"),
-        F.max("max_time").alias("max_time"),
+        *[F.expr(f"{_MERGE.get(m, 'sum')}({m}) as {m}") for m in _DIRECT],
         F.sum("c").alias("c"),
         *combine_parts("m_"),
     )

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from workload_lens.functions.keys import hash_id
+from workload_lens.functions.keys import hash_id_sql
 from workload_lens.functions.moments import moment_parts, pooled_deviation, pooled_mean
 from workload_lens.schemas import EVERYWHERE_ID, LOGICAL_SOURCE, METRICS, STAR
 
@@ -20,37 +20,24 @@ def fingerprint_stats(merged: DataFrame) -> DataFrame:
     0). All metrics are aggregated side by side in one wide pass and turned into rows at
     the end, so the shuffle carries one row per key and split instead of nineteen.
     """
-    keyed = merged.select(
-        hash_id("fingerprint").alias("fingerprint_id"),
-        F.explode(F.array(F.lit(EVERYWHERE_ID).cast("long"), hash_id(*LOGICAL_SOURCE))).alias(
-            "logical_source_id"
-        ),
+    sources = f"array({EVERYWHERE_ID}L, {hash_id_sql(*LOGICAL_SOURCE)})"
+    keyed = merged.selectExpr(
+        f"{hash_id_sql('fingerprint')} as fingerprint_id",
+        f"explode({sources}) as logical_source_id",
         "window_end",
         *METRICS,
     )
-    aggregates = [
-        a
-        for m in METRICS
-        for a in (
-            F.count(m).alias(f"{m}_count"),
-            F.avg(m).alias(f"{m}_mean"),
-            F.stddev_samp(m).alias(f"{m}_dev"),
-        )
-    ]
     wide = keyed.groupBy("fingerprint_id", "logical_source_id").agg(
-        F.max("window_end").alias("last"), *aggregates
+        F.max("window_end").alias("last"),
+        *[F.expr(f"{f}({m}) as {m}_{f}") for m in METRICS for f in ("count", "avg", "stddev_samp")],
     )
-    entry = [
-        F.struct(
-            F.lit(m).alias("type"),
-            F.col(f"{m}_count").alias("count"),
-            F.coalesce(f"{m}_mean", F.lit(0.0)).alias("mean"),
-            F.coalesce(f"{m}_dev", F.lit(0.0)).alias("deviation"),
-        )
+    entries = [
+        f"struct('{m}' as type, {m}_count as count, coalesce({m}_avg, 0D) as mean,"
+        f" coalesce({m}_stddev_samp, 0D) as deviation)"
         for m in METRICS
     ]
-    return wide.select(
-        "fingerprint_id", "logical_source_id", "last", F.inline(F.array(*entry))
+    return wide.selectExpr(
+        "fingerprint_id", "logical_source_id", "last", f"inline(array({', '.join(entries)}))"
     ).select(*_STATS_COLUMNS)
 
 

@@ -24,6 +24,8 @@ def build_session(app: str = "workload-lens", **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on; ``conf`` overrides them."""
     settings = {
         **TUNING,
+        # Recording the call site of every column expression slows down building large plans.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

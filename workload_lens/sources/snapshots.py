@@ -21,9 +21,10 @@ def adapt_split_timings(df: DataFrame) -> DataFrame:
 def as_snapshots(df: DataFrame) -> DataFrame:
     """Project to the canonical columns and types; optional ids may be missing."""
     present = set(df.columns)
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+            f"cast({f.name if f.name in present else 'null'} as {f.dataType.simpleString()})"
+            f" as {f.name}"
             for f in SNAPSHOT.fields
         ]
     )

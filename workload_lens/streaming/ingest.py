@@ -1,5 +1,6 @@
 """Structured Streaming twins of the batch jobs."""
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -37,7 +38,13 @@ def start_ingest(
     config = config or JobConfig()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, root, f"stream-{batch_id:012d}", config)
+        # The batch is read several times; its stateful part should run once.
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if not batch.isEmpty():
+                ingest_batch(batch, root, f"stream-{batch_id:012d}", config)
+        finally:
+            batch.unpersist()
 
     writer = snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if once:
