@@ -50,7 +50,7 @@ def test_reports_prune_days_and_columns(spark):
     partitions = scan.split("PartitionFilters: [")[1].split("]")[0]
     assert "observed_date" in partitions and ">=" in partitions and "<=" in partitions
     pushed = scan.split("PushedFilters: [")[1].split("]")[0]
-    assert "GreaterThanOrEqual(observed_window_start" in pushed
+    assert "IsNotNull(observed_window_start)" in pushed and "GreaterThanOrEqual(observed_wi" in pushed
     schema = scan.split("ReadSchema: struct<")[1].split(">")[0]
     assert {c.split(":")[0] for c in schema.split(",")} == {
         "fingerprint_id",
