@@ -1,5 +1,5 @@
 from workload_lens.config import JobConfig
-from workload_lens.functions.context import extract_context, last_group
+from workload_lens.functions.context import extract_context
 
 
 def test_labels(spark):
@@ -27,12 +27,15 @@ def test_labels(spark):
 
 def test_patterns_without_group_or_with_empty_group(spark):
     df = spark.createDataFrame([("x:",), ("y",)], "q string")
-    rows = df.select(
-        last_group("q", "").alias("none"),
-        last_group("q", "x").alias("no_group"),
-        last_group("q", "(?P<key>x):(.*)").alias("empty"),
-    ).collect()
-    assert [tuple(r) for r in rows] == [(None, None, ""), (None, None, None)]
+    patterns = {"none": "", "no_group": "x", "empty": "(?P<key>x):(.*)", "other": "(y)"}
+    rows = extract_context(df, "q", patterns).drop("q").collect()
+    assert [tuple(r) for r in rows] == [(None, None, "", None), (None, None, None, "y")]
+
+
+def test_a_label_ends_before_the_last_end_of_comment(spark):
+    text = "/*action:a*/ select 1 /* b */ from t where x in (1,2)"
+    df = spark.createDataFrame([(text,)], "query string")
+    assert extract_context(df).first().action == "a*/ select 1 /* b "
 
 
 def test_settings_from_json():

@@ -2,33 +2,58 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workload_lens.config import CONTEXT_PATTERNS
 
 # Only a line feed ends a line, so that "." also crosses the rarer Unicode line ends.
 _LINE_FEED_ONLY = "(?d)"
+# A last group that is one or more of a character class is never empty.
+_NEVER_EMPTY = re.compile(r"\(\[(?:\\.|[^\]\\])+\]\+\)(?!.*\((?!\?))")
+_END_OF_COMMENT = r"\*/"
 
 
-def last_group(text: Column | str, pattern: str) -> Column:
-    """Last capture group of the first match; NULL without a match or without a group.
+def _in_java(pattern: str) -> str:
+    return _LINE_FEED_ONLY + pattern.replace("(?P<", "(?<")
 
-    The number of groups is known when the plan is built. A match whose last group is
-    empty gives the empty string.
-    """
-    col = F.col(text) if isinstance(text, str) else text
-    groups = re.compile(pattern).groups
-    if not pattern or groups == 0:
-        return F.lit(None).cast("string")
-    java = _LINE_FEED_ONLY + pattern.replace("(?P<", "(?<")
-    value = F.regexp_extract(col, java, groups)
-    return F.when(value != "", value).when(F.rlike(col, F.lit(java)), F.lit(""))
+
+def _usable(pattern: str) -> bool:
+    return bool(pattern) and re.compile(pattern).groups > 0
 
 
 def extract_context(
     df: DataFrame, text: str = "query", patterns: dict[str, str] | None = None
 ) -> DataFrame:
-    """Add one nullable label column per pattern; the text must still have its comments."""
+    """Add one nullable label column per pattern; the text must still have its comments.
+
+    A label is the last capture group of the first match: NULL without a match or without a
+    group, and the empty string if the group matched nothing. The number of groups is known
+    when the plan is built.
+    """
     patterns = CONTEXT_PATTERNS if patterns is None else patterns
-    return df.withColumns({label: last_group(text, p) for label, p in patterns.items()})
+    usable = {label: p for label, p in patterns.items() if _usable(p)}
+    # A match that ends with the end of a comment cannot reach past the last one, so the
+    # patterns need not search the statement behind it.
+    comments, whole = "context_comments", F.col(text)
+    behind = F.length(F.substring_index(text, "*/", -1))
+    df = df.withColumn(comments, F.left(text, F.length(text) - behind))
+    subject = {
+        label: F.col(comments) if p.endswith(_END_OF_COMMENT) else whole
+        for label, p in usable.items()
+    }
+    df = df.withColumns(
+        {
+            label: F.regexp_extract(subject[label], _in_java(p), re.compile(p).groups)
+            if label in usable
+            else F.lit(None).cast("string")
+            for label, p in patterns.items()
+        }
+    )
+    labels = {}
+    for label, p in usable.items():
+        labels[label] = F.when(F.col(label) != "", F.col(label))
+        if not _NEVER_EMPTY.search(p):
+            matched = F.rlike(subject[label], F.lit(_in_java(p)))
+            labels[label] = labels[label].when(matched, F.lit(""))
+    return (df.withColumns(labels) if labels else df).drop(comments)

@@ -30,12 +30,12 @@ _NAME = r'(?:[\w$]++|"(?:[^"]++|"")*+")'
 # keep their text; a string literal leaves its two quotes, a dollar-quoted one two dollars,
 # a comment nothing. What is left of an unterminated element is an odd quote or "/*".
 _HIDING = (
-    r"(?s)"
+    r"(?s)(?=[-/$'\"bBeEnNuUxX])(?:"
     rf"({_QUOTED_NAME})"
     rf"|(?<![\w$])[eE](')(?:{_ESCAPE_BODY})(')"
     rf"|(?:(?<![\w$])(?:[bBxXnN]|[uU]&))?(')(?:{_PLAIN_BODY})(')"
     r"|(?<![\w$])(\$)((?:[A-Za-z_]\w*+)?)\$.*?\$\7(\$)"
-    rf"|{_COMMENT}"
+    rf"|{_COMMENT})"
 )
 _HIDING_KEEP = "$1$2$3$4$5$6$8 "
 
@@ -43,6 +43,8 @@ _WELL_FORMED = rf"(?s)\A(?:[^'\"/]++|''|{_QUOTED_NAME}|/(?!\*))*+\z"
 _BLANK = r"\A[\s;]*+\z"
 _CONSTANT = rf"''|\$\$|{_PARAMETER}|{_NUMBER}"
 
+_SPACE_AT_PUNCTUATION = r' (?:(?=[^\w\s"$?])|(?<=[^\w\s"$?] ))'
+
 # --- names that differ from run to run -----------------------------------------------------
 _TEMP_TABLE = r"(?i)(?<![\w$])([\w$]+)_temp_table_[0-9a-z]{6,}+([\w$]*+)"
 _CURSOR = r"(?i)(?<![\w$-])([\w$-]+)[_-]cursor_[0-9a-z]++([\w$]*+)"
@@ -117,7 +119,7 @@ def add_canonical_text(
             (r'"([a-z_][a-z0-9_]*+)"', "$1"),
             (_CONSTANT, "?"),
             (r"\s++", " "),
-            (r' ?([^\w\s"$?]) ?', "$1"),
+            (_SPACE_AT_PUNCTUATION, ""),
             (r"\A[ ;]++|[ ;]++\z", ""),
             (_UNARY_MINUS, "$1?"),
             (_FROM_LIST_COMMA, f"$1$2,{_LIST_MARK}"),
