@@ -393,13 +393,16 @@ def ad_hoc_sql(spark, sf_dir):
 
 
 # --- streaming ---------------------------------------------------------------------------------------
-def _folder(spark: SparkSession, sf_dir: str) -> str:
-    return scratch_folder(spark) or f"{sf_dir.rstrip('/')}-stream"
+def _folder(spark: SparkSession) -> str:
+    folder = scratch_folder(spark)
+    if folder is None:
+        raise ValueError("a stream needs a shared folder: set spark.checkpoint.dir")
+    return folder
 
 
 def streaming_tumbling_stats(spark, sf_dir):
     """The tumbling windows computed by a stream over the same table."""
-    folder = _folder(spark, sf_dir)
+    folder = _folder(spark)
     source = view.calls(spark, sf_dir, stream=True)
     windows = tumbling_snapshots(source, "6 hours", counters=["rows"], watermark="0 seconds")
     start_table(windows, f"{folder}/table", f"{folder}/checkpoint", once=True).awaitTermination()
@@ -413,7 +416,7 @@ def streaming_ingest_stats(spark, sf_dir):
     A window reaches the star schema whole, once it is closed. All files that are there
     make up one micro-batch, so their order does not matter.
     """
-    folder = _folder(spark, sf_dir)
+    folder = _folder(spark)
     calls = view.calls(spark, sf_dir, stream=True)
     counters = [m for m in METRICS if m in calls.columns]
     windows = tumbling_snapshots(calls, "1 day", counters=counters, watermark="0 seconds")

@@ -13,6 +13,9 @@ TUNING = {
 }
 
 
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session that somebody else has built."""
     for key, value in TUNING.items():
@@ -27,6 +30,8 @@ def build_session(app: str = "workload-lens", **conf: str) -> SparkSession:
         # Recording the call site of every column expression slows down building large plans.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.adaptive.enabled": "true",
+        # State of open windows on local disk, with changes uploaded to the checkpoint.
+        "spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
@@ -44,7 +49,7 @@ def scratch_folder(spark: SparkSession) -> str | None:
     Without such a setting there is one only in local mode; on a cluster the result is
     ``None``, because a machine-local folder is not visible to the other machines.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             return None

@@ -93,7 +93,10 @@ def read_jdbc_snapshot(
 
 
 def stamp(df: DataFrame, window: tuple[object, object], source: dict[str, str]) -> DataFrame:
-    """Put the bounds of the observation window and the source labels on every row."""
+    """Put the bounds of the observation window and the source labels on every row.
+
+    Bounds without a time zone are taken to be in the zone of the driver.
+    """
     start, end = window
     labels = {name: F.lit(value) for name, value in source.items()}
     return as_snapshots(
