@@ -1,6 +1,13 @@
 """The registered queries in DuckDB SQL, written independently of the Spark code."""
 
-from verification.snapshot_view import BASE_CTES, BROKEN_CTES, CALL_CTES, CUT_CTES, DAMAGED_CTES, LIST_CTES
+from verification.snapshot_view import (
+    BASE_CTES,
+    BROKEN_CTES,
+    CALL_CTES,
+    CUT_CTES,
+    DAMAGED_CTES,
+    LIST_CTES,
+)
 from workload_lens.config import CONTEXT_PATTERNS
 from workload_lens.schemas import METRICS
 
@@ -47,6 +54,7 @@ def canonical(q: str, collapse: bool = False) -> str:
     return x
 
 
+DAY = "observed_date::varchar as observed_date"
 MASKED = r"regexp_replace(query, '\$\d+|\b\d+\b', '?', 'g')"
 
 _GROUPED = ", ".join(f"sum({m}) as {m}" for m in ADDITIVE)
@@ -286,8 +294,8 @@ def dim(table: str) -> str:
 ORACLES: dict[str, str] = {
     "snapshot_scan": SNAPSHOTS,
     "snapshot_adapt_v13": SNAPSHOTS,
-    "events_fact": f"with {STAR} select * replace ({f7('time')}) from ev",
-    "event_context_fact": f"with {STAR} select * from ec",
+    "events_fact": f"with {STAR} select * replace ({f7('time')}, {DAY}) from ev",
+    "event_context_fact": f"with {STAR} select * replace ({DAY}) from ec",
     **{
         f"dim_{t}": dim(t)
         for t in (
@@ -300,8 +308,8 @@ ORACLES: dict[str, str] = {
         )
     },
     "retention_kept": f"""with {STAR}
-      select observed_date, count(*) as events, sum(calls) as calls from ev
-      where observed_date >= date '2024-01-10' group by observed_date""",
+      select {DAY}, count(*) as events, sum(calls) as calls from ev
+      where ev.observed_date >= date '2024-01-10' group by ev.observed_date""",
     "check_violations": f"""with {DAMAGED_CTES},
       judged as (select *, concat_ws(',',
           case when query is null then 'not_null_query' end,
@@ -367,18 +375,18 @@ ORACLES: dict[str, str] = {
         {f7("sum(total_time) over (partition by fingerprint order by window_start)", "time_since_start")}
       from w""",
     "window_containment_filter": f"""with {STAR}
-      select * replace ({f7("time")}) from ev where {period('ev')}""",
+      select * replace ({f7("time")}, {DAY}) from ev where {period('ev')}""",
     "fingerprint_totals": f"""with {PERIOD_STAR}
       select fingerprint_id, calls, {f7("total_ms")}, {f7("avg_ms_per_call")} from totals""",
     "fingerprint_window_avg": f"""with {PERIOD_STAR}
       select fingerprint_id, {f7("avg(time)", "avg_ms")} from pe group by fingerprint_id""",
     "event_ids_by_fingerprint": f"""with {PERIOD_STAR}
-      select fingerprint_id, logical_source_id, observed_date,
+      select fingerprint_id, logical_source_id, {DAY},
         string_agg(id::varchar, ',' order by id) as event_ids from pe group by all""",
     "top_fingerprints_by_calls": f"with {PERIOD_STAR}{top_cte('calls')} select * from top",
     "top_fingerprints_by_time": f"with {PERIOD_STAR}{top_cte('total_ms')} select * from top",
     "context_for_top_events": f"""with {PERIOD_STAR}{top_cte("calls")}{contexts_cte()}
-      select * from tc""",
+      select * replace ({DAY}) from tc""",
     "context_totals": f"with {PERIOD_STAR}{top_cte('calls')}{contexts_cte()} select * from times",
     "top_contexts": f"with {PERIOD_STAR}{top_cte('calls')}{contexts_cte()} select * from ranked",
     "context_labels": f"""with {STAR}
@@ -402,9 +410,10 @@ ORACLES: dict[str, str] = {
     "report_role_share_action": role_share(["controller", "action"]),
     "report_role_share_job_by_context": role_share(["job_tag"], "c::double"),
     "ad_hoc_sql": f"""with {STAR}
-      select fqdn, observed_date, count(distinct fingerprint_id) as fingerprints,
+      select fqdn, {DAY}, count(distinct fingerprint_id) as fingerprints,
         sum(calls) as calls, {f7("sum(time)", "total_ms")}
-      from ev join physical_sources p on p.id = physical_source_id group by fqdn, observed_date""",
+      from ev join physical_sources p on p.id = physical_source_id
+      group by fqdn, ev.observed_date""",
     "streaming_tumbling_stats": f"select * from ({_TUMBLING}) where window_end <= {_CLOSED}",
     "streaming_ingest_stats": f"""with {MERGED},
       closed as (select * from merged where window_end <= {_CLOSED}){stats_cte("closed")}

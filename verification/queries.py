@@ -58,6 +58,11 @@ def comparable(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: seven_digits(c) for c in columns})
 
 
+def day_as_text(df: DataFrame) -> DataFrame:
+    """Clients render dates in different ways."""
+    return df.withColumn("observed_date", F.col("observed_date").cast("string"))
+
+
 _STARS: dict[tuple[str, str], Star] = {}
 
 
@@ -105,11 +110,12 @@ def snapshot_adapt_v13(spark, sf_dir):
 
 def events_fact(spark, sf_dir):
     facts = ingest.events_fact(_merged(spark, sf_dir)).drop("recorded_at")
-    return comparable(facts, "time")
+    return day_as_text(comparable(facts, "time"))
 
 
 def event_context_fact(spark, sf_dir):
-    return ingest.event_context_fact(context_histogram(_statements(spark, sf_dir)))
+    histogram = context_histogram(_statements(spark, sf_dir))
+    return day_as_text(ingest.event_context_fact(histogram))
 
 
 def _dim(table: str) -> Query:
@@ -126,7 +132,7 @@ def retention_kept(spark, sf_dir):
     days = kept.groupBy("observed_date").agg(
         F.count(F.lit(1)).alias("events"), F.sum("calls").alias("calls")
     )
-    return days
+    return day_as_text(days)
 
 
 # --- checks -----------------------------------------------------------------------------------
@@ -273,7 +279,7 @@ def _period_events(star: Star, cluster: str | None = "c1") -> DataFrame:
 def window_containment_filter(spark, sf_dir):
     star = stored_star(spark, sf_dir)
     events = reports.in_interval(star.statement_events, "3 days", as_of())
-    return comparable(events.drop("recorded_at", "batch_id"), "time")
+    return day_as_text(comparable(events.drop("recorded_at", "batch_id"), "time"))
 
 
 def fingerprint_totals(spark, sf_dir):
@@ -288,7 +294,7 @@ def fingerprint_window_avg(spark, sf_dir):
 
 def event_ids_by_fingerprint(spark, sf_dir):
     ids = reports.event_ids_by_fingerprint(_period_events(stored_star(spark, sf_dir)))
-    return ids.withColumn("event_ids", F.array_join("event_ids", ","))
+    return day_as_text(ids.withColumn("event_ids", F.array_join("event_ids", ",")))
 
 
 def _top_by(by: str) -> Query:
@@ -309,7 +315,7 @@ def _top_event_contexts(star: Star) -> DataFrame:
 
 
 def context_for_top_events(spark, sf_dir):
-    return _top_event_contexts(stored_star(spark, sf_dir)).drop("batch_id")
+    return day_as_text(_top_event_contexts(stored_star(spark, sf_dir)).drop("batch_id"))
 
 
 def context_totals(spark, sf_dir):
@@ -318,7 +324,7 @@ def context_totals(spark, sf_dir):
 
 def top_contexts(spark, sf_dir):
     totals = reports.context_totals(_top_event_contexts(stored_star(spark, sf_dir)))
-    return reports.top_contexts(totals, 5)
+    return reports.top_contexts(totals, 5).withColumn("r", F.col("r").cast("bigint"))
 
 
 def context_labels(spark, sf_dir):
@@ -389,7 +395,7 @@ def ad_hoc_sql(spark, sf_dir):
         from lens_statement_events e
         join lens_physical_sources p on p.id = e.physical_source_id
         group by p.fqdn, e.observed_date""")
-    return comparable(report, "total_ms")
+    return day_as_text(comparable(report, "total_ms"))
 
 
 # --- streaming ---------------------------------------------------------------------------------------

@@ -63,7 +63,8 @@ def incomplete_stats(stats: DataFrame) -> DataFrame:
         F.count_distinct(F.when(known, F.col("type"))).alias("known_types"),
         F.count(F.lit(1)).alias("stored_types"),
     )
-    return per_key.where((F.col("known_types") != len(METRICS)) | (F.col("stored_types") != len(METRICS)))
+    every = F.lit(len(METRICS))
+    return per_key.where((F.col("known_types") != every) | (F.col("stored_types") != every))
 
 
 def lifetime_counters(merged: DataFrame) -> DataFrame:

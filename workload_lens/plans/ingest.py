@@ -151,10 +151,13 @@ def ingest_batch(
         def add_members(table: str) -> None:
             known = read_table(spark, root, table)
             if table == "fingerprints":
-                append(new_fingerprints(texts, known), root, table)
+                fresh_members = new_fingerprints(texts, known)
             else:
                 seen = every if table.endswith("_sources") else accepted(texts)
-                append(new_members(seen, DIMENSIONS[table], known), root, table)
+                fresh_members = new_members(seen, DIMENSIONS[table], known)
+            # Most batches bring nothing new, and an empty write would leave a file each time.
+            if not fresh_members.isEmpty():
+                append(fresh_members, root, table)
 
         _side_by_side(
             spark,
