@@ -43,6 +43,7 @@ def test_no_cartesian_and_no_single_task_window(spark, name):
 
 
 def test_reports_prune_days_and_columns(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
     star = stored_star(spark, SF)
     events = reports.fingerprint_totals(reports.in_interval(star.statement_events, "3 days", as_of()))
     plan = plan_of(events)
@@ -50,7 +51,7 @@ def test_reports_prune_days_and_columns(spark):
     partitions = scan.split("PartitionFilters: [")[1].split("]")[0]
     assert "observed_date" in partitions and ">=" in partitions and "<=" in partitions
     pushed = scan.split("PushedFilters: [")[1].split("]")[0]
-    assert "IsNotNull(observed_window_start)" in pushed and "GreaterThanOrEqual(observed_wi" in pushed
+    assert "GreaterThanOrEqual(observed_window_start" in pushed
     schema = scan.split("ReadSchema: struct<")[1].split(">")[0]
     assert {c.split(":")[0] for c in schema.split(",")} == {
         "fingerprint_id",
