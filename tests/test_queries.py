@@ -60,3 +60,17 @@ def test_reports_prune_days_and_columns(spark):
         "calls",
         "time",
     }
+
+
+@pytest.mark.parametrize("name", ["window_merge", "topk_union", "report_vs_history"])
+def test_equal_without_broadcast(spark, sql, name):
+    """Sides that are too large to broadcast take the other way, with the same rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        query = QUERIES[name](spark, SF)
+        joins = [w for w in plan_of(query).split() if w.endswith("HashJoin")]
+        assert name == "report_vs_history" or not joins
+        found = difference(query.toPandas(), sql.sql(driver.oracle_sql()[name]).df())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found is None
