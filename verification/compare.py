@@ -35,7 +35,7 @@ def _sorted(df: pd.DataFrame) -> pd.DataFrame:
         elif kind.startswith(("float", "int", "bool", "Int")):
             df[c] = df[c].astype(float)
         else:
-            df[c] = df[c].map(lambda v: None if pd.isna(v) else str(v)[:10] if hasattr(v, "year") else str(v))
+            df[c] = df[c].map(lambda v: None if pd.isna(v) else str(v))
     return df.sort_values(list(df.columns), na_position="first").reset_index(drop=True)
 
 

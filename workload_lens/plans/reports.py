@@ -97,9 +97,13 @@ def contexts_of_events(
     return contexts.join(wanted, keys)
 
 
-def context_totals(contexts: DataFrame) -> DataFrame:
-    """Calls per fingerprint and context; contexts with missing parts are contexts too."""
-    return contexts.groupBy("fingerprint_id", *_CONTEXT_IDS).agg(F.sum("c").alias("times"))
+def context_totals(contexts: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Calls per fingerprint and context; contexts with missing parts are contexts too.
+
+    ``carry`` names columns that depend on the fingerprint and should stay.
+    """
+    keys = ["fingerprint_id", *(carry or []), *_CONTEXT_IDS]
+    return contexts.groupBy(*keys).agg(F.sum("c").alias("times"))
 
 
 def top_contexts(totals: DataFrame, k: int = 5) -> DataFrame:
@@ -121,28 +125,29 @@ def with_context_labels(df: DataFrame, star: Star) -> DataFrame:
     return df
 
 
-def context_json(labelled: DataFrame) -> DataFrame:
+def context_json(labelled: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Ranked contexts of each fingerprint as one JSON array, missing parts as null."""
     entry = F.struct("r", F.struct("times", *CONTEXT).alias("x"))
     ranked = F.sort_array(F.collect_list(entry))
-    return labelled.groupBy("fingerprint_id").agg(
+    return labelled.groupBy("fingerprint_id", *(carry or [])).agg(
         F.to_json(ranked["x"], {"ignoreNullFields": "false"}).alias("context")
     )
 
 
-def _contexts_of_top(
+def _with_contexts(
     star: Star, sources: DataFrame, top: DataFrame, n: int, k: int, interval: str, as_of
 ) -> DataFrame:
-    """Top contexts of the chosen fingerprints, as JSON."""
-    contexts = _of_sources(in_interval(star.event_context, interval, as_of), sources)
-    wanted = _small(top.select("fingerprint_id"), n)
-    totals = context_totals(contexts.join(wanted, "fingerprint_id"))
-    return context_json(with_context_labels(top_contexts(totals, k), star))
+    """The chosen fingerprints with their top contexts as JSON and their normalized text.
 
-
-def _normalized_of(star: Star, top: DataFrame, n: int) -> DataFrame:
+    The columns of ``top`` travel with the contexts, so that it is computed once. One
+    without any context row drops out.
+    """
+    carry = [c for c in top.columns if c != "fingerprint_id"]
+    contexts = _of_sources(in_interval(star.event_context, interval, as_of), sources)
+    totals = context_totals(contexts.join(_small(top, n), "fingerprint_id"), carry)
+    labelled = with_context_labels(top_contexts(totals, k), star)
     named = star.fingerprints.select(F.col("id").alias("fingerprint_id"), "normalized")
-    return named.join(_small(top, n), "fingerprint_id")
+    return named.join(_small(context_json(labelled, carry), n), "fingerprint_id")
 
 
 def report_top(
@@ -163,11 +168,9 @@ def report_top(
     sources = select_sources(star, project, environment, cluster)
     events = _of_sources(in_interval(star.statement_events, interval, as_of), sources)
     top = top_fingerprints(fingerprint_totals(events), by, n)
-    context = _contexts_of_top(star, sources, top, n, contexts, interval, as_of)
     average = F.col("avg_ms_per_call")
     return (
-        _normalized_of(star, top, n)
-        .join(context, "fingerprint_id")
+        _with_contexts(star, sources, top, n, contexts, interval, as_of)
         .orderBy(F.desc(by), "fingerprint_id")
         .select(
             "calls",
@@ -209,7 +212,6 @@ def report_vs_history(
     sources = select_sources(star, project, environment, cluster)
     events = _of_sources(in_interval(star.statement_events, interval, as_of), sources)
     top = top_fingerprints(fingerprint_window_avg(events), "avg_ms", n)
-    context = _contexts_of_top(star, sources, top, n, contexts, interval, as_of)
     stored = star.fingerprint_stats.join(
         _small(top.select("fingerprint_id"), n), "fingerprint_id", "left_semi"
     )
@@ -218,10 +220,9 @@ def report_vs_history(
     )
     labels = star.logical_sources.withColumnRenamed("id", "logical_source_id")
     return (
-        _normalized_of(star, top, n)
+        _with_contexts(star, sources, top, n, contexts, interval, as_of)
         .join(history, "fingerprint_id")
         .join(labels, "logical_source_id")
-        .join(context, "fingerprint_id")
         .orderBy("fingerprint_id", F.desc("logical_source_id"))
         .select(
             F.col("avg_ms").alias("avg_ms_this_window"),
