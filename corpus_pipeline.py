@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workload_lens.llm import decontaminate
+from workload_lens.llm import bpe, decontaminate
 from workload_lens.llm.common import read_table, stored
 
 
@@ -15,8 +15,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of the text decoded from them."""
+    return bpe.digests(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("benchmark decontamination", decontaminated),
+    ("BPE encoding and decoding", encoded),
 ]
 
 #: SQL cannot express the models, hashes and tokenizers of the stages; the tests use a brute-force version.
