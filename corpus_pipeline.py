@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workload_lens.llm import bpe, decontaminate
+from workload_lens.llm import bpe, decontaminate, langid
 from workload_lens.llm.common import read_table, stored
 
 
+def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go; profiles are learned from those that are not held out."""
+    return langid.with_language(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
     return decontaminate.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
@@ -21,6 +26,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", with_language),
     ("benchmark decontamination", decontaminated),
     ("BPE encoding and decoding", encoded),
 ]
