@@ -15,6 +15,7 @@ too, so that the i-th boundary is found by counting the bits of a few bytes.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,8 +34,8 @@ END = 0
 BLOCK_DOCS, BLOCK_IDS, BUCKET_DOCS, MAX_BUCKETS = 1024, 1_000_000, 2048, 10_000
 #: Numbers of a sequence from one kept place to the next.
 SAMPLE = 256
-#: Entries of a worker's memo of pre-tokens.
-MEMO = 500_000
+#: Entries of a worker's memo of pre-tokens, and texts encoded at a time.
+MEMO, AT_ONCE = 300_000, 64
 
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
@@ -98,14 +99,18 @@ class LibraryEncoder(Splitter):
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.memo: dict[str, bytes] = {}
+        self.code = "H" if self.width == 2 else "I"
+
+    def packed(self, *ids: int) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         split = [self(t or "") for t in texts]
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        new = list({t for tokens in split for t in tokens if t not in self.memo})
+        new = list(set().union(*split).difference(self.memo))
         for token, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[token] = np.array(code.ids, f"<u{self.width}").tobytes()
+            self.memo[token] = self.packed(*code.ids)
         get = self.memo.__getitem__
         return [b"".join(map(get, tokens)) for tokens in split]
 
@@ -176,7 +181,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> No
         for batch in batches:
             keys = batch.column(0).to_pylist()
             place = [0 if k is None else int(np.searchsorted(bounds, k, side="left")) for k in keys]
-            raw = [x + end for x in own.encode_all(batch.column(1).to_pylist())]
+            texts = batch.column(1)
+            raw = [x + end for i in range(0, len(texts), AT_ONCE) for x in own.encode_all(texts.slice(i, AT_ONCE).to_pylist())]
             packed = [pa.compress(x, "zstd", asbytes=True) for x in raw]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(place, pa.int32()), batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(packed, pa.binary())],
