@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, token_files, toxicity, url_reputation
+from . import bpe, decontaminate, langid, near_duplicates, token_files, toxicity, url_reputation
 from .common import PLAIN_WORD, read_table
 
 
@@ -14,6 +14,10 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(read_table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_token_files": op4_token_files,
     "op5_langid": op5_langid,
     "op6_toxicity": op6_toxicity,
