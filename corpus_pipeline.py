@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workload_lens.llm import bpe, decontaminate, langid
+from workload_lens.llm import bpe, decontaminate, langid, near_duplicates, repeated_strings
 from workload_lens.llm.common import read_table, stored
 
 
@@ -15,6 +15,16 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return langid.with_language(docs)
 
 
+def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return near_duplicates.first_of_each(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings that start more than once are cut out of the texts."""
+    return repeated_strings.without_repeats(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
     return decontaminate.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
@@ -27,6 +37,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language ID", with_language),
+    ("MinHash near-dedup", first_of_near_duplicates),
+    ("suffix-array dedup", without_repeats),
     ("benchmark decontamination", decontaminated),
     ("BPE encoding and decoding", encoded),
 ]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, near_duplicates, token_files, toxicity, url_reputation
+from . import bpe, decontaminate, langid, near_duplicates, repeated_strings, token_files, toxicity, url_reputation
 from .common import PLAIN_WORD, read_table
 
 
@@ -38,6 +38,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings.removal(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
     "op3_near_duplicates": op3_near_duplicates,
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op8_bpe": op8_bpe,
     "op9_decontamination": op9_decontamination,
+    "op10_repeated_strings": op10_repeated_strings,
 }
 
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
