@@ -30,6 +30,11 @@ PRE_TOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?LETTER+| ?NUMBER+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
+#: The same for texts of ASCII characters alone, where the faster standard module does.
+ASCII_PRE_TOKEN = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+"
+    r"|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -58,6 +63,7 @@ class Splitter:
             self.spec = json.load(file)
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        self._find_ascii = re.compile(ASCII_PRE_TOKEN).findall
         self._find = regex.compile(PRE_TOKEN.replace("LETTER", r"\p{L}").replace("NUMBER", r"\p{N}")).findall
         # The regex module knows letters and numbers of a later Unicode version than the tokenizers library, for which
         # they are symbols. They all lie beyond European scripts, so most texts need no closer look.
@@ -81,6 +87,8 @@ class Splitter:
         return out
 
     def _plain(self, text: str) -> list[str]:
+        if text.isascii():
+            return self._find_ascii(text)
         return self._find_exact(text) if self._beyond(text) else self._find(text)
 
 

@@ -35,7 +35,7 @@ BLOCK_DOCS, BLOCK_IDS, BUCKET_DOCS, MAX_BUCKETS = 1024, 1_000_000, 2048, 10_000
 #: Numbers of a sequence from one kept place to the next.
 SAMPLE = 256
 #: Entries of a worker's memo of pre-tokens, and texts encoded at a time.
-MEMO, AT_ONCE = 300_000, 64
+MEMO, AT_ONCE = 700_000, 64
 
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
@@ -86,6 +86,18 @@ class EliasFano:
         return (place - i << self.low_bits) | low
 
 
+class _Memo(dict):
+    """Packed ids of pre-tokens; one that is new is encoded by the tokenizers library."""
+
+    def __init__(self, tokenizer: object, code: str):
+        self.encode, self.code = tokenizer.encode, code
+
+    def __missing__(self, token: str) -> bytes:
+        ids = self.encode(token, add_special_tokens=False).ids
+        out = self[token] = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return out
+
+
 class LibraryEncoder(Splitter):
     """Ids by the tokenizers library, which encodes each pre-token once and on its own."""
 
@@ -94,25 +106,17 @@ class LibraryEncoder(Splitter):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.memo: dict[str, bytes] = {}
-        self.code = "H" if self.width == 2 else "I"
-
-    def packed(self, *ids: int) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.width = 2 if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.memo = _Memo(tokenizer, "H" if self.width == 2 else "I")
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        split = [self(t or "") for t in texts]
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        new = list(set().union(*split).difference(self.memo))
-        for token, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[token] = self.packed(*code.ids)
         get = self.memo.__getitem__
-        return [b"".join(map(get, tokens)) for tokens in split]
+        return [b"".join(map(get, self(t or ""))) for t in texts]
 
 
 @lru_cache(maxsize=2)
