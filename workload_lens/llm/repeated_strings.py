@@ -30,7 +30,6 @@ TOGETHER, AT_ONCE = 256, 120_000
 #: Starts that anchors are found for at a time; windows reach over the border.
 STRETCH = 1 << 22
 
-_REACH = LENGTH - PIECE  # an anchor starts at most so far behind its window
 _BASE = 0xD6E8FEB86659FD93
 _PLACE = np.uint64((1 << 24) - 1)
 _BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
@@ -52,25 +51,26 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(raw: bytes, length: int = LENGTH, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the anchors of a text, and the first and last start of the windows that each belongs to.
 
     Every start of a window belongs to exactly one anchor: the leftmost piece in the window with the least hash.
     """
     keys, firsts, lasts = [], [], []
     data = np.frombuffer(raw, np.uint8)
-    for at in range(0, len(data) - LENGTH + 1, STRETCH):
-        part = data[at : at + STRETCH + LENGTH - 1]
+    places = length - piece + 1  # of a piece in a window
+    for at in range(0, len(data) - length + 1, STRETCH):
+        part = data[at : at + STRETCH + length - 1]
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_BYTES[part] * _UP[: len(part)], out=sums[1:])
-        n = len(part) - PIECE + 1
-        hashes = _mixed((sums[PIECE:] - sums[:n]) * _DOWN[:n])
+        n = len(part) - piece + 1
+        hashes = _mixed((sums[piece:] - sums[:n]) * _DOWN[:n])
         least = (hashes & ~_PLACE) | np.arange(n, dtype=np.uint64)
         width = 1
-        while width * 2 <= _REACH + 1:
+        while width * 2 <= places:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
-        rest = _REACH + 1 - width
+        rest = places - width
         if rest:
             least = np.minimum(least[:-rest], least[rest:])
         change = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
@@ -82,10 +82,10 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(firsts), np.concatenate(lasts)
 
 
-def ordered_suffixes(raw: bytes, chosen: np.ndarray) -> np.ndarray:
-    """The starts where ``chosen`` is true, in the order of their next LENGTH bytes, by two-stage sorting.
+def ordered_suffixes(raw: bytes, chosen: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The starts where ``chosen`` is true, in the order of their next ``length`` bytes, by two-stage sorting.
 
-    A chosen start must have LENGTH bytes. A suffix is small if it is smaller than its successor. The small ones are
+    A chosen start must have that many bytes. A suffix is small if it is smaller than its successor. The small ones are
     sorted; any other one follows, within its first byte, the order of its successor, and stands before the small ones.
     Successors that are needed for this but not chosen take part and are left out of what is returned.
     """
@@ -94,7 +94,7 @@ def ordered_suffixes(raw: bytes, chosen: np.ndarray) -> np.ndarray:
     differ = np.append(np.flatnonzero(data[1:] != data[:-1]), n - 1)
     turn = differ[np.searchsorted(differ, np.arange(n))]  # where the run of equal bytes ends
     after = data[np.minimum(turn + 1, n - 1)]
-    small = (after > data) | (turn - np.arange(n) >= LENGTH - 1) | (turn == n - 1)
+    small = (after > data) | (turn - np.arange(n) >= length - 1) | (turn == n - 1)
     next_small = np.flatnonzero(small)
     used = np.zeros(n + 1, np.int32)
     starts = np.flatnonzero(chosen)
@@ -102,7 +102,7 @@ def ordered_suffixes(raw: bytes, chosen: np.ndarray) -> np.ndarray:
     np.add.at(used, starts, 1)
     np.add.at(used, reach + 1, -1)
     used = np.cumsum(used[:n]) > 0
-    first_stage = sorted(np.flatnonzero(used & small).tolist(), key=lambda i: raw[i : i + LENGTH])
+    first_stage = sorted(np.flatnonzero(used & small).tolist(), key=lambda i: raw[i : i + length])
     first_stage = np.array(first_stage, np.int64)
     edge = np.searchsorted(data[first_stage], np.arange(257))
     large = used & ~small
@@ -129,10 +129,11 @@ def ordered_suffixes(raw: bytes, chosen: np.ndarray) -> np.ndarray:
     return order[chosen[order]]
 
 
-def repeated_starts(raw: bytes, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen starts in suffix order, and for each the number of its class of equal windows of LENGTH bytes."""
-    order = ordered_suffixes(raw, chosen)
-    same = np.fromiter((raw[a : a + LENGTH] == raw[b : b + LENGTH] for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True)), bool, max(len(order) - 1, 0))
+def repeated_starts(raw: bytes, chosen: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Chosen starts in suffix order, and for each the number of its class of equal windows."""
+    order = ordered_suffixes(raw, chosen, length)
+    pairs = zip(order[:-1].tolist(), order[1:].tolist(), strict=True)
+    same = np.fromiter((raw[a : a + length] == raw[b : b + length] for a, b in pairs), bool, max(len(order) - 1, 0))
     return order, np.concatenate([[0], np.cumsum(~same)])[: len(order)]
 
 
@@ -146,74 +147,87 @@ _FOUND = "node binary, first long, last long, digest binary"
 _SCHEMA = pa.schema([("node", pa.binary()), ("first", pa.int64()), ("last", pa.int64()), ("digest", pa.binary())])
 
 
-def _settle(rows: list[dict]) -> pa.RecordBatch:
+def _settle(rows: list[dict], length: int, across: bool) -> pa.RecordBatch:
     """What is repeated among some segments, as runs of starts; and digests of windows that other tasks may have too.
 
-    A digest row without a node is of a window that is settled; one with a node is of a window that is new here.
+    A digest row without a node says that this task has the window; one with a node is a window that is not settled here.
+    With ``across`` a window counts as repeated only if two nodes have it.
     """
     raw = b"".join(r["bytes"] for r in rows)
     sizes = np.array([len(r["bytes"]) for r in rows])
     begin = np.concatenate([[0], np.cumsum(sizes)])
     chosen = np.zeros(len(raw), bool)
     for at, size in zip(begin.tolist(), sizes.tolist(), strict=False):
-        chosen[at : at + size - LENGTH + 1] = True
-    order, classes = repeated_starts(raw, chosen)
-    count = np.bincount(classes)
+        chosen[at : at + size - length + 1] = True
+    order, classes = repeated_starts(raw, chosen, length)
     owner = np.searchsorted(begin, order, side="right") - 1
     decided = np.array([r["decided"] for r in rows])
     shared = np.array([r["parts"] > 1 for r in rows])
+    number: dict[bytes, int] = {}
+    nodes = np.array([number.setdefault(r["node"], len(number)) for r in rows])[owner]
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(classes) > 0]))
+    if across:
+        settled = np.minimum.reduceat(nodes, heads) != np.maximum.reduceat(nodes, heads)
+    else:
+        settled = (np.bincount(classes) > 1) | np.maximum.reduceat(decided[owner], heads)
     out: tuple[list, list, list, list] = ([], [], [], [])
 
     def add(node: bytes | None, first: int, last: int, digest: bytes | None) -> None:
         for column, value in zip(out, (node, first, last, digest), strict=True):
             column.append(value)
 
-    repeated = count[classes] > 1
-    again = np.sort(order[repeated])
+    again = np.sort(order[settled[classes]])
     for k, at in zip(*np.unique(np.searchsorted(begin, again, side="right") - 1, return_index=True), strict=True):
         own = again[at : np.searchsorted(again, begin[k + 1])]
         if not decided[k]:
             for a, b in zip(*_runs(own), strict=True):
                 add(rows[k]["node"], rows[k]["first"] + int(a - begin[k]), rows[k]["first"] + int(b - begin[k]), None)
-    settled = np.zeros(len(count), bool)
-    settled[classes[repeated | decided[owner]]] = True
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(classes) > 0])) if len(order) else np.zeros(0, np.int64)
-    for i in heads[shared[owner[heads]]].tolist():
-        k, at = int(owner[i]), int(order[i])
-        start = rows[k]["first"] + at - int(begin[k])
-        digest = hashlib.blake2b(raw[at : at + LENGTH], digest_size=16).digest()
-        add(None if settled[classes[i]] else rows[k]["node"], start, start, digest)
+    for head, end in zip(heads.tolist(), np.append(heads[1:], len(order)).tolist(), strict=True):
+        if not shared[owner[head]]:
+            continue
+        at = int(order[head])
+        digest = hashlib.blake2b(raw[at : at + length], digest_size=16).digest()
+        add(None, 0, 0, digest)
+        for i in range(head, end) if not settled[classes[head]] else ():
+            k = int(owner[i])
+            start = rows[k]["first"] + int(order[i]) - int(begin[k])
+            add(rows[k]["node"], start, start, digest)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, spans) of the texts with repeated bytes, spans as sorted arrays of (first byte, byte after the last);
-    and (node, copies) of all texts."""
-    docs = docs.select("doc_id", text_node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+def repeated_spans(texts: DataFrame, length: int = LENGTH, piece: int = PIECE, across: bool = False) -> DataFrame:
+    """(node, spans) of the texts with repeated bytes; spans are sorted (first byte, byte after the last), and may overlap.
+
+    texts: id, node, scope, text. Rows with one node are copies of one text. Only texts of one scope (a 64-bit number)
+    are compared. With ``across`` a string counts if two nodes have it; else if it starts anywhere else, in the same text
+    or in a copy too.
+    """
+    docs = texts.select("id", "node", "scope", "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: tuple[list, list, list, list] = ([], [], [], [])
-            for text in batch.column(2).to_pylist():
+            for scope, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 raw = text.encode()
-                keys, first, last = anchors(raw)
+                keys, first, last = anchors(raw, length, piece)
+                keys = keys ^ np.uint64(scope % 2**64)
                 for column, value in zip(cols, (len(raw), keys.view(np.int64), first, last), strict=True):
                     column.append(value)
             many = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), *(pa.array(c, many) for c in cols[1:])],
-                ["doc_id", "node", "size", "keys", "firsts", "lasts"],
+                ["id", "node", "size", "keys", "firsts", "lasts"],
             )
 
-    kind = dict(docs.dtypes)["doc_id"]
-    marked = docs.mapInArrow(find, f"doc_id {kind}, node binary, size long, keys array<long>, firsts array<long>, lasts array<long>")
-    texts = stored(
+    kind = dict(docs.dtypes)["id"]
+    marked = docs.mapInArrow(find, f"id {kind}, node binary, size long, keys array<long>, firsts array<long>, lasts array<long>")
+    distinct = stored(
         marked.groupBy("node").agg(
-            F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("size").alias("size"),
+            F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("size").alias("size"),
             F.first("keys").alias("keys"), F.first("firsts").alias("firsts"), F.first("lasts").alias("lasts"),
         )
     )
-    places = texts.select("node", "first_id", "copies", F.explode(F.arrays_zip("keys", "firsts", "lasts")).alias("p")).select(
+    places = distinct.select("node", "first_id", "copies", F.explode(F.arrays_zip("keys", "firsts", "lasts")).alias("p")).select(
         "node", "first_id", "copies", "p.*"
     )
     often = places.groupBy("keys").agg(F.count("*").alias("n")).where("n > 1")
@@ -233,13 +247,16 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for node, copies, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw, seen = text.encode(), {}
                 for p in places:
-                    piece = raw[p["firsts"] : p["lasts"] + LENGTH]
-                    seen.setdefault((p["keys"], p["parts"], piece), []).append((p["firsts"], p["lasts"]))
-                for (key, parts, piece), at in seen.items():
+                    segment = raw[p["firsts"] : p["lasts"] + length]
+                    seen.setdefault((p["keys"], p["parts"], segment), []).append((p["firsts"], p["lasts"]))
+                spread = int.from_bytes(node[:6], "little")
+                for (key, parts, segment), at in seen.items():
+                    if across:  # all segments of a node meet in one task, which then can tell nodes apart
+                        rows += [(key, spread % parts, parts, False, node, a, b, segment) for a, b in at]
+                        continue
                     # A segment that comes back in its own text, and any of a text with copies, is repeated as a whole.
                     decided = copies > 1 or len(at) > 1
-                    part = int.from_bytes(node[:6], "little") ^ at[0][0]
-                    rows.append((key, part % parts, parts, decided, node, at[0][0], at[0][1], piece))
+                    rows.append((key, (spread ^ at[0][0]) % parts, parts, decided, node, *at[0], segment))
                     if decided and copies == 1:
                         rows += [(0, 0, 0, True, node, a, b, None) for a, b in at]
                 if len(rows) >= 2000:
@@ -248,7 +265,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    chosen = docs.alias("d").join(wanted.alias("w"), F.expr("d.node = w.node and d.doc_id <=> w.first_id"))
+    chosen = docs.alias("d").join(wanted.alias("w"), F.expr("d.node = w.node and d.id <=> w.first_id"))
     segments = stored(
         chosen.select("d.node", "w.copies", "d.text", "w.places").mapInArrow(
             cut, "key long, part long, parts long, decided boolean, node binary, first long, last long, bytes binary"
@@ -261,12 +278,12 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             for row in batch.to_pylist():
                 if windows >= AT_ONCE and (row["key"], row["part"]) != group:
-                    yield _settle(rows)
+                    yield _settle(rows, length, across)
                     rows, windows = [], 0
                 rows.append(row)
-                group, windows = (row["key"], row["part"]), windows + len(row["bytes"]) - LENGTH + 1
+                group, windows = (row["key"], row["part"]), windows + len(row["bytes"]) - length + 1
         if rows:
-            yield _settle(rows)
+            yield _settle(rows, length, across)
 
     found = stored(
         segments.where(F.col("bytes").isNotNull())
@@ -276,20 +293,26 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .mapInArrow(compare, _FOUND)
     )
     digests = found.where(F.col("digest").isNotNull())
-    shared = digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    shared = digests.where(F.col("node").isNull()).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     single = digests.where(F.col("node").isNotNull()).join(shared, "digest", "left_semi")
+    copied = distinct.where((F.col("copies") > 1) & (F.col("size") >= length) & (not across))
     runs = (
         found.where(F.col("digest").isNull()).select("node", "first", "last")
         .unionByName(single.select("node", "first", "last"))
         .unionByName(segments.where(F.col("bytes").isNull()).select("node", "first", "last"))
-        .unionByName(texts.where((F.col("copies") > 1) & (F.col("size") >= LENGTH)).select("node", F.lit(0).cast("long").alias("first"), (F.col("size") - LENGTH).alias("last")))
-        .select("node", "first", (F.col("last") + LENGTH).alias("end"))
+        .unionByName(copied.select("node", F.lit(0).cast("long").alias("first"), (F.col("size") - length).alias("last")))
+        .select("node", "first", (F.col("last") + length).alias("end"))
     )
     spans = runs.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("spans"))
-    return stored(spans), texts.select("node", "copies")
+    return stored(spans)
+
+
+def _document_spans(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).alias("text")
+    return repeated_spans(docs.select(F.col("doc_id").alias("id"), text_node(F.col("text")).alias("node"), F.lit(0).cast("long").alias("scope"), text))
 
 
-def _merged(spans: list[dict] | None) -> list[list[int]]:
+def merged(spans: list[dict] | None) -> list[list[int]]:
     out: list[list[int]] = []
     for s in spans or []:
         if out and s["first"] <= out[-1][1]:
@@ -299,7 +322,7 @@ def _merged(spans: list[dict] | None) -> list[list[int]]:
     return out
 
 
-def _kept(raw: bytes, spans: list[list[int]]) -> bytes:
+def kept_bytes(raw: bytes, spans: list[list[int]]) -> bytes:
     edges = [0, *(x for s in spans for x in s), len(raw)]
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
@@ -315,14 +338,14 @@ def removal(docs: DataFrame) -> DataFrame:
     A null text is as an empty one; texts of fewer than 400 bytes lose nothing. Equal texts of 400 bytes or more are
     removed whole, each copy of them. Matches never cross documents, and are judged on the input.
     """
-    spans, _ = repeated_spans(docs.select("doc_id", "text"))
+    spans = _document_spans(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: tuple[list, list, list, list] = ([], [], [], [])
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw, gone = (text or "").encode(), _merged(spans)
-                kept = _kept(raw, gone)
+                raw, gone = (text or "").encode(), merged(spans)
+                kept = kept_bytes(raw, gone)
                 for column, value in zip(cols, (len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
@@ -341,12 +364,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     Bytes of a character that is cut go too. Null texts stay null, and a text that is removed whole is empty.
     """
-    spans, _ = repeated_spans(docs.select("doc_id", "text"))
+    spans = _document_spans(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                None if t is None else _kept(t.encode(), _merged(s)).decode("utf-8", "ignore")
+                None if t is None else kept_bytes(t.encode(), merged(s)).decode("utf-8", "ignore")
                 for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
