@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Words of a window and from one window to the next.
 WINDOW, STEP = 32, 24
 #: Bound of the training sample: labelled documents of each class, and windows taken from a document, evenly spaced.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 12
+SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 8
 #: Hashed rows of the word and the character table; sizes of an input, of a state in each direction, and of attention.
 WORD_ROWS, CHAR_ROWS, INPUT, HIDDEN, ATTEND = 1 << 14, 1 << 12, 16, 8, 8
 #: Passes with every window labelled as its document, then with the highest windows of each document only.
@@ -63,6 +63,15 @@ def _hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(rows, np.int64), np.array(grams, np.int64), np.array(starts, np.int64)
 
 
+def _summed(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by number, (n, features)."""
+    order = np.argsort(at, kind="stable")
+    found, first = np.unique(at[order], return_index=True)
+    out = np.zeros((n, values.shape[1]), np.float32)
+    out[found] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -146,6 +155,7 @@ class Network:
         for k, d in enumerate("fb"):
             gate, new = self.p[f"gate_{d}"], self.p[f"new_{d}"]
             back = np.zeros((len(index), HIDDEN), np.float32)
+            d_steps = np.empty((*index.shape, 3 * HIDDEN), np.float32)
             for t, h, z, r, c in reversed(steps[d]):
                 dh = (back + d_states[:, t, k * HIDDEN : (k + 1) * HIDDEN]) * mask[:, t, None]
                 passed = (back + d_states[:, t, k * HIDDEN : (k + 1) * HIDDEN]) * (1 - mask[:, t, None])
@@ -154,17 +164,17 @@ class Network:
                 d_zr = np.concatenate([dh * (c - h) * z * (1 - z), d_rh * h * r * (1 - r)], axis=1)
                 g[f"gate_{d}"] += h.T @ d_zr
                 g[f"new_{d}"] += (r * h).T @ d_c
-                np.add.at(d_given[k], index[:, t], np.concatenate([d_zr, d_c], axis=1))
+                d_steps[:, t] = np.concatenate([d_zr, d_c], axis=1)
                 back = passed + dh * (1 - z) + d_rh * r + d_zr @ gate.T
+            d_given[k] = _summed(d_steps.reshape(-1, 3 * HIDDEN), index.ravel(), len(given[k]))
         d_inputs = np.zeros_like(inputs)
         for k, d in enumerate("fb"):
             g[f"in_{d}"], g[f"bias_{d}"] = inputs.T @ d_given[k], d_given[k].sum(axis=0)
             d_inputs += d_given[k] @ self.p[f"in_{d}"].T
         rows, grams, starts = hashed
         sizes = np.diff(np.append(starts, len(grams)))
-        g["word"], g["char"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["char"])
-        np.add.at(g["word"], rows, d_inputs)
-        np.add.at(g["char"], grams, np.repeat(d_inputs / sizes[:, None], sizes, axis=0))
+        g["word"] = _summed(d_inputs, rows, WORD_ROWS)
+        g["char"] = _summed(np.repeat(d_inputs / sizes[:, None], sizes, axis=0), grams, CHAR_ROWS)
         return g
 
 
@@ -182,11 +192,15 @@ class _Index:
         for i, window in enumerate(windows):
             self.index[i, : len(window)] = [known.setdefault(w, len(known)) for w in window]
             self.mask[i, : max(len(window), 1)] = 1
-        self.words = list(known)
+        self.hashed = _hashed(list(known))
 
     def batch(self, at: np.ndarray) -> tuple:
         used, index = np.unique(self.index[at], return_inverse=True)
-        return _hashed([self.words[i] for i in used]), index.reshape(len(at), WINDOW), self.mask[at]
+        rows, grams, starts = self.hashed
+        sizes = np.diff(np.append(starts, len(grams)))[used]
+        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        own = grams[np.arange(sizes.sum()) + np.repeat(starts[used] - begin, sizes)]
+        return (rows[used], own, begin), index.reshape(len(at), WINDOW), self.mask[at]
 
 
 def train(docs: list[tuple[list[list[str]], int, float]], seed: int = 7) -> Network:
@@ -208,7 +222,7 @@ def train(docs: list[tuple[list[list[str]], int, float]], seed: int = 7) -> Netw
     for turn in range(PASSES + LAST_PASSES):
         at = np.arange(len(owner))
         if turn >= PASSES:
-            given = net.projected(net.inputs(_hashed(windows.words)))
+            given = net.projected(net.inputs(windows.hashed))
             logit = np.concatenate([net.forward(given, windows.index[i : i + AT_ONCE], windows.mask[i : i + AT_ONCE])[0] for i in range(0, len(owner), AT_ONCE)])
             order = np.lexsort((-logit, owner))
             rank = np.arange(len(owner)) - np.searchsorted(owner, owner[order])
