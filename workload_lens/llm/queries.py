@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, near_duplicates, repeated_strings, token_files, toxicity, url_reputation
+from . import bpe, decontaminate, html_text, langid, near_duplicates, neighbours, repeated_strings, token_files, toxicity, url_reputation
 from .common import PLAIN_WORD, read_table
 
 
@@ -14,6 +14,10 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(read_table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.learn_and_score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"))
 
@@ -44,10 +52,12 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
+    "op2_neighbours": op2_neighbours,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_token_files": op4_token_files,
     "op5_langid": op5_langid,
     "op6_toxicity": op6_toxicity,
+    "op7_html_text": op7_html_text,
     "op8_bpe": op8_bpe,
     "op9_decontamination": op9_decontamination,
     "op10_repeated_strings": op10_repeated_strings,
