@@ -27,6 +27,8 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 8
 WORD_ROWS, CHAR_ROWS, INPUT, HIDDEN, ATTEND = 1 << 14, 1 << 12, 16, 8, 8
 #: Passes with every window labelled as its document, then with the highest windows of each document only.
 PASSES, LAST_PASSES, BATCH, RATE = 3, 8, 256, 0.01
+#: Steps of each kind at least; few documents are passed more often.
+STEPS = 100
 #: Scores from here on are predicted as toxic.
 THRESHOLD = 0.3
 #: Windows scored at a time, and words of a worker's memo.
@@ -219,9 +221,11 @@ def train(docs: list[tuple[list[list[str]], int, float]], seed: int = 7) -> Netw
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
-    for turn in range(PASSES + LAST_PASSES):
+    passes = max(PASSES, -(-STEPS * BATCH // max(len(owner), BATCH)))
+    last = max(LAST_PASSES, -(-STEPS * BATCH // max(2 * len(docs), BATCH)))
+    for turn in range(passes + last):
         at = np.arange(len(owner))
-        if turn >= PASSES:
+        if turn >= passes:
             given = net.projected(net.inputs(windows.hashed))
             logit = np.concatenate([net.forward(given, windows.index[i : i + AT_ONCE], windows.mask[i : i + AT_ONCE])[0] for i in range(0, len(owner), AT_ONCE)])
             order = np.lexsort((-logit, owner))
