@@ -108,6 +108,12 @@ def test_top_k_applies(spark, make_snapshots, tmp_path):
     assert read_star(spark, root).statement_events.agg(F.max("calls")).first()[0] == 8.0
 
 
+def test_a_row_that_comes_twice_counts_once_without_a_limit(spark, make_snapshots, tmp_path):
+    row = {"query": "select 1", "queryid": 5, "calls": 10.0}
+    ingest_batch(make_snapshots([dict(row), dict(row)]), str(tmp_path), "b1", JobConfig(top_k=None))
+    assert read_star(spark, str(tmp_path)).statement_events.first()["calls"] == 10.0
+
+
 def test_precondition(spark, make_snapshots, tmp_path):
     config = JobConfig(top_k=None, sanity_check="select 1 > 2")
     with pytest.raises(PreconditionFailed):

@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 import statistics
 
@@ -124,6 +125,17 @@ def test_statistics_and_their_merge(make_snapshots):
     assert incomplete_stats(whole.where("type <> 'rows'")).count() == 3
 
 
+def test_large_means_keep_their_deviation(spark):
+    rows = [
+        (1, 0, "rows", 1, 1e10 + x, 0.0, dt.datetime(2024, 1, 1)) for x in (0.0, 100.0, 200.0, 300.0)
+    ] + [(1, None, "rows", 1, 5.0, 0.0, dt.datetime(2024, 1, 1))]
+    columns = "fingerprint_id long, logical_source_id long, type string, count long, mean double, deviation double, last timestamp"
+    merged = {r["logical_source_id"]: r for r in merge_stats(spark.createDataFrame(rows, columns)).collect()}
+    assert merged[0]["deviation"] == pytest.approx(129.0994449)
+    assert merged[0]["mean"] == 1e10 + 150 and merged[0]["count"] == 4
+    assert merged[None]["mean"] == 5.0
+
+
 def test_one_sample_has_no_deviation(make_snapshots):
     stats = fingerprint_stats(_merged(make_snapshots, [(1, 5, "primary")]))
     assert {r["deviation"] for r in stats.collect()} == {0.0}

@@ -60,6 +60,22 @@ def test_duplicates_nulls_and_no_limit(make_snapshots):
     assert topk.topk_union(snapshots, 10).count() == 3
 
 
+def test_rows_that_differ_in_which_value_is_null_stay_apart(make_snapshots):
+    rows = [
+        {"queryid": 1, "blk_read_time": None, "blk_write_time": 7.0},
+        {"queryid": 1, "blk_read_time": 7.0, "blk_write_time": None},
+    ]
+    snapshots = make_snapshots(rows)
+    assert topk.topk_union(snapshots, 100).count() == topk.topk_union(snapshots, None).count() == 2
+
+
+def test_one_metric_above_the_limit_of_spark(make_snapshots, monkeypatch):
+    snapshots = make_snapshots(_rows(60))
+    few = sorted(r.queryid for r in topk.topk_by_metric(snapshots, "calls", 3).collect())
+    monkeypatch.setattr(topk, "_GROUP_LIMIT_MAX", 1)
+    assert sorted(r.queryid for r in topk.topk_by_metric(snapshots, "calls", 3).collect()) == few
+
+
 def test_hot_group_is_limited_before_the_shuffle(make_snapshots):
     plan = topk.topk_union(make_snapshots(_rows(10)), 3)
     text = plan._jdf.queryExecution().executedPlan().toString()

@@ -77,7 +77,9 @@ def main() -> None:
         if args.output:
             table.write.parquet(args.output)
         else:
-            table.show(100, truncate=False)
+            print("\t".join(table.columns))
+            for row in table.toLocalIterator():
+                print("\t".join("" if value is None else str(value) for value in row))
     else:
         for folder in drop_expired(spark, args.star, args.as_of, args.days):
             print("dropped", folder)

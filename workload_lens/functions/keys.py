@@ -27,5 +27,9 @@ def event_id() -> Column:
 
 
 def row_digest(columns: list[str]) -> list[Column]:
-    """Two independent 64-bit digests of a whole row (together one 128-bit row key)."""
-    return [F.xxhash64(F.lit(seed), *columns) for seed in (1, 2)]
+    """Two independent 64-bit digests of a whole row (together one 128-bit row key).
+
+    A hash passes over NULLs, so which columns are NULL is hashed as well.
+    """
+    nulls = [F.col(c).isNull() for c in columns]
+    return [F.xxhash64(F.lit(seed), *nulls, *columns) for seed in (1, 2)]

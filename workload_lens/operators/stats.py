@@ -42,15 +42,26 @@ def fingerprint_stats(merged: DataFrame) -> DataFrame:
 
 
 def merge_stats(*partials: DataFrame) -> DataFrame:
-    """One row per key from any number of statistics tables, as if over all samples."""
+    """One row per key from any number of statistics tables, as if over all samples.
+
+    Means are taken relative to that of their key first: counters have large means that lie
+    close together, and squares of such numbers have no digits left for their differences.
+    """
     rows = reduce(DataFrame.unionByName, [p.select(*_STATS_COLUMNS) for p in partials])
-    pooled = rows.groupBy(*STATS_KEY).agg(
-        F.max("last").alias("last"), *moment_parts("count", "mean", "deviation", ddof=1)
+    centres = rows.groupBy(*[F.col(c).alias(f"of_{c}") for c in STATS_KEY]).agg(
+        F.expr("coalesce(try_divide(sum(count * mean), sum(count)), 0D) as centre")
+    )
+    same = " and ".join(f"{c} <=> of_{c}" for c in STATS_KEY)
+    relative = rows.join(centres, F.expr(same)).withColumn("mean", F.col("mean") - F.col("centre"))
+    pooled = relative.groupBy(*STATS_KEY).agg(
+        F.max("last").alias("last"),
+        F.first("centre").alias("centre"),
+        *moment_parts("count", "mean", "deviation", ddof=1),
     )
     return pooled.select(
         *STATS_KEY,
         F.col("n").cast("long").alias("count"),
-        pooled_mean().alias("mean"),
+        (F.col("centre") + pooled_mean()).alias("mean"),
         pooled_deviation(ddof=1).alias("deviation"),
         "last",
     )

@@ -14,8 +14,20 @@ _SALTS = 64
 
 
 def _first_in_group(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+    """The first ``k`` rows of each group, without a task that ranks a whole one.
+
+    Spark limits the groups of each input split itself, unless ``k`` is large; then parts of
+    the groups are ranked first. The rows are the same either way.
+    """
+
+    def first(rows: DataFrame, keys: list[str]) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+
+    if k > _GROUP_LIMIT_MAX:
+        salt = F.pmod(row_digest(df.columns)[0], F.lit(_SALTS))
+        df = first(df.withColumn("salt", salt), [*group, "salt"]).drop("salt")
+    return first(df, group)
 
 
 def topk_by_metric(
@@ -55,9 +67,6 @@ def topk_union(
     ids = [*group, "q", "userid", "dbid", "queryid", "d1", "d2"]
     ranked = narrow.unpivot(ids, metrics, "metric", "value")
     order = [F.desc_nulls_first("value"), "q", "userid", "dbid", "queryid", "d1", "d2"]
-    if k > _GROUP_LIMIT_MAX:
-        salted = ranked.withColumn("salt", F.pmod("d1", F.lit(_SALTS)))
-        ranked = _first_in_group(salted, [*group, "metric", "salt"], order, k).drop("salt")
     winners = _first_in_group(ranked, [*group, "metric"], order, k).select("d1", "d2").distinct()
     kept = keyed.join(winners, ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
     return kept.select(columns)

@@ -130,12 +130,10 @@ def ingest_batch(
     if config.sanity_check:
         require(spark, config.sanity_check)
     create_star(spark, root)
-    if config.top_k is not None:
-        snapshots = topk_union(snapshots, config.top_k)
-
-    # Both are far smaller than the snapshots and are read several times below. A lost
-    # executor costs the recomputation of its share.
+    # All are read several times below. A lost executor costs the recomputation of its share.
     level = StorageLevel.MEMORY_AND_DISK
+    # Also without a limit a row that comes twice counts once.
+    snapshots = topk_union(snapshots, config.top_k).persist(level)
     texts = statement_texts(snapshots, config.context_patterns).persist(level)
     keys = EVENT_KEY + CONTEXT
     every = accumulate(annotate(snapshots, texts), [*keys, "reject_reason"]).persist(level)
@@ -171,6 +169,7 @@ def ingest_batch(
     finally:
         every.unpersist()
         texts.unpersist()
+        snapshots.unpersist()
 
 
 def _side_by_side(spark: SparkSession, *writes: Callable[[], None]) -> None:
