@@ -33,7 +33,7 @@ AGREE = 18
 #: few that an edit makes, its members would no longer be similar.
 BINS, IDF_RANGE = 1 << 16, 0.25
 #: Rounds of new representatives at most, after the first.
-ROUNDS = 4
+ROUNDS = 3
 #: Shingles that are sampled at a time.
 AT_ONCE = 8192
 
@@ -213,6 +213,14 @@ def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, "node binary, bag binary").dropDuplicates(["node"])
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, comp): the smallest node within two links. Nodes with one label are connected; others may be too."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label"))
+    far = near.select(F.col("node").alias("label"), F.col("label").alias("comp"))
+    return near.join(far, "label").select("node", "comp")
+
+
 def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(a, b) links between different texts that join what is similar, and (doc_id, node) of every document."""
     docs = docs.select("doc_id", "text")
@@ -229,8 +237,8 @@ def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY) -> tup
     draws = nodes.join(wanted, "node").select("node", "draws")
     links, tried = None, None
     for turn in range(1 + ROUNDS):
-        place = members if links is None else members.join(components(links), "node", "left")
-        comp = F.col("node") if links is None else F.coalesce("component", "node")
+        place = members if links is None else members.join(_labels(links), "node", "left")
+        comp = F.col("node") if links is None else F.coalesce("comp", "node")
         place = place.select("bucket", "node", comp.alias("comp"), F.xxhash64("node", F.lit(turn)).alias("order"))
         chosen = F.min(F.struct("order", "node", "comp"))
         heads = place.groupBy("bucket").agg(chosen.alias("h"), F.min("comp").alias("low"), F.max("comp").alias("high"))
