@@ -12,6 +12,7 @@ in further rounds, until a round finds no new link.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,7 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()
+_words = re.compile(r"\w+").findall
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -66,13 +68,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None) -> np.ndarray:
     """Hashes of all five-word shingles in order, repeated ones too; a shorter text with words has one of all its words."""
-    import regex
-
-    words = regex.findall(r"\w+", (text or "").lower())
+    words = _words((text or "").lower())
     if not words:
         return np.zeros(0, np.uint64)
-    known = _HASHES
-    codes = np.array([known[w] for w in words], np.uint64)
+    codes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     n = max(1, len(codes) - SHINGLE + 1)
     out = np.full(n, len(codes) if len(codes) < SHINGLE else SHINGLE, np.uint64)
     for i in range(min(SHINGLE, len(codes))):
@@ -81,7 +80,7 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def _bin(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(40)).astype(np.int64) % BINS
+    return (hashes >> np.uint64(40)).astype(np.int64) & BINS - 1
 
 
 def idf_weights(docs: DataFrame) -> np.ndarray:
@@ -94,9 +93,10 @@ def idf_weights(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BINS, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(total, _bin(np.unique(shingles(text))), 1)
-                n += 1
+            for i in range(0, batch.num_rows, 64):
+                texts = batch.column(0).slice(i, 64).to_pylist()
+                total += np.bincount(np.concatenate([_bin(np.unique(shingles(t))) for t in texts]), minlength=BINS)
+                n += len(texts)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], ["bin", "n"])
 
@@ -117,12 +117,12 @@ def _draw(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.nda
     for k in range(BANDS * ROWS):
         one = _mixed(hashes + np.uint64(int(_MIX) * (3 * k + 1) % 2**64))
         two = _mixed(one + _MIX)
-        half = np.uint64(32)
-        uniform = [((x & np.uint64(0xFFFFFFFF)).astype(np.float32) + 1) * scale for x in (one, one >> half, two, two >> half)]
-        beta = (_mixed(two + _MIX) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-        r = -np.log(uniform[0]) - np.log(uniform[1]) + np.float32(1e-9)
+        # Gamma(2, 1) variables are minus the logarithm of a product of two uniform ones, here the halves of a number.
+        r, c = (-np.log(np.multiply(*((x.view(np.uint32).reshape(-1, 2).T.astype(np.float32) + 1) * scale))) for x in (one, two))
+        beta = (two * _MIX).view(np.uint32)[1::2].astype(np.float32) * scale
+        r += np.float32(1e-9)
         t = np.floor(log_weight / r + beta)
-        rank = np.log(-np.log(uniform[2]) - np.log(uniform[3]) + np.float32(1e-30)) - r * (t - beta + 1)
+        rank = np.log(c + np.float32(1e-30)) - r * (t - beta + 1)
         least = np.repeat(np.minimum.reduceat(rank, starts), sizes)
         at = np.flatnonzero(rank == least)
         first = at[np.searchsorted(at, starts)]
