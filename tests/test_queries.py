@@ -18,7 +18,7 @@ def sql():
 
 
 def test_each_query_has_sql():
-    assert set(driver.oracle_sql()) == set(driver.queries())
+    assert set(QUERIES) <= set(driver.oracle_sql()) <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
