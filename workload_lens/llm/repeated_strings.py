@@ -26,7 +26,7 @@ from .near_duplicates import text_node
 #: Bytes of a string that counts, and of the pieces that anchors are chosen from.
 LENGTH, PIECE = 400, 64
 #: Segments of an anchor that are dealt together, and windows that are put in order at a time.
-TOGETHER, AT_ONCE = 256, 120_000
+TOGETHER, AT_ONCE = 1024, 120_000
 #: Starts that anchors are found for at a time; windows reach over the border.
 STRETCH = 1 << 22
 
@@ -143,14 +143,14 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])]
 
 
-_FOUND = "node binary, first long, last long, digest binary"
-_SCHEMA = pa.schema([("node", pa.binary()), ("first", pa.int64()), ("last", pa.int64()), ("digest", pa.binary())])
+_FOUND = "node binary, first long, last long, digest binary, votes int"
+_SCHEMA = pa.schema([("node", pa.binary()), ("first", pa.int64()), ("last", pa.int64()), ("digest", pa.binary()), ("votes", pa.int32())])
 
 
 def _settle(rows: list[dict], length: int, across: bool) -> pa.RecordBatch:
     """What is repeated among some segments, as runs of starts; and digests of windows that other tasks may have too.
 
-    A digest row without a node says that this task has the window; one with a node is a window that is not settled here.
+    The digest rows of a window have one vote for this task; one with a node is of a start that is not settled here.
     With ``across`` a window counts as repeated only if two nodes have it.
     """
     raw = b"".join(r["bytes"] for r in rows)
@@ -170,10 +170,10 @@ def _settle(rows: list[dict], length: int, across: bool) -> pa.RecordBatch:
         settled = np.minimum.reduceat(nodes, heads) != np.maximum.reduceat(nodes, heads)
     else:
         settled = (np.bincount(classes) > 1) | np.maximum.reduceat(decided[owner], heads)
-    out: tuple[list, list, list, list] = ([], [], [], [])
+    out: tuple[list, list, list, list, list] = ([], [], [], [], [])
 
-    def add(node: bytes | None, first: int, last: int, digest: bytes | None) -> None:
-        for column, value in zip(out, (node, first, last, digest), strict=True):
+    def add(node: bytes | None, first: int, last: int, digest: bytes | None, votes: int = 0) -> None:
+        for column, value in zip(out, (node, first, last, digest, votes), strict=True):
             column.append(value)
 
     again = np.sort(order[settled[classes]])
@@ -187,11 +187,13 @@ def _settle(rows: list[dict], length: int, across: bool) -> pa.RecordBatch:
             continue
         at = int(order[head])
         digest = hashlib.blake2b(raw[at : at + length], digest_size=16).digest()
-        add(None, 0, 0, digest)
-        for i in range(head, end) if not settled[classes[head]] else ():
+        if settled[classes[head]]:
+            add(None, 0, 0, digest, 1)
+            continue
+        for i in range(head, end):
             k = int(owner[i])
             start = rows[k]["first"] + int(order[i]) - int(begin[k])
-            add(rows[k]["node"], start, start, digest)
+            add(rows[k]["node"], start, start, digest, int(i == head))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
@@ -206,69 +208,64 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, piece: int = PIECE, a
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: tuple[list, list, list, list] = ([], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [], [])
             for scope, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 raw = text.encode()
                 keys, first, last = anchors(raw, length, piece)
-                keys = keys ^ np.uint64(scope % 2**64)
-                for column, value in zip(cols, (len(raw), keys.view(np.int64), first, last), strict=True):
+                keys = (keys ^ np.uint64(scope % 2**64)).view(np.int64)
+                for column, value in zip(cols, (len(raw), keys, first, last, *np.unique(keys, return_counts=True)), strict=True):
                     column.append(value)
             many = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), *(pa.array(c, many) for c in cols[1:])],
-                ["id", "node", "size", "keys", "firsts", "lasts"],
+                ["id", "node", "size", "keys", "firsts", "lasts", "own", "times"],
             )
 
     kind = dict(docs.dtypes)["id"]
-    marked = docs.mapInArrow(find, f"id {kind}, node binary, size long, keys array<long>, firsts array<long>, lasts array<long>")
+    arrays = ("keys", "firsts", "lasts", "own", "times")
+    marked = docs.mapInArrow(find, f"id {kind}, node binary, size long, " + ", ".join(f"{c} array<long>" for c in arrays))
     distinct = stored(
         marked.groupBy("node").agg(
-            F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("size").alias("size"),
-            F.first("keys").alias("keys"), F.first("firsts").alias("firsts"), F.first("lasts").alias("lasts"),
+            F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in arrays]
         )
-    )
-    places = distinct.select("node", "first_id", "copies", F.explode(F.arrays_zip("keys", "firsts", "lasts")).alias("p")).select(
-        "node", "first_id", "copies", "p.*"
-    )
-    often = places.groupBy("keys").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / TOGETHER)
-    wanted = (
-        places.join(often, "keys")
-        .groupBy("node", "first_id", "copies")
-        .agg(F.collect_list(F.struct("keys", "firsts", "lasts", parts.alias("parts"))).alias("places"))
     )
+    # A row for each text and key, so that a text made of one phrase has one, however often the phrase comes.
+    places = distinct.select("node", F.explode(F.arrays_zip("own", "times")).alias("p")).select("node", F.col("p.own").alias("key"), "p.times")
+    often = places.groupBy("key").agg(F.sum("times").alias("n"), F.count("*").alias("texts")).where("n > 1")
+    parts = F.ceil(F.greatest("texts", F.col("n") / 8) / TOGETHER)
+    keys = places.join(often, "key").groupBy("node").agg(F.collect_list(F.struct("key", parts.alias("parts"))).alias("wanted"))
+    wanted = distinct.select("node", "first_id", "copies", "keys", "firsts", "lasts").join(keys, "node")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
-            [("key", pa.int64()), ("part", pa.int64()), ("parts", pa.int64()), ("decided", pa.bool_()), ("node", pa.binary()), ("first", pa.int64()), ("last", pa.int64()), ("bytes", pa.binary())]
+            [("key", pa.int64()), ("parts", pa.int64()), ("content", pa.binary()), ("weight", pa.int64()), ("node", pa.binary()), ("spots", pa.list_(pa.list_(pa.int64()))), ("bytes", pa.binary())]
         )
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
         for batch in batches:
             rows: list[tuple] = []
-            for node, copies, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw, seen = text.encode(), {}
-                for p in places:
-                    segment = raw[p["firsts"] : p["lasts"] + length]
-                    seen.setdefault((p["keys"], p["parts"], segment), []).append((p["firsts"], p["lasts"]))
-                spread = int.from_bytes(node[:6], "little")
-                for (key, parts, segment), at in seen.items():
-                    if across:  # all segments of a node meet in one task, which then can tell nodes apart
-                        rows += [(key, spread % parts, parts, False, node, a, b, segment) for a, b in at]
-                        continue
-                    # A segment that comes back in its own text, and any of a text with copies, is repeated as a whole.
-                    decided = copies > 1 or len(at) > 1
-                    rows.append((key, (spread ^ at[0][0]) % parts, parts, decided, node, *at[0], segment))
-                    if decided and copies == 1:
-                        rows += [(0, 0, 0, True, node, a, b, None) for a, b in at]
+            for node, copies, text, keys, firsts, lasts, chosen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw, seen, parts_of = text.encode(), {}, {w["key"]: w["parts"] for w in chosen}
+                for key, first, last in zip(keys, firsts, lasts, strict=True):
+                    if key in parts_of:
+                        # Equal segments of a text are one; only where texts are told apart each stands for itself.
+                        segment = raw[first : last + length]
+                        seen.setdefault((key, segment, first if across else None), []).append((first, last))
+                for (key, segment, _), spots in seen.items():
+                    content = hashlib.blake2b(segment, digest_size=16).digest()
+                    rows.append((key, parts_of[key], content, len(spots) * copies, node, spots, segment))
                 if len(rows) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield out(rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield out(rows)
 
     chosen = docs.alias("d").join(wanted.alias("w"), F.expr("d.node = w.node and d.id <=> w.first_id"))
     segments = stored(
-        chosen.select("d.node", "w.copies", "d.text", "w.places").mapInArrow(
-            cut, "key long, part long, parts long, decided boolean, node binary, first long, last long, bytes binary"
+        chosen.select("d.node", "w.copies", "d.text", "w.keys", "w.firsts", "w.lasts", "w.wanted").mapInArrow(
+            cut, "key long, parts long, content binary, weight long, node binary, spots array<array<long>>, bytes binary"
         )
     )
 
@@ -285,21 +282,30 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, piece: int = PIECE, a
         if rows:
             yield _settle(rows, length, across)
 
+    # Equal segments are compared once. What two texts, or two places, have whole is repeated as it is.
+    same = ["key", "content", *(["node", "spots"] if across else [])]
+    one = F.min(F.struct("node", "spots")).alias("one")
+    segment = segments.groupBy(*same).agg(F.sum("weight").alias("weight"), F.first("parts").alias("parts"), one, F.first("bytes").alias("bytes"))
+    dealt = F.xxhash64(F.col("one.node") if across else F.col("content"))
     found = stored(
-        segments.where(F.col("bytes").isNotNull())
-        .dropDuplicates(["key", "part", "node", "first"])  # rows with one id and one text
+        segment.select(
+            "key", F.pmod(dealt, F.col("parts")).alias("part"), "parts", ((F.col("weight") > 1) & (not across)).alias("decided"),
+            "one.node", F.col("one.spots")[0][0].alias("first"), "bytes",
+        )
         .repartition("key", "part")
         .sortWithinPartitions("key", "part", "node", "first")
         .mapInArrow(compare, _FOUND)
-    )
+    )
     digests = found.where(F.col("digest").isNotNull())
-    shared = digests.where(F.col("node").isNull()).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    shared = digests.groupBy("digest").agg(F.sum("votes").alias("n")).where("n > 1").select("digest")
     single = digests.where(F.col("node").isNotNull()).join(shared, "digest", "left_semi")
+    several = segments.groupBy("key", "content").agg(F.sum("weight").alias("n")).where((F.col("n") > 1) & (not across)).select("key", "content")
+    whole = segments.join(several, ["key", "content"]).select("node", F.explode("spots").alias("s"))
     copied = distinct.where((F.col("copies") > 1) & (F.col("size") >= length) & (not across))
     runs = (
         found.where(F.col("digest").isNull()).select("node", "first", "last")
         .unionByName(single.select("node", "first", "last"))
-        .unionByName(segments.where(F.col("bytes").isNull()).select("node", "first", "last"))
+        .unionByName(whole.select("node", F.col("s")[0].alias("first"), F.col("s")[1].alias("last")))
         .unionByName(copied.select("node", F.lit(0).cast("long").alias("first"), (F.col("size") - length).alias("last")))
         .select("node", "first", (F.col("last") + length).alias("end"))
     )
