@@ -70,8 +70,11 @@ def test_windows_in_pieces_pass_together(spark, make_snapshots, tmp_path):
     first = {"day": 1, "query": "select a", "queryid": 1}
     assert deliver([first]).count() == 0
     assert deliver([dict(first), {"day": 1, "query": "select b", "queryid": 2}]).count() == 0
+    assert deliver([{"day": 1, "query": "select b", "queryid": 2, "calls": 5.0}]).count() == 0
     closed = deliver([{"day": 5, "query": "select c", "queryid": 3}])
-    assert sorted(r.query for r in closed.collect()) == ["select a", "select b"]
+    assert sorted((r.query, r.calls) for r in closed.collect()) == [
+        ("select a", 1.0), ("select b", 1.0), ("select b", 5.0)
+    ]
     assert set(METRICS) <= set(closed.columns)
 
 

@@ -22,6 +22,8 @@ _SETTINGS = {
     "Cluster": "cluster",
     "Role": "role",
 }
+# Settings of this library in the same file.
+_OWN_SETTINGS = {"TopK": "top_k", "RetentionDays": "retention_days"}
 _PATTERN_SETTINGS = {
     "ContextController": "controller",
     "ContextAction": "action",
@@ -49,7 +51,7 @@ class JobConfig:
     def from_json(cls, text: str) -> "JobConfig":
         """Read the JSON settings; connection settings in the same file are ignored."""
         raw = json.loads(text)
-        values = {attr: raw[name] for name, attr in _SETTINGS.items() if name in raw}
+        values = {attr: raw[name] for name, attr in {**_SETTINGS, **_OWN_SETTINGS}.items() if name in raw}
         patterns = {label: raw.get(name, "") for name, label in _PATTERN_SETTINGS.items()}
         return cls(**values, context_patterns=patterns)
 

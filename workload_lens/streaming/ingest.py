@@ -1,5 +1,7 @@
 """Structured Streaming twins of the batch jobs."""
 
+import hashlib
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,13 +15,13 @@ from workload_lens.schemas import METRICS, SOURCE, STATEMENT_ID, WINDOW
 def hold_until_closed(snapshots: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Let the rows of a window pass together, once the watermark is past its end.
 
-    Use it for sources that deliver a window in several pieces or several times: equal
-    rows become one, and rows of a window that has passed already are dropped as late. The
-    state holds the open windows only.
+    Use it for sources that deliver a window in several pieces or several times: rows that
+    are equal in every column become one, all others stay, and rows of a window that has
+    passed already are dropped as late. The state holds the open windows only.
     """
-    keys = [*WINDOW, *SOURCE, *STATEMENT_ID]
-    held = snapshots.withWatermark("window_end", delay).groupBy(*keys)
-    return held.agg(*[F.max(m).alias(m) for m in METRICS])
+    columns = [*WINDOW, *SOURCE, *STATEMENT_ID, *METRICS]
+    held = snapshots.withWatermark("window_end", delay).groupBy(*columns)
+    return held.agg(F.count("*").alias("deliveries")).drop("deliveries")
 
 
 def start_ingest(
@@ -32,17 +34,19 @@ def start_ingest(
     """Ingest snapshots as they arrive; ``once`` stops when nothing is left to read.
 
     Statistics of several windows are folded into one write per trigger, which is twice
-    the observation interval. The id of the micro-batch names its partitions in the store,
-    so a batch that is repeated after a failure replaces itself.
+    the observation interval. The checkpoint folder and the id of the micro-batch name its
+    partitions in the store, so a batch that is repeated after a failure replaces itself,
+    and those of other streams, or of an earlier checkpoint, stay.
     """
     config = config or JobConfig()
+    stream = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # The batch is read several times; its stateful part should run once.
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if not batch.isEmpty():
-                ingest_batch(batch, root, f"stream-{batch_id:012d}", config)
+                ingest_batch(batch, root, f"stream-{stream}-{batch_id:012d}", config)
         finally:
             batch.unpersist()
 
