@@ -26,7 +26,7 @@ from .near_duplicates import text_node
 #: Bytes of a string that counts, and of the pieces that anchors are chosen from.
 LENGTH, PIECE = 400, 64
 #: Segments of an anchor that are dealt together, and windows that are put in order at a time.
-TOGETHER, AT_ONCE = 1024, 120_000
+TOGETHER, AT_ONCE = 256, 100_000
 #: Starts that anchors are found for at a time; windows reach over the border.
 STRETCH = 1 << 22
 
