@@ -269,8 +269,9 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS, windows:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.string()))], ["doc_id", "toxic", "windows"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").dropDuplicates(["doc_id"])
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    joined = joined.dropDuplicates(["doc_id"])
     rows = joined.mapInArrow(cut, f"doc_id {kind}, toxic int, windows array<string>").collect()
     drawn = Counter(r["toxic"] for r in rows)
     weight = {y: population[y] / n * len(rows) / sum(population.values()) for y, n in drawn.items()}
