@@ -5,9 +5,10 @@ frequency. Consistent weighted sampling draws shingles so that two texts draw th
 their weighted Jaccard similarity; the draws are banded, texts that agree in a band are candidates, and a candidate
 pair is a link if its weighted Jaccard similarity, computed from all shingles, reaches the threshold.
 
-Equal texts are one node from the start. In a band's bucket every member is compared with one representative, so a
-bucket costs as many pairs as it has members. Members that stay apart from it are compared with other representatives
-in further rounds, until a round finds no new link.
+Equal texts are one node from the start. In a band's bucket every member is compared with one representative, in a
+crowded bucket the one that agrees best with its most frequent draws, so a group of edited copies meets its original.
+That joins most of what is similar for as many pairs as a bucket has members. What a bucket still holds apart is then
+compared whole: its members are dealt in blocks, and each two blocks that are not of one component meet in some task.
 """
 
 from __future__ import annotations
@@ -33,8 +34,12 @@ AGREE = 18
 #: range is small because the shingles of a large group of near copies are frequent: were they worth much less than the
 #: few that an edit makes, its members would no longer be similar.
 BINS, IDF_RANGE = 1 << 16, 0.25
-#: Rounds of new representatives at most, after the first.
-ROUNDS = 3
+#: Rounds of new representatives in crowded buckets, after the first. They only save comparisons of the last step.
+ROUNDS = 2
+#: Members of a crowded bucket, and about how many of them tell its most frequent draws.
+CROWD, SAMPLE = 32, 64
+#: Members of a block, and shingles of two blocks that are compared at a time.
+BLOCK, COLUMNS = 128, 4096
 #: Shingles that are sampled at a time.
 AT_ONCE = 8192
 
@@ -213,12 +218,126 @@ def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, "node binary, bag binary").dropDuplicates(["node"])
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node within two links. Nodes with one label are connected; others may be too."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label"))
-    far = near.select(F.col("node").alias("label"), F.col("label").alias("comp"))
-    return near.join(far, "label").select("node", "comp")
+def _parts(bag: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of a sorted bag, repeated ones told apart by their number, and their weights."""
+    v = np.frombuffer(bag, np.uint64)
+    number = (np.arange(len(v)) - np.searchsorted(v, v)).astype(np.uint64)
+    return _mixed(v + number * _MIX), idf[_bin(v)].astype(np.float64)
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+    """(left, right) weights of what two sets of elements share; weights are those of the left ones."""
+    (x, i), (y, j) = ((np.concatenate(s), np.repeat(np.arange(len(s)), [len(e) for e in s])) for s in (left, right))
+    both, first = np.unique(x, return_index=True)
+    here = np.isin(both, y)
+    both, weight = both[here], np.concatenate(weights)[first[here]]
+    out = np.zeros((len(left), len(right)))
+    for at in range(0, len(both), COLUMNS):
+        part = both[at : at + COLUMNS]
+        one, two = np.zeros((len(left), len(part))), np.zeros((len(right), len(part)))
+        for table, row, element in ((one, i, x), (two, j, y)):
+            place = np.minimum(np.searchsorted(part, element), len(part) - 1)
+            hit = part[place] == element
+            table[row[hit], place[hit]] = 1
+        out += one * weight[at : at + COLUMNS] @ two.T
+    return out
+
+
+def _block_links(rows: list[tuple], idf: np.ndarray, similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links that join what is similar in two blocks, of all pairs. rows: side, node, comp, bag; one block alone has side 0."""
+    left = [r for r in rows if r[0] == 0]
+    right = [r for r in rows if r[0] == 1] or left
+    sides = [[_parts(r[3], idf) for r in left]]
+    sides.append(sides[0] if right is left else [_parts(r[3], idf) for r in right])
+    shared = _shared([e for e, _ in sides[0]], [e for e, _ in sides[1]], [w for _, w in sides[0]])
+    one, two = (np.array([w.sum() for _, w in s]) for s in sides)
+    near = shared >= (similarity - 1e-6) * (one[:, None] + two[None, :] - shared)
+    root: dict[bytes, bytes] = {}
+
+    def find(c: bytes) -> bytes:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(*(k.tolist() for k in np.nonzero(np.triu(near, 1) if right is left else near)), strict=True):
+        a, b = find(left[i][2]), find(right[j][2])
+        if a != b and _similar(left[i][3], right[j][3], idf) >= similarity:
+            root[a] = b
+            out.append((max(left[i][1], right[j][1]), min(left[i][1], right[j][1])))
+    return out
+
+
+def _rest(place: DataFrame, bags: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Links between components (bucket, node, comp) that share a bucket, from all pairs of its members that they tell apart."""
+    several = place.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
+    place = stored(place.join(several, "bucket"))
+    # A large component fills blocks of its own, which need not meet each other; small ones share blocks.
+    sizes = place.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    rest = sizes.where(F.col("c") < BLOCK).groupBy("bucket").agg(F.sum("c").alias("rest"))
+    large, deal = F.col("c") >= BLOCK, F.xxhash64("node")
+    own = F.when(large, F.col("comp"))
+    block = F.xxhash64(own, F.pmod(deal, F.ceil(F.when(large, F.col("c")).otherwise(F.col("rest")) / BLOCK)))
+    dealt = stored(
+        place.join(sizes, ["bucket", "comp"]).join(rest, "bucket", "left").select("bucket", "node", "comp", block.alias("block"), own.alias("own"))
+    )
+    blocks = dealt.select("bucket", "block", "own").distinct()
+    one, two = blocks.alias("x"), blocks.alias("y")
+    meet = one.join(two, F.expr("x.bucket = y.bucket and x.block <= y.block and (x.own is null or y.own is null or x.own != y.own)"))
+    seats = F.expr("if(x.block = y.block, array(struct(0 as side, x.block as block)), array(struct(0 as side, x.block as block), struct(1 as side, y.block as block)))")
+    meet = meet.select("x.bucket", F.col("x.block").alias("one"), F.col("y.block").alias("two"), F.explode(seats).alias("s"))
+    rows = meet.select("bucket", "one", "two", "s.side", "s.block").join(dealt.drop("own"), ["bucket", "block"]).join(bags, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            links = _block_links(rows, idf, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        rows: list[tuple] = []
+        group = None
+        for batch in batches:
+            for bucket, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and (bucket, x, y) != group:
+                    yield out(rows)
+                    rows = []
+                group = (bucket, x, y)
+                rows.append(tuple(row))
+        if rows:
+            yield out(rows)
+
+    key = ("bucket", "one", "two")
+    return rows.select(*key, "side", "node", "comp", "bag").repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(run, "a binary, b binary")
+
+
+def _frequent_draws(sample: DataFrame) -> DataFrame:
+    """(bucket, mode): the most frequent value of each draw in a sample of a bucket's members (bucket, draws)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            modes = []
+            for draws in batch.column(1).to_pylist():
+                found = [np.unique(column, return_counts=True) for column in np.array(draws).T]
+                modes.append([int(values[np.argmax(counts)]) for values, counts in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(modes, pa.list_(pa.int32()))], ["bucket", "mode"])
+
+    return sample.groupBy("bucket").agg(F.collect_list("draws").alias("draws")).mapInArrow(run, "bucket long, mode array<int>")
+
+
+def _agreement(x: str, y: str) -> Column:
+    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda e: e))
+
+
+def _heads(place: DataFrame, draws: DataFrame, turn: int) -> DataFrame:
+    """(bucket, head, head_comp): of a crowded bucket the member that agrees best with its frequent draws, else any one."""
+    order = F.xxhash64("node", "bucket", F.lit(turn))
+    crowd = stored(place.where(F.col("n") >= CROWD).join(draws, "node"))
+    sample = crowd.where(F.pmod(order, F.ceil(F.col("n") / SAMPLE)) == 0).select("bucket", "draws")
+    agree = F.coalesce(_agreement("draws", "mode"), F.lit(0))
+    scored = crowd.join(_frequent_draws(sample), "bucket", "left").select("bucket", "node", "comp", agree.alias("agree"))
+    if turn == 0:
+        scored = scored.unionByName(place.where(F.col("n") < CROWD).select("bucket", "node", "comp", F.lit(0).alias("agree")))
+    best = scored.groupBy("bucket").agg(F.max(F.struct("agree", order.alias("order"), "node", "comp")).alias("h"))
+    return best.select("bucket", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"))
 
 
 def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -230,19 +349,20 @@ def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY) -> tup
         sampled.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("draws").alias("draws"), F.first("bands").alias("bands"))
     )
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(members.join(shared, "bucket"))
     wanted = members.select("node").distinct()
     bags = stored(_bags(docs, nodes.select("node", "first_id").join(wanted, "node")))
     draws = nodes.join(wanted, "node").select("node", "draws")
-    links, tried = None, None
+    one, two = draws.select(F.col("node").alias("a"), F.col("draws").alias("x")), draws.select(F.col("node").alias("b"), F.col("draws").alias("y"))
+    place, links, tried, led = members.withColumn("comp", F.col("node")), None, None, None
     for turn in range(1 + ROUNDS):
-        place = members if links is None else members.join(_labels(links), "node", "left")
-        comp = F.col("node") if links is None else F.coalesce("comp", "node")
-        place = place.select("bucket", "node", comp.alias("comp"), F.xxhash64("node", F.lit(turn)).alias("order"))
-        chosen = F.min(F.struct("order", "node", "comp"))
-        heads = place.groupBy("bucket").agg(chosen.alias("h"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        heads = heads.where(F.col("low") != F.col("high")).select("bucket", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"))
+        free = place
+        if turn:  # who stands apart from every representative that its bucket has had
+            free = place.where(F.col("n") >= CROWD)
+            held = free.join(led.select("bucket", F.col("head").alias("node")), ["bucket", "node"], "left_semi").select("bucket", "comp").distinct()
+            free = free.join(held, ["bucket", "comp"], "left_anti")
+        heads = stored(_heads(free, draws, turn))
         pairs = (
             place.join(heads, "bucket")
             .where(F.col("comp") != F.col("head_comp"))
@@ -252,15 +372,19 @@ def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY) -> tup
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs)
-        one, two = draws.select(F.col("node").alias("a"), F.col("draws").alias("x")), draws.select(F.col("node").alias("b"), F.col("draws").alias("y"))
-        agree = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda e: e))
-        close = pairs.join(one, "a").join(two, "b").where(agree >= AGREE).select("a", "b")
+        close = pairs.join(one, "a").join(two, "b").where(_agreement("x", "y") >= AGREE).select("a", "b")
         found = stored(_verified(close, bags, idf, similarity))
-        links = found if links is None else links.unionByName(found)
+        if turn and found.isEmpty():
+            break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if found.isEmpty():
+        led = heads if led is None else led.unionByName(heads)
+        label = components(found if links is None else links.unionByName(found))
+        links = label.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        # A bucket of two is settled: its members have been compared.
+        place = stored(members.where("n > 2").join(label, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("comp")))
+        if place.where(F.col("n") >= CROWD).isEmpty():
             break
-    return links, sampled.select("doc_id", "node")
+    return links.unionByName(stored(_rest(place.drop("n"), bags, idf, similarity))), sampled.select("doc_id", "node")
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
