@@ -67,6 +67,16 @@ def start_table(
     return writer.start()
 
 
+def with_open_windows(closed: DataFrame, every: DataFrame) -> DataFrame:
+    """What a stopped stream over a bounded table has emitted, and the windows it still held open.
+
+    ``every`` has the windows of the whole table, from a batch by the same plan. A stream emits all
+    rows of a window_end or none, so those of an end that it has not emitted are the open ones.
+    """
+    emitted = closed.select("window_end").distinct()
+    return closed.unionByName(every.join(emitted, "window_end", "left_anti"))
+
+
 def progress(query: StreamingQuery, config: JobConfig) -> dict[str, object]:
     """Status of the last micro-batch; ``overrun`` if it took longer than its trigger."""
     last = query.lastProgress
