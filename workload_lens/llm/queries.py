@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from . import bpe, decontaminate, html_text, langid, near_duplicates, neighbours, repeated_strings, token_files, toxicity, url_reputation
+import zlib
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import (
+    bpe,
+    decontaminate,
+    html_text,
+    langid,
+    near_duplicates,
+    neighbours,
+    periodic_runs,
+    repeated_strings,
+    secret_scan,
+    spelling,
+    token_files,
+    toxicity,
+    url_reputation,
+)
 from .common import PLAIN_WORD, read_table
 
 
@@ -50,6 +67,76 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_strings.removal(read_table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(secret_scan.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
+def secret_digests(found: DataFrame) -> DataFrame:
+    """Counts and digests of the spans of documents, which are in order."""
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def of_kind(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    base = secret_scan.KINDS[:3]
+    return found.select(
+        "doc_id",
+        *[F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(listed(of_kind(*base)), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.word_counts(read_table(spark, sf_dir, "documents"), change=spelling.without_a_letter)
+    return spelling.spelling_groups(counts)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document, by the crc32 of its doc_id, repeats some of its words up to its end."""
+
+    def plant(doc_id: object, text: str | None) -> str | None:
+        h = zlib.crc32(str(doc_id).encode())
+        words = (text or "").encode().split()
+        if doc_id is None or h % 10 or not words:
+            return text
+        n, g = len(words), h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        return b" ".join(words[i if i < a else a + (i - a) % p] for i in range(n)).decode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, periodic_runs.AT_ONCE):
+                part = batch.slice(i, periodic_runs.AT_ONCE)
+                texts = [plant(*row) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text string")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs.periodic_runs(with_planted_runs(read_table(spark, sf_dir, "documents"))))
+
+
+def run_digests(found: DataFrame) -> DataFrame:
+    """The number of runs, the one with the most periods, and digests of all runs and of the collapsed text."""
+    more = "l.length * r.period - r.length * l.period"
+    first = F.expr(f"""get(array_sort(runs, (l, r) -> case when {more} > 0 then -1 when {more} < 0 then 1
+        when l.start < r.start or (l.start = r.start and l.period < r.period) then -1 else 1 end), 0)""")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", first).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_neighbours": op2_neighbours,
@@ -61,6 +148,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_decontamination": op9_decontamination,
     "op10_repeated_strings": op10_repeated_strings,
+    "op11_secrets": op11_secrets,
+    "op12_spelling": op12_spelling,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
