@@ -83,4 +83,4 @@ def test_command_line(spark, make_snapshots, tmp_path, monkeypatch, capsys):
     )
     assert "select ?" in out and '"action":"a"' in out
     out = run("retain", "--star", star, "--as-of", "2024-01-23")
-    assert out.count("dropped") == 2 and read_star(spark, star).statement_events.count() == 1
+    assert out.count("expired") == 1 and read_star(spark, star).statement_events.count() == 1

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from workload_lens.functions.moments import (
     combine_parts,
     moment_parts,
+    moment_shift,
     pooled_deviation,
-    pooled_mean,
+    pooled_parts,
+    with_centre,
 )
 from workload_lens.operators.merge import (
     accumulate,
@@ -38,21 +40,53 @@ groups = st.lists(
 )
 
 
+def pooled(df, ddof, steps):
+    """Mean and deviation of (half, n, m, d), directly or by way of the halves."""
+    shifted = df.withColumn("key", F.lit(1)).withColumn("shift", moment_shift("m"))
+    parts = moment_parts("n", "m", "d", ddof=ddof)
+    if steps:
+        grouped = shifted.groupBy("key", "half", "shift").agg(*parts)
+        grouped = grouped.groupBy("key", "shift").agg(*combine_parts())
+    else:
+        grouped = shifted.groupBy("key", "shift").agg(*parts)
+    once = with_centre(grouped, ["key"]).groupBy("key").agg(*pooled_parts())
+    return once.select("mean", pooled_deviation(ddof=ddof)).first()
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(groups, st.sampled_from([0, 1]))
-def test_pooling_equals_direct_statistics(spark, samples, ddof):
+@given(groups, st.sampled_from([0, 1]), st.sampled_from([0.0, -1e7, 1e10]))
+def test_pooling_equals_direct_statistics(spark, samples, ddof, far):
     deviation = statistics.pstdev if ddof == 0 else lambda v: statistics.stdev(v) if len(v) > 1 else 0.0
+    samples = [[x + far for x in v] for v in samples]
     rows = [(i % 2, float(len(v)), statistics.fmean(v), deviation(v)) for i, v in enumerate(samples)]
     df = spark.createDataFrame(rows, "half int, n double, m double, d double")
-    direct = df.agg(*moment_parts("n", "m", "d", ddof=ddof))
-    halves = df.groupBy("half").agg(*moment_parts("n", "m", "d", ddof=ddof)).agg(*combine_parts())
     everything = [x for v in samples for x in v]
-    for parts in (direct, halves):
-        mean, dev = parts.select(pooled_mean(), pooled_deviation(ddof=ddof)).first()
-        assert mean == pytest.approx(statistics.fmean(everything), abs=1e-6)
+    for steps in (False, True):
+        mean, dev = pooled(df, ddof, steps)
+        assert mean == pytest.approx(statistics.fmean(everything), abs=1e-6 + abs(far) * 1e-15)
         assert dev == pytest.approx(deviation(everything), abs=1e-4)
 
 
+def test_large_means_of_one_window_keep_their_deviation(make_snapshots):
+    rows = [
+        {"query": f"/*action:a{x}*/ select 1", "calls": 1.0, "mean_time": 1e10 + x, "stddev_time": 0.0}
+        for x in (0, 100, 200, 300)
+    ]
+    merged = window_merge(annotate(make_snapshots(rows))).first()
+    assert merged.stddev_time == pytest.approx(111.8033989) and merged.mean_time == 1e10 + 150
+
+
+def test_means_on_both_sides_of_a_shift(spark):
+    rows = [(0, 1.0, 4096.0 + x, 0.0) for x in (-0.75, -0.25, 0.25, 0.75)] + [(1, 2.0, 0.0, 0.0), (1, 0.0, 9e9, 5.0)]
+    df = spark.createDataFrame(rows, "half int, n double, m double, d double")
+    values = [4096.0 + x for x in (-0.75, -0.25, 0.25, 0.75)]
+    mean, dev = pooled(df.where("half = 0"), 0, True)
+    assert mean == pytest.approx(4096.0) and dev == pytest.approx(statistics.pstdev(values))
+    mean, dev = pooled(df, 0, True)
+    assert mean == pytest.approx(statistics.fmean([*values, 0, 0]))
+    assert dev == pytest.approx(statistics.pstdev([*values, 0, 0]))
+
+
 def test_single_statement_keeps_its_deviation(make_snapshots):
     rows = [{"calls": 7.0, "mean_time": 1e9, "stddev_time": 0.125}]
     merged = window_merge(annotate(make_snapshots(rows))).first()

@@ -3,6 +3,7 @@
     python -m verification.compare <folder with the parquet tables> [query ...]
 """
 
+import os
 import sys
 import time
 
@@ -59,7 +60,7 @@ def difference(spark_rows: pd.DataFrame, sql_rows: pd.DataFrame) -> str | None:
 
 def main(sf_dir: str, names: list[str]) -> int:
     spark = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master(f"local[{os.environ.get('COMPARE_CPUS', '8')}]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")

@@ -7,6 +7,7 @@ from verification.snapshot_view import (
     CUT_CTES,
     DAMAGED_CTES,
     LIST_CTES,
+    ODD_CTES,
 )
 from workload_lens.config import CONTEXT_PATTERNS
 from workload_lens.schemas import METRICS
@@ -61,17 +62,21 @@ _GROUPED = ", ".join(f"sum({m}) as {m}" for m in ADDITIVE)
 
 
 def merged_cte(name: str, keys: str) -> str:
+    """Merged statements; means and deviations are those of the single calls."""
     return f""",
-{name}_parts as (
-  select {keys}, {_GROUPED}, min(min_time) as min_time, max(max_time) as max_time,
-    sum(calls * mean_time) as nm, sum(calls * mean_time * mean_time) as nm2,
-    sum(calls * stddev_time * stddev_time) as within, min(mean_time) as lo, max(mean_time) as hi
+{name}_sums as (
+  select {keys}, {_GROUPED}, min(min_time) as min_time, max(max_time) as max_time
   from st group by {keys}),
-{name} as (
-  select {keys}, {", ".join(ADDITIVE)}, min_time, max_time, nm / calls as mean_time,
-    sqrt((within + case when lo < hi then greatest(nm2 - nm * nm / calls, 0) else 0 end) / calls)
-      as stddev_time
-  from {name}_parts)"""
+{name}_calls as (
+  select {keys}, avg(value) as mean_time, stddev_pop(value) as stddev_time from one group by {keys}),
+{name} as (select * from {name}_sums join {name}_calls using ({keys}))"""
+
+
+_ONE = """select ws as window_start, ws + interval '1' day as window_end, 'shop' as project,
+  'production' as environment, concat('c', cl) as cluster,
+  case when ro = 0 then 'primary' else 'secondary' end as role,
+  concat('db-c', cl, '-', ro, '.example') as fqdn, fingerprint, value
+from stmt join lab on stmt.query = lab.query"""
 
 
 LABELLED = f"""{BASE_CTES},
@@ -81,7 +86,8 @@ lab as (
     {", ".join(context(c) for c in CONTEXT_PATTERNS)}
   from txt),
 st as (select s.*, l.fingerprint, l.controller, l.action, l.job_tag
-       from snap s join lab l on s.query = l.query)"""
+       from snap s join lab l on s.query = l.query),
+one as ({_ONE})"""
 
 MERGED = LABELLED + merged_cte("merged", KEY + ", fingerprint")
 
@@ -269,7 +275,6 @@ select window_start, window_start + interval '6 hours' as window_end, project, e
   {f7("max(duration)", "max_time")}, {f7("avg(duration)", "mean_time")},
   {f7("stddev_pop(duration)", "stddev_time")}, sum(rows)::double as rows
 from six group by window_start, project, environment, cluster, role, fqdn, userid, dbid, query"""
-_CLOSED = "(select max(ts) from events)"
 
 _REASON = """case when query = '' then 'empty'
   when query like '%''cut' and regexp_matches(query, '_temp_table_[0-9a-z]{6}|_cursor_[0-9a-z]')
@@ -282,11 +287,17 @@ judged as (
   from broken)"""
 
 
-def _fk(column: str, table: str) -> str:
-    return f"""select '{column}' as column_name, {column} as id, count(*) as uses from ec
+def _fk(column: str, table: str, fact: str = "ec") -> str:
+    return f"""select '{column}' as column_name, {column} as id, count(*) as uses from {fact}
       where {column} is not null and {column} not in (select id from {table}) group by {column}"""
 
 
+_ODD_RULES = """concat_ws(',',
+  case when project is null then 'not_null_project' end,
+  case when role is null then 'not_null_role' end,
+  case when not window_end > window_start then 'window_order' end)"""
+
+
 def dim(table: str) -> str:
     return f"with {STAR} select * from {table}"
 
@@ -414,8 +425,41 @@ ORACLES: dict[str, str] = {
         sum(calls) as calls, {f7("sum(time)", "total_ms")}
       from ev join physical_sources p on p.id = physical_source_id
       group by fqdn, ev.observed_date""",
-    "streaming_tumbling_stats": f"select * from ({_TUMBLING}) where window_end <= {_CLOSED}",
-    "streaming_ingest_stats": f"""with {MERGED},
-      closed as (select * from merged where window_end <= {_CLOSED}){stats_cte("closed")}
+    "streaming_tumbling_stats": _TUMBLING,
+    "streaming_ingest_stats": f"with {STATS} {STATS_SELECT}",
+    "stats_upsert": f"with {STATS} {STATS_SELECT}",
+    "stats_since": f"""with {STAR},
+      kept as (select * from merged where window_start >= timestamp '2024-01-16'){stats_cte("kept")}
       {STATS_SELECT}""",
+    "ingest_window_in_pieces": f"with {STAR} select * replace ({f7('time')}, {DAY}) from ev",
+    "ingest_pieces_stats": f"with {STATS} {STATS_SELECT}",
+    "ingest_redelivery": f"with {STAR} select * replace ({DAY}) from ec",
+    "ingest_batch_rewritten": f"""with {STAR}
+      select * replace ({f7('time')}, {DAY}) from ev where ev.observed_date < date '2024-01-21'""",
+    "ingest_rejects": f"""with {ODD_CTES},
+      judged as (select *, {_ODD_RULES} as broken from odd)
+      select {KEY}, query, case when broken <> '' then broken else 'empty' end as reject_reason,
+        count(*) as statements, cast(window_start as date)::varchar as observed_date
+      from judged where broken <> '' or query = '' group by all""",
+    "ingest_quality": f"""with {ODD_CTES},
+      judged as (select *, {canonical("query")} as form from odd where {_ODD_RULES} = '')
+      select {KEY}, count(*) as statements,
+        count(distinct case when query <> '' then form end) as unique_fingerprints,
+        sum(case when query = '' then 1 else 0 end)::bigint as rejected from judged group by {KEY}""",
+    "dim_fingerprints_upsert": dim("fingerprints"),
+    "fk_violations_events": f"""with {STAR},
+      some_fingerprints as (select id from fingerprints where id % 3 <> 0),
+      some_hosts as (select id from physical_sources where id % 2 <> 0)
+      {_fk("fingerprint_id", "some_fingerprints", "ev")}
+      union all {_fk("logical_source_id", "logical_sources", "ev")}
+      union all {_fk("physical_source_id", "some_hosts", "ev")}""",
+    "fk_violations_stats": f"""with {STATS},
+      some_fingerprints as (select id from fingerprints where id % 3 <> 0),
+      some_sources as (select id from logical_sources where id <> 0)
+      {_fk("fingerprint_id", "some_fingerprints", "stats")}
+      union all {_fk("logical_source_id", "some_sources", "stats")}""",
+    "window_merge_shifted": f"""with {LABELLED}
+      select {KEY}, fingerprint, count(*)::double as calls,
+        round(stddev_pop(value + 1e10) + 0.0314, 1) as stddev_near
+      from one group by {KEY}, fingerprint""",
 }

@@ -30,12 +30,12 @@ from workload_lens.operators.merge import (
     statement_texts,
     window_merge,
 )
-from workload_lens.plans import ingest, reports
+from workload_lens.plans import ingest, maintain, reports
 from workload_lens.schemas import METRICS, SOURCE, WINDOW
 from workload_lens.session import scratch_folder
 from workload_lens.sources.snapshots import adapt_split_timings, as_snapshots
-from workload_lens.sources.star import Star, read_star, retained
-from workload_lens.streaming.ingest import start_ingest, start_table
+from workload_lens.sources.star import Star, day_statistics, read_star, read_table, retained
+from workload_lens.streaming.ingest import end_input, start_ingest, start_table, with_end
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,7 @@ def stored_star(spark: SparkSession, sf_dir: str) -> Star:
             _STARS[key] = ingest.derive_star(snapshots, config)
         else:
             ingest.ingest_batch(snapshots, folder, "all", config)
+            maintain.maintain(spark, folder)
             _STARS[key] = read_star(spark, folder)
     return _STARS[key]
 
@@ -407,11 +408,16 @@ def _folder(spark: SparkSession) -> str:
 
 
 def streaming_tumbling_stats(spark, sf_dir):
-    """The tumbling windows computed by a stream over the same table."""
+    """The tumbling windows computed by a stream over the same table, up to its end."""
     folder = _folder(spark)
-    source = view.calls(spark, sf_dir, stream=True)
+    source = with_end(view.calls(spark, sf_dir, stream=True), f"{folder}/end")
     windows = tumbling_snapshots(source, "6 hours", counters=["rows"], watermark="0 seconds")
-    start_table(windows, f"{folder}/table", f"{folder}/checkpoint", once=True).awaitTermination()
+
+    def start():
+        return start_table(windows, f"{folder}/table", f"{folder}/checkpoint", once=True)
+
+    start().awaitTermination()
+    end_input(spark, source.schema, f"{folder}/end", "ts", start)
     table = spark.read.schema(windows.schema).parquet(f"{folder}/table")
     return comparable(table, *[c for c in table.columns if c in TIMINGS])
 
@@ -423,17 +429,162 @@ def streaming_ingest_stats(spark, sf_dir):
     make up one micro-batch, so their order does not matter.
     """
     folder = _folder(spark)
-    calls = view.calls(spark, sf_dir, stream=True)
+    calls = with_end(view.calls(spark, sf_dir, stream=True), f"{folder}/end")
     counters = [m for m in METRICS if m in calls.columns]
     windows = tumbling_snapshots(calls, "1 day", counters=counters, watermark="0 seconds")
     config = JobConfig(top_k=None)
     root = f"{folder}/star"
-    query = start_ingest(
-        as_snapshots(windows), root, f"{folder}/checkpoint", config, once=True
+
+    def start():
+        return start_ingest(as_snapshots(windows), root, f"{folder}/checkpoint", config, once=True)
+
+    start().awaitTermination()
+    end_input(spark, calls.schema, f"{folder}/end", "ts", start)
+    return comparable(read_star(spark, root).fingerprint_stats, "mean", "deviation")
+
+
+# --- the store: pieces, repeats, rewritten batches ---------------------------------------------------
+ALL = JobConfig(top_k=None)
+
+
+def _thirds(snapshots: DataFrame) -> list[DataFrame]:
+    early = F.col("window_start") < F.expr("TIMESTAMP '2024-01-11 00:00:00'")
+    late = F.col("window_start") >= F.expr("TIMESTAMP '2024-01-21 00:00:00'")
+    return [snapshots.where(c) for c in (early, ~early & ~late, late)]
+
+
+def stats_upsert(spark, sf_dir):
+    """Statistics of three batches, one of them repeated and one rewritten, folded in between."""
+    root = _folder(spark)
+    first, second, third = _thirds(view.snapshots(spark, sf_dir))
+    ingest.ingest_batch(first.where("calls > 1"), root, "first", ALL)
+    ingest.ingest_batch(second, root, "second", ALL)
+    maintain.maintain(spark, root)
+    ingest.ingest_batch(second, root, "second", ALL)
+    ingest.ingest_batch(first, root, "first", ALL)
+    ingest.ingest_batch(third, root, "third", ALL)
+    maintain.maintain(spark, root)
+    return comparable(read_star(spark, root).fingerprint_stats, "mean", "deviation")
+
+
+def stats_since(spark, sf_dir):
+    """Statistics of the second half of the history, from those of its days."""
+    root = _folder(spark)
+    ingest.ingest_batch(view.snapshots(spark, sf_dir), root, "all", ALL)
+    maintain.close_days(spark, root, date(2024, 1, 25))
+    since = day_statistics(spark, root, date(2024, 1, 16))
+    return comparable(stats.merge_stats(since), "mean", "deviation")
+
+
+_PIECES: dict[tuple[str, str], str] = {}
+
+
+def _in_pieces(spark: SparkSession, sf_dir: str) -> str:
+    """A store that gets every window in three pieces, the second one late and the first one twice."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PIECES:
+        root = _folder(spark)
+        snapshots = view.snapshots(spark, sf_dir)
+        pieces = [snapshots.where(F.pmod(F.xxhash64("query"), F.lit(3)) == i) for i in range(3)]
+        ingest.ingest_batch(pieces[0], root, "piece-0", ALL)
+        ingest.ingest_batch(pieces[2], root, "piece-2", ALL)
+        maintain.close_days(spark, root)
+        ingest.ingest_batch(pieces[1].unionByName(pieces[0]), root, "piece-1", ALL)
+        _PIECES[key] = root
+    return _PIECES[key]
+
+
+def ingest_window_in_pieces(spark, sf_dir):
+    """Events of windows that came in pieces: the sums of all, each row once."""
+    events = read_star(spark, _in_pieces(spark, sf_dir)).statement_events
+    return day_as_text(comparable(events.drop("recorded_at", "batch_id"), "time"))
+
+
+def ingest_pieces_stats(spark, sf_dir):
+    """Their statistics: one sample for a window, whatever the number of its pieces."""
+    return comparable(read_star(spark, _in_pieces(spark, sf_dir)).fingerprint_stats, "mean", "deviation")
+
+
+def ingest_redelivery(spark, sf_dir):
+    """Contexts after every window has come a second time under the name of another batch."""
+    root = _folder(spark)
+    first, second, third = _thirds(view.snapshots(spark, sf_dir))
+    ingest.ingest_batch(first.unionByName(second), root, "once", ALL)
+    ingest.ingest_batch(second.unionByName(third), root, "again", ALL)
+    ingest.ingest_batch(third, root, "and-again", ALL)
+    return day_as_text(read_star(spark, root).event_context.drop("batch_id"))
+
+
+def ingest_batch_rewritten(spark, sf_dir):
+    """Events after a batch was written again without the days that it had by mistake."""
+    root = _folder(spark)
+    first, second, third = _thirds(view.snapshots(spark, sf_dir))
+    wrong = first.withColumn("calls", F.col("calls") + 1).unionByName(third)
+    ingest.ingest_batch(wrong, root, "one", ALL)
+    ingest.ingest_batch(second, root, "two", ALL)
+    maintain.maintain(spark, root)
+    ingest.ingest_batch(first, root, "one", ALL)
+    events = read_star(spark, root).statement_events
+    return day_as_text(comparable(events.drop("recorded_at", "batch_id"), "time"))
+
+
+def _odd_snapshots(spark, sf_dir):
+    odd = view.with_ctes(spark, sf_dir, view.ODD_CTES, "select * from odd")
+    return as_snapshots(odd)
+
+
+def ingest_rejects(spark, sf_dir):
+    """Rows that a batch could not store, with the rules they break."""
+    root = _folder(spark)
+    ingest.ingest_batch(_odd_snapshots(spark, sf_dir), root, "odd", ALL)
+    return day_as_text(read_table(spark, root, "rejects").drop("batch_id"))
+
+
+def ingest_quality(spark, sf_dir):
+    """Quality of the windows of the same batch, as the closed days have it."""
+    root = _folder(spark)
+    ingest.ingest_batch(_odd_snapshots(spark, sf_dir), root, "odd", ALL)
+    maintain.close_days(spark, root)
+    return read_table(spark, root, "window_quality").drop("observed_date")
+
+
+def dim_fingerprints_upsert(spark, sf_dir):
+    """Fingerprints where half of them are there already, some of them twice after a race."""
+    root = _folder(spark)
+    snapshots = view.snapshots(spark, sf_dir)
+    ingest.create_star(spark, root)
+    every = upsert_dim("fingerprints", None, statement_texts(snapshots))
+    half = every.where(F.col("id") % 2 == 0)
+    racing = half.where(F.col("id") % 4 == 0).withColumn("normalized", F.concat("normalized", F.lit(" ")))
+    parts = [ingest.write_part(df, root, "fingerprints") for df in (half, racing)]
+    ingest.manifest.commit(spark, root, lambda now: (*now, *parts))
+    ingest.ingest_batch(snapshots, root, "all", ALL)
+    return read_star(spark, root).fingerprints
+
+
+def _fk(fact: str, dims: dict[str, str]) -> Query:
+    """Foreign keys of a fact table whose dimensions have lost some members."""
+
+    def query(spark, sf_dir):
+        tables = stored_star(spark, sf_dir).tables()
+        for dim, kept in dims.items():
+            tables[dim] = tables[dim].where(kept)
+        return checks.all_fk_violations(tables, fact)
+
+    return query
+
+
+def window_merge_shifted(spark, sf_dir):
+    """Merged windows whose times lie close together far from zero.
+
+    Times have two decimals, so many deviations lie half way between two tenths; an offset
+    keeps them off the border.
+    """
+    far = view.with_ctes(spark, sf_dir, view.FAR_CTES, "select * from far")
+    merged_far = window_merge(annotate(as_snapshots(far)))
+    return merged_far.select(
+        *WINDOW, *SOURCE, "fingerprint", "calls", F.round(F.col("stddev_time") + 0.0314, 1).alias("stddev_near")
     )
-    query.awaitTermination()
-    merged_stats = stats.merge_stats(read_star(spark, root).fingerprint_stats)
-    return comparable(merged_stats, "mean", "deviation")
 
 
 QUERIES: dict[str, Query] = {
@@ -491,4 +642,16 @@ QUERIES: dict[str, Query] = {
     "ad_hoc_sql": ad_hoc_sql,
     "streaming_tumbling_stats": streaming_tumbling_stats,
     "streaming_ingest_stats": streaming_ingest_stats,
+    "stats_upsert": stats_upsert,
+    "stats_since": stats_since,
+    "ingest_window_in_pieces": ingest_window_in_pieces,
+    "ingest_pieces_stats": ingest_pieces_stats,
+    "ingest_redelivery": ingest_redelivery,
+    "ingest_batch_rewritten": ingest_batch_rewritten,
+    "ingest_rejects": ingest_rejects,
+    "ingest_quality": ingest_quality,
+    "dim_fingerprints_upsert": dim_fingerprints_upsert,
+    "fk_violations_events": _fk("statement_events", {"fingerprints": "id % 3 <> 0", "physical_sources": "id % 2 <> 0"}),
+    "fk_violations_stats": _fk("fingerprint_stats", {"fingerprints": "id % 3 <> 0", "logical_sources": "id <> 0"}),
+    "window_merge_shifted": window_merge_shifted,
 }

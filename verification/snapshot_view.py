@@ -83,6 +83,41 @@ lists as (
 """
 )
 
+# Snapshots with rows that cannot be stored: without a label, with an empty window or text.
+ODD_CTES = (
+    BASE_CTES
+    + """,
+odd as (
+  select * from (
+    select window_start,
+      case when cast(rows as bigint) % 13 = 6 then window_start else window_end end as window_end,
+      case when cast(rows as bigint) % 7 = 3 then null else project end as project, environment, cluster,
+      case when cast(rows as bigint) % 5 = 1 and cast(rows as bigint) % 2 = 0 then null else role end as role,
+      fqdn, userid, dbid,
+      case when cast(rows as bigint) % 17 = 4 then '' else query end as query,
+      calls, total_time, min_time, max_time, mean_time, stddev_time, rows, shared_blks_hit, shared_blks_read,
+      shared_blks_dirtied, shared_blks_written, local_blks_hit, local_blks_read, local_blks_dirtied,
+      local_blks_written, temp_blks_read, temp_blks_written, blk_read_time, blk_write_time
+    from snap) o)
+"""
+)
+
+# Snapshots of calls that all take a very long time, in which a few milliseconds differ.
+FAR_CTES = (
+    BASE_CTES
+    + """,
+far as (
+  select ws as window_start, ws + interval '1' day as window_end,
+    'shop' as project, 'production' as environment, concat('c', cast(cl as varchar(10))) as cluster,
+    case when ro = 0 then 'primary' else 'secondary' end as role,
+    concat('db-c', cast(cl as varchar(10)), '-', cast(ro as varchar(10)), '.example') as fqdn,
+    ro + 10 as userid, cl + 1 as dbid, query, cast(count(*) as double) as calls,
+    sum(value + 1e10) as total_time, min(value + 1e10) as min_time, max(value + 1e10) as max_time,
+    avg(value + 1e10) as mean_time, stddev_pop(value + 1e10) as stddev_time
+  from stmt group by ws, cl, ro, query)
+"""
+)
+
 # Windows that reach from the first to the last call of a day.
 CUT_CTES = """
 cut as (

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workload_lens.schemas import METRICS, STAR
+from workload_lens.schemas import DIMENSIONS, METRICS, STAR
 
 # The row constraints of the fact tables.
 CHECKS = {
@@ -82,6 +82,21 @@ def all_fk_violations(tables: dict[str, DataFrame], fact: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def store_violations(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What a star schema breaks of its constraints, by the name of the check."""
+    found = {}
+    for fact in FOREIGN_KEYS:
+        found[f"{fact}: foreign keys"] = all_fk_violations(tables, fact)
+    for fact in ("statement_events", "event_context"):
+        found[f"{fact}: rows"] = split_valid(tables[fact], rules_for(fact))[1]
+    for dimension, key in DIMENSIONS.items():
+        found[f"{dimension}: keys"] = unique_violations(tables[dimension], key)
+        found[f"{dimension}: ids"] = unique_violations(tables[dimension], ["id"])
+    found["statement_events: ids"] = unique_violations(tables["statement_events"], ["id"])
+    found["fingerprint_stats: types"] = unknown_types(tables["fingerprint_stats"])
+    return found
+
+
 def unknown_types(stats: DataFrame) -> DataFrame:
     """Rows whose metric name is not one of the 19."""
     return stats.where(~F.col("type").isin(METRICS) | F.col("type").isNull())

@@ -7,8 +7,10 @@ from workload_lens.functions.context import extract_context
 from workload_lens.functions.moments import (
     combine_parts,
     moment_parts,
+    moment_shift,
     pooled_deviation,
-    pooled_mean,
+    pooled_parts,
+    with_centre,
 )
 from workload_lens.functions.text import add_fingerprint
 from workload_lens.schemas import ADDITIVE_METRICS, CONTEXT, EVENT_KEY, METRICS
@@ -56,37 +58,56 @@ def accepted(statements: DataFrame) -> DataFrame:
     return statements.where(F.col("reject_reason").isNull())
 
 
+def _sums(counted: str) -> list:
+    return [F.expr(counted), *[F.expr(f"{_MERGE.get(m, 'sum')}({m}) as {m}") for m in _DIRECT]]
+
+
+def _first_batch(rows: DataFrame) -> list:
+    """Rows of a store know their batch; what several have brought counts for the first."""
+    return [F.min("batch_id").alias("batch_id")] if "batch_id" in rows.columns else []
+
+
 def accumulate(statements: DataFrame, keys: list[str]) -> DataFrame:
-    """Mergeable sums. All buffers have a fixed width, so Spark can aggregate by hash."""
-    return statements.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("statements"),
-        *[F.expr(f"{_MERGE.get(m, 'sum')}({m}) as {m}") for m in _DIRECT],
+    """Mergeable sums, a few rows for each key: one for each shift of its means.
+
+    All buffers have a fixed width, so Spark can aggregate by hash before it shuffles.
+    """
+    return statements.withColumn("m_shift", moment_shift("mean_time")).groupBy(*keys, "m_shift").agg(
+        *_sums("count(1) as statements"),
         F.sum(F.col("calls").cast("long")).alias("c"),
-        *moment_parts("calls", "mean_time", "stddev_time", prefix="m_"),
+        *moment_parts("calls", "mean_time", "stddev_time", shift="m_shift", prefix="m_"),
+        *_first_batch(statements),
     )
 
 
 def combine(accumulated: DataFrame, keys: list[str]) -> DataFrame:
     """The same sums at a coarser key."""
-    return accumulated.groupBy(*keys).agg(
-        F.sum("statements").alias("statements"),
-        *[F.expr(f"{_MERGE.get(m, 'sum')}({m}) as {m}") for m in _DIRECT],
+    return accumulated.groupBy(*keys, "m_shift").agg(
+        *_sums("sum(statements) as statements"),
         F.sum("c").alias("c"),
         *combine_parts("m_"),
+        *_first_batch(accumulated),
     )
 
 
 def finish(accumulated: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums to metrics, with the pooled mean and population deviation."""
-    return accumulated.withColumns(
-        {"mean_time": pooled_mean("m_"), "stddev_time": pooled_deviation("m_")}
-    ).select(*keys, *METRICS)
+    """Sums to metrics, one row for each key, with the pooled mean and population deviation."""
+    pooled = with_centre(accumulated, keys, "m_shift", "m_").groupBy(*keys).agg(
+        *_sums("sum(statements) as statements"),
+        *pooled_parts("m_shift", "m_"),
+        *_first_batch(accumulated),
+    )
+    batch = [c for c in ("batch_id",) if c in pooled.columns]
+    return pooled.withColumns(
+        {"mean_time": F.col("m_mean"), "stddev_time": pooled_deviation("m_")}
+    ).select(*keys, *METRICS, *batch)
 
 
 def window_merge(statements: DataFrame, keys: list[str] = EVENT_KEY) -> DataFrame:
     """One row per window, source and fingerprint with all 19 metrics.
 
-    The pooling is exact, so neither the order of the rows nor any split of them matters.
+    Neither the order of the rows nor any split of them matters, and means that are large and
+    close together keep their deviation.
     """
     return finish(accumulate(accepted(statements), keys), keys)
 

@@ -6,28 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from workload_lens.functions.keys import hash_id_sql
-from workload_lens.functions.moments import moment_parts, pooled_deviation, pooled_mean
+from workload_lens.functions.moments import pooled_deviation
 from workload_lens.schemas import EVERYWHERE_ID, LOGICAL_SOURCE, METRICS, STAR
 
 STATS_KEY = ["fingerprint_id", "logical_source_id", "type"]
-_STATS_COLUMNS = [n for n in STAR["fingerprint_stats"].fieldNames() if n != "batch_id"]
+_STATS_COLUMNS = STAR["fingerprint_stats"].fieldNames()
 
 
-def fingerprint_stats(merged: DataFrame) -> DataFrame:
-    """Count, mean and sample deviation per fingerprint, source and metric.
+def fingerprint_stats(merged: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Count, mean and sample deviation per fingerprint, source and metric, and by further columns.
 
     Every merged statement is one sample for its own source and one for "everywhere" (id
     0). All metrics are aggregated side by side in one wide pass and turned into rows at
     the end, so the shuffle carries one row per key and split instead of nineteen.
     """
     sources = f"array({EVERYWHERE_ID}L, {hash_id_sql(*LOGICAL_SOURCE)})"
+    by = by or []
     keyed = merged.selectExpr(
+        *by,
         f"{hash_id_sql('fingerprint')} as fingerprint_id",
         f"explode({sources}) as logical_source_id",
         "window_end",
         *METRICS,
     )
-    wide = keyed.groupBy("fingerprint_id", "logical_source_id").agg(
+    wide = keyed.groupBy(*by, "fingerprint_id", "logical_source_id").agg(
         F.max("window_end").alias("last"),
         *[F.expr(f"{f}({m}) as {m}_{f}") for m in METRICS for f in ("count", "avg", "stddev_samp")],
     )
@@ -37,31 +39,36 @@ def fingerprint_stats(merged: DataFrame) -> DataFrame:
         for m in METRICS
     ]
     return wide.selectExpr(
-        "fingerprint_id", "logical_source_id", "last", f"inline(array({', '.join(entries)}))"
-    ).select(*_STATS_COLUMNS)
+        *by, "fingerprint_id", "logical_source_id", "last", f"inline(array({', '.join(entries)}))"
+    ).select(*by, *_STATS_COLUMNS)
 
 
 def merge_stats(*partials: DataFrame) -> DataFrame:
-    """One row per key from any number of statistics tables, as if over all samples.
+    """One row per key from a few statistics tables, as if over all samples.
 
-    Means are taken relative to that of their key first: counters have large means that lie
-    close together, and squares of such numbers have no digits left for their differences.
+    Counters have large means that lie close together, and squares of such numbers have no
+    digits left for their differences. So every mean is taken relative to that of its key,
+    which a window over the key computes: the aggregation by the same key needs no further
+    shuffle. A key has one row in each table, so no key is a large group.
     """
     rows = reduce(DataFrame.unionByName, [p.select(*_STATS_COLUMNS) for p in partials])
-    centres = rows.groupBy(*[F.col(c).alias(f"of_{c}") for c in STATS_KEY]).agg(
-        F.expr("coalesce(try_divide(sum(count * mean), sum(count)), 0D) as centre")
-    )
-    same = " and ".join(f"{c} <=> of_{c}" for c in STATS_KEY)
-    relative = rows.join(centres, F.expr(same)).withColumn("mean", F.col("mean") - F.col("centre"))
-    pooled = relative.groupBy(*STATS_KEY).agg(
+    of_key = Window.partitionBy(*STATS_KEY)
+    total = F.sum(F.expr("count * mean")).over(of_key)
+    centre = F.coalesce(F.try_divide(total, F.sum("count").over(of_key)), F.lit(0.0))
+    pooled = rows.withColumn("centre", centre).groupBy(*STATS_KEY).agg(
         F.max("last").alias("last"),
-        F.first("centre").alias("centre"),
-        *moment_parts("count", "mean", "deviation", ddof=1),
+        F.first("centre").alias("mean"),
+        F.sum("count").alias("n"),
+        F.expr("sum(greatest(count - 1, 0) * deviation * deviation) as within"),
+        F.expr(
+            "case when min(case when count > 0 then mean end) < max(case when count > 0 then mean end)"
+            " then sum(count * (mean - centre) * (mean - centre)) else 0D end as between"
+        ),
     )
     return pooled.select(
         *STATS_KEY,
-        F.col("n").cast("long").alias("count"),
-        (F.col("centre") + pooled_mean()).alias("mean"),
+        F.col("n").alias("count"),
+        "mean",
         pooled_deviation(ddof=1).alias("deviation"),
         "last",
     )

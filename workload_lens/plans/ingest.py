@@ -5,75 +5,43 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from workload_lens.config import JobConfig
-from workload_lens.functions.keys import event_id, hash_id
-from workload_lens.operators.checks import require
+from workload_lens.operators.checks import rules_for, with_violations
 from workload_lens.operators.dims import (
     everywhere_source,
     new_fingerprints,
     new_members,
 )
+from workload_lens.operators.facts import event_context_fact, events_fact, ledger_rows
 from workload_lens.operators.merge import (
     accepted,
-    accumulate,
     annotate,
-    combine,
     context_histogram,
-    finish,
     statement_texts,
     window_merge,
 )
 from workload_lens.operators.stats import fingerprint_stats
 from workload_lens.operators.topk import topk_union
-from workload_lens.schemas import CONTEXT, DIMENSIONS, EVENT_KEY, LOGICAL_SOURCE, SOURCE, WINDOW
+from workload_lens.schemas import CONTEXT, DIMENSIONS, LOGICAL_SOURCE, SOURCE, WINDOW
+from workload_lens.sources import manifest
+from workload_lens.sources.manifest import Part, Parts
 from workload_lens.sources.star import (
     Star,
-    append,
     create_star,
-    read_table,
-    replace_batch,
-    stored_days,
-    table_path,
+    delete_part,
+    of_table,
+    read_dimension,
+    write_days,
+    write_part,
 )
 
+__all__ = ["derive_star", "event_context_fact", "events_fact", "ingest_batch", "snapshot_rules"]
 
-def _observed_window() -> list[Column]:
-    return [F.col(c).alias(f"observed_{c}") for c in WINDOW]
-
-
-def events_fact(merged: DataFrame) -> DataFrame:
-    """Fact rows of merged statements. Every id is computed from the row itself."""
-    return merged.select(
-        event_id().alias("id"),
-        hash_id("fingerprint").alias("fingerprint_id"),
-        hash_id(*LOGICAL_SOURCE).alias("logical_source_id"),
-        hash_id("fqdn").alias("physical_source_id"),
-        *_observed_window(),
-        F.current_timestamp().alias("recorded_at"),
-        "calls",
-        F.col("total_time").alias("time"),
-        F.to_date("window_start").alias("observed_date"),
-    )
-
-
-def event_context_fact(histogram: DataFrame) -> DataFrame:
-    """Fact rows of the context histogram.
-
-    They carry fingerprint and logical source too, so that reports on contexts need no
-    join of the two facts.
-    """
-    return histogram.where("c > 0").select(
-        event_id().alias("event_id"),
-        hash_id("fingerprint").alias("fingerprint_id"),
-        hash_id(*LOGICAL_SOURCE).alias("logical_source_id"),
-        *_observed_window(),
-        *[hash_id(c).alias(f"{c}_id") for c in CONTEXT],
-        "c",
-        F.to_date("window_start").alias("observed_date"),
-    )
+# The day under which a rejected row is kept that has no time.
+_NO_DAY = "1970-01-01"
 
 
 def derive_star(snapshots: DataFrame, config: JobConfig | None = None) -> Star:
@@ -99,77 +67,113 @@ def derive_star(snapshots: DataFrame, config: JobConfig | None = None) -> Star:
     )
 
 
-def _without_stored(fine: DataFrame, root: str, batch_id: str, days: Row) -> DataFrame:
-    """Drop statements that another batch has stored, so a snapshot that comes twice counts once.
+def snapshot_rules() -> dict[str, Column]:
+    """What a snapshot row has to meet to be stored: a window that ends after it began, and all labels.
 
-    Only the days that the batch covers are read from the store.
+    Rows without a label could not be told apart when they come again, and have no source.
     """
-    spark = fine.sparkSession
-    if days["first"] is None or not stored_days(spark, root, "statement_events"):
-        return fine
-    stored = read_table(spark, root, "statement_events").where(
-        F.col("observed_date").between(F.lit(days["first"]), F.lit(days["last"]))
-        & (F.col("batch_id") != batch_id)
-    )
-    return (
-        fine.withColumn("id", event_id()).join(stored.select("id"), "id", "left_anti").drop("id")
+    required = {f"not_null_{c}": F.col(c).isNotNull() for c in [*WINDOW, *SOURCE]}
+    return {**required, **rules_for("snapshots")}
+
+
+def _rejects(invalid: DataFrame, unusable: DataFrame, batch_id: str) -> DataFrame:
+    """Rows that break a rule and statements without a fingerprint, with the reason and how many there were."""
+    broken = invalid.withColumn("reject_reason", F.array_join("violations", ","))
+    columns = [*WINDOW, *SOURCE, "query", "reject_reason"]
+    both = broken.select(*columns).unionByName(unusable.select(*columns))
+    day = F.coalesce(F.to_date("window_start"), F.to_date("window_end"), F.to_date(F.lit(_NO_DAY)))
+    return both.groupBy(*columns).agg(F.count(F.lit(1)).alias("statements")).select(
+        *columns, "statements", F.lit(batch_id).alias("batch_id"), day.alias("observed_date")
     )
 
 
 def ingest_batch(
     snapshots: DataFrame, root: str, batch_id: str, config: JobConfig | None = None
-) -> None:
-    """Add the snapshots of whole windows to the stored star schema.
-
-    Writing the same batch again replaces its rows, and windows that another batch has
-    stored are left out, so a retry or a second delivery changes nothing. The events come
-    last: a batch that stopped half-way is repeated as a whole.
+) -> dict[str, int]:
+    """Add snapshots to the stored star schema; returns how many rows were stored and rejected, by reason.
+
+    A window may come in several batches: each adds its rows, and a row that another batch
+    has brought already counts once. The same batch written again replaces all that it had
+    written, also on days that it no longer has. Nothing is seen of a batch before its
+    commit, so one that stopped half-way is repeated as a whole. Rows that break a rule of
+    ``snapshot_rules`` and statements that have no fingerprint go to the rejects.
     """
     config = config or JobConfig()
     spark = snapshots.sparkSession
-    if config.sanity_check:
-        require(spark, config.sanity_check)
     create_star(spark, root)
+    known = manifest.parts_of(spark, root)
+    version = manifest.new_version()
+    rules = snapshot_rules()
+    checked = with_violations(snapshots, rules)
+    good = checked.where(F.size("violations") == 0).drop("violations")
+    invalid = checked.where(F.size("violations") > 0)
     # All are read several times below. A lost executor costs the recomputation of its share.
     level = StorageLevel.MEMORY_AND_DISK
     # Also without a limit a row that comes twice counts once.
-    snapshots = topk_union(snapshots, config.top_k).persist(level)
-    texts = statement_texts(snapshots, config.context_patterns).persist(level)
-    keys = EVENT_KEY + CONTEXT
-    every = accumulate(annotate(snapshots, texts), [*keys, "reject_reason"]).persist(level)
+    good = topk_union(good, config.top_k).persist(level)
+    texts = statement_texts(good, config.context_patterns).persist(level)
+    statements = annotate(good, texts)
+    stored, refused = Observation(), Observation()
+    ledger = ledger_rows(statements, batch_id).observe(
+        stored,
+        F.count(F.lit(1)).alias("rows"),
+        F.count("reject_reason").alias("without_fingerprint"),
+        F.collect_set(F.col("observed_date").cast("string")).alias("days"),
+    )
+    unusable = statements.where(F.col("reject_reason").isNotNull())
+    rejects = _rejects(invalid, unusable, batch_id).observe(
+        refused,
+        F.collect_set(F.col("observed_date").cast("string")).alias("days"),
+        *[
+            F.coalesce(F.sum(F.when(F.expr(f"array_contains(split(reject_reason, ','), '{r}')"), F.col("statements"))), F.lit(0)).alias(r)
+            for r in rules
+        ],
+    )
+    added: list[Part] = []
     try:
-        # Also fills both caches before the writes below share them.
-        days = every.agg(
-            F.to_date(F.min("window_start")).alias("first"),
-            F.to_date(F.max("window_start")).alias("last"),
-        ).first()
-        fresh = _without_stored(accepted(every), root, batch_id, days)
-        merged = finish(combine(fresh, EVENT_KEY), EVENT_KEY)
+        good.count()  # fills the cache before the writes below share it
 
         def add_members(table: str) -> None:
-            known = read_table(spark, root, table)
+            old = read_dimension(spark, root, table, known)
             if table == "fingerprints":
-                fresh_members = new_fingerprints(texts, known)
+                fresh = new_fingerprints(texts, old)
+            else:
+                seen = good if table.endswith("_sources") else accepted(texts)
+                fresh = new_members(seen, DIMENSIONS[table], old)
+            new = Observation()
+            part = write_part(fresh.observe(new, F.count(F.lit(1)).alias("n")), root, table)
+            # Most batches bring nothing new, and a folder without rows need not stay.
+            if new.get["n"]:
+                added.append(part)
             else:
-                seen = every if table.endswith("_sources") else accepted(texts)
-                fresh_members = new_members(seen, DIMENSIONS[table], known)
-            # Most batches bring nothing new, and an empty write would leave a file each time.
-            if not fresh_members.isEmpty():
-                append(fresh_members, root, table)
+                delete_part(spark, root, part)
 
         _side_by_side(
             spark,
-            lambda: replace_batch(event_context_fact(fresh), root, "event_context", batch_id),
-            lambda: replace_batch(fingerprint_stats(merged), root, "fingerprint_stats", batch_id),
+            lambda: write_days(ledger, root, "ledger", version),
+            lambda: write_days(rejects, root, "rejects", version),
             *[partial(add_members, table) for table in DIMENSIONS],
-            lambda: _log_batch(batch_quality(every), root, "window_quality", batch_id),
-            lambda: _log_batch(rejected_texts(texts), root, "rejects", batch_id),
         )
-        replace_batch(events_fact(merged), root, "statement_events", batch_id)
     finally:
-        every.unpersist()
         texts.unpersist()
-        snapshots.unpersist()
+        good.unpersist()
+    for table, seen in (("ledger", stored), ("rejects", refused)):
+        added += [Part(table, version, day, (batch_id,)) for day in sorted(seen.get["days"] or [])]
+    manifest.commit(spark, root, lambda parts: (*_without_batch(parts, batch_id), *added))
+    counts = {"rows": stored.get["rows"], "without_fingerprint": stored.get["without_fingerprint"]}
+    return counts | {r: refused.get[r] for r in rules}
+
+
+def _without_batch(parts: Parts, batch_id: str) -> list[Part]:
+    """The folders without what a batch has written before; where it shares one, its rows no longer count."""
+    out = []
+    for part in parts:
+        if part.table in ("ledger", "rejects") and batch_id in part.of:
+            if len(part.of) == 1:
+                continue
+            part = Part(part.table, part.version, part.day, part.of, tuple(sorted({*part.without, batch_id})))
+        out.append(part)
+    return out
 
 
 def _side_by_side(spark: SparkSession, *writes: Callable[[], None]) -> None:
@@ -180,27 +184,7 @@ def _side_by_side(spark: SparkSession, *writes: Callable[[], None]) -> None:
             done.result()
 
 
-def batch_quality(every: DataFrame) -> DataFrame:
-    """Window quality from accumulated statements."""
-    rejected = F.sum(F.when(F.col("reject_reason").isNotNull(), F.col("statements")))
-    return every.groupBy(*WINDOW, *SOURCE).agg(
-        F.sum("statements").alias("statements"),
-        F.count_distinct("fingerprint").alias("unique_fingerprints"),
-        F.coalesce(rejected, F.lit(0)).alias("rejected"),
-    )
-
-
-def rejected_texts(texts: DataFrame) -> DataFrame:
-    rejects = texts.where(F.col("reject_reason").isNotNull())
-    return rejects.select("query", "reject_reason", "first_seen")
-
-
-def _log_batch(rows: DataFrame, root: str, table: str, batch_id: str) -> None:
-    """Keep rows about a batch, replacing those of an earlier attempt."""
-    (
-        rows.withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(table_path(root, table))
-    )
+def batches_of(spark: SparkSession, root: str) -> set[str]:
+    """Names of the batches that count."""
+    own = of_table(manifest.parts_of(spark, root), "ledger")
+    return {b for p in own for b in p.of if b not in p.without}

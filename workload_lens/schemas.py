@@ -97,7 +97,7 @@ _CONTEXT_FIELDS = [
     ("job_tag_id", _LONG, True),
     ("c", _LONG, False),
 ]
-_PARTITION_FIELDS = [("observed_date", T.DateType(), True), ("batch_id", _TEXT, True)]
+_PARTITION_FIELDS = [("batch_id", _TEXT, True), ("observed_date", T.DateType(), True)]
 
 # The star schema, by table name.
 STAR = {
@@ -121,10 +121,46 @@ STAR = {
         ("mean", _DOUBLE, True),
         ("deviation", _DOUBLE, True),
         ("last", _TIME, True),
-        ("batch_id", _TEXT, True),
     ),
 }
 
+# Tables of a store beside the star schema. ``ledger`` has every statement row that a batch
+# has brought, without its text; all facts and statistics follow from it.
+_KEY_FIELDS = [(c, _TIME, False) for c in WINDOW] + [(c, _TEXT, False) for c in SOURCE]
+_DAY = ("observed_date", T.DateType(), True)
+STORE = {
+    **STAR,
+    "ledger": _struct(
+        *_KEY_FIELDS,
+        ("fingerprint", _TEXT, True),
+        ("reject_reason", _TEXT, True),
+        *[(c, _TEXT, True) for c in CONTEXT],
+        *[(m, _DOUBLE, True) for m in METRICS],
+        ("row_a", _LONG, False),
+        ("row_b", _LONG, False),
+        ("batch_id", _TEXT, False),
+        _DAY,
+    ),
+    "day_stats": T.StructType([*STAR["fingerprint_stats"].fields, T.StructField(*_DAY)]),
+    "window_quality": _struct(
+        *_KEY_FIELDS,
+        ("statements", _LONG, True),
+        ("unique_fingerprints", _LONG, True),
+        ("rejected", _LONG, True),
+        _DAY,
+    ),
+    "rejects": _struct(
+        *[(name, kind, True) for name, kind, _ in _KEY_FIELDS],
+        ("query", _TEXT, True),
+        ("reject_reason", _TEXT, False),
+        ("statements", _LONG, False),
+        ("batch_id", _TEXT, False),
+        _DAY,
+    ),
+}
+# Tables of a store with a folder for each day.
+DAILY = ["ledger", "statement_events", "event_context", "day_stats", "window_quality", "rejects"]
+
 # Dimension table -> natural key.
 DIMENSIONS = {
     "controllers": ["controller"],
@@ -134,4 +170,3 @@ DIMENSIONS = {
     "physical_sources": ["fqdn"],
     "fingerprints": ["fingerprint"],
 }
-FACT_PARTITIONS = ["observed_date", "batch_id"]

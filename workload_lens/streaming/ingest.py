@@ -1,17 +1,25 @@
 """Structured Streaming twins of the batch jobs."""
 
 import hashlib
+import json
+import threading
+from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from workload_lens.config import JobConfig
 from workload_lens.plans.ingest import ingest_batch
 from workload_lens.schemas import METRICS, SOURCE, STATEMENT_ID, WINDOW
 
 
+# A time behind every window.
+END_OF_INPUT = "TIMESTAMP '9000-01-01 00:00:00'"
+
+
 def hold_until_closed(snapshots: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Let the rows of a window pass together, once the watermark is past its end.
 
@@ -67,14 +75,34 @@ def start_table(
     return writer.start()
 
 
-def with_open_windows(closed: DataFrame, every: DataFrame) -> DataFrame:
-    """What a stopped stream over a bounded table has emitted, and the windows it still held open.
+def with_end(rows: DataFrame, folder: str) -> DataFrame:
+    """A stream that ``end_input`` can end: its rows and those that come to ``folder``.
+
+    Give it a watermark after this, so that an end moves the watermark of all rows.
+    """
+    spark = rows.sparkSession
+    spark.createDataFrame([], rows.schema).write.mode("append").parquet(folder)
+    return rows.unionByName(spark.readStream.schema(rows.schema).parquet(folder))
+
+
+def end_input(
+    spark: SparkSession, schema: StructType, folder: str, time: str, start: Callable[[], StreamingQuery]
+) -> None:
+    """Let a bounded stream that has read all its rows release the windows that are still open.
 
-    ``every`` has the windows of the whole table, from a batch by the same plan. A stream emits all
-    rows of a window_end or none, so those of an end that it has not emitted are the open ones.
+    One row far behind the last window, without any other value, goes to the folder of
+    ``with_end``, and the stream is started once more from its checkpoint. The row moves the
+    watermark past every window; its own window never closes, so it reaches no table. What
+    comes later than this is late.
     """
-    emitted = closed.select("window_end").distinct()
-    return closed.unionByName(every.join(emitted, "window_end", "left_anti"))
+    end = spark.range(1).select(
+        *[
+            (F.expr(f"cast({END_OF_INPUT} as {f.dataType.simpleString()})") if f.name == time else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schema
+        ]
+    )
+    end.write.mode("append").parquet(folder)
+    start().awaitTermination()
 
 
 def progress(query: StreamingQuery, config: JobConfig) -> dict[str, object]:
@@ -89,3 +117,47 @@ def progress(query: StreamingQuery, config: JobConfig) -> dict[str, object]:
         "seconds": seconds,
         "overrun": seconds > config.flush_interval,
     }
+
+
+class StatusLines:
+    """Writes a line about a running stream at every status interval, and tells which batches took too long.
+
+    A line says how many rows and batches there were since the last one, how long the longest
+    batch took, and whether one took longer than its trigger. ``write`` gets each line.
+    """
+
+    def __init__(self, query: StreamingQuery, config: JobConfig, write: Callable[[str], None] = print):
+        self.query, self.config, self.write = query, config, write
+        self.overruns: list[int] = []
+        self._seen = -1
+        self._stop = threading.Event()
+        self._thread = threading.Thread(target=self._run, name="status", daemon=True)
+
+    def __enter__(self) -> "StatusLines":
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._stop.set()
+        self._thread.join()
+        self.line()
+
+    def _run(self) -> None:
+        while not self._stop.wait(self.config.status_interval):
+            self.line()
+
+    def line(self) -> None:
+        fresh = [p for p in self.query.recentProgress if p["batchId"] > self._seen]
+        if fresh:
+            self._seen = max(p["batchId"] for p in fresh)
+        seconds = {p["batchId"]: p["durationMs"].get("triggerExecution", 0) / 1000 for p in fresh}
+        late = sorted(b for b, s in seconds.items() if s > self.config.flush_interval)
+        self.overruns += late
+        status = {
+            "batches": len(fresh),
+            "rows": sum(p["numInputRows"] for p in fresh),
+            "longest_seconds": max(seconds.values(), default=0.0),
+            "overruns": late,
+            "last_batch": self._seen,
+        }
+        self.write(json.dumps(status))
