@@ -19,13 +19,14 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import VOCABULARY, Splitter, vocabulary_path
+from .bpe import VOCABULARY, Splitter, byte_alphabet, vocabulary_path
 from .common import shared_folder
 
 #: Id after the last token of each document.
@@ -35,7 +36,7 @@ BLOCK_DOCS, BLOCK_IDS, BUCKET_DOCS, MAX_BUCKETS = 1024, 1_000_000, 2048, 10_000
 #: Numbers of a sequence from one kept place to the next.
 SAMPLE = 256
 #: Entries of a worker's memo of pre-tokens, and texts encoded at a time.
-MEMO, AT_ONCE = 700_000, 64
+MEMO, AT_ONCE = 600_000, 64
 
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
@@ -87,16 +88,28 @@ class EliasFano:
 
 
 class _Memo(dict):
-    """Packed ids of pre-tokens; one that is new is encoded by the tokenizers library."""
+    """Packed ids of pre-tokens; one that is new goes to the model of the tokenizers library.
 
-    def __init__(self, tokenizer: object, code: str):
-        self.encode, self.code = tokenizer.encode, code
+    The model takes a pre-token with a character for each byte, as the library hands it on.
+    """
+
+    def __init__(self, tokenizer: object, code: str, special: dict[str, int]):
+        self.tokenize, self.code, self.special = tokenizer.model.tokenize, code, special
+        self.letters = {b: c for c, b in byte_alphabet().items()}
 
     def __missing__(self, token: str) -> bytes:
-        ids = self.encode(token, add_special_tokens=False).ids
+        if token in self.special:
+            ids = [self.special[token]]
+        else:
+            ids = [t.id for t in self.tokenize(token.encode().decode("latin-1").translate(self.letters))]
         out = self[token] = struct.pack(f"<{len(ids)}{self.code}", *ids)
         return out
 
+    def halve(self) -> None:
+        """Forget the older half."""
+        for token in list(islice(self, len(self) // 2)):
+            del self[token]
+
 
 class LibraryEncoder(Splitter):
     """Ids by the tokenizers library, which encodes each pre-token once and on its own."""
@@ -110,11 +123,11 @@ class LibraryEncoder(Splitter):
         tokenizer.no_truncation()
         tokenizer.no_padding()
         self.width = 2 if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.memo = _Memo(tokenizer, "H" if self.width == 2 else "I")
+        self.memo = _Memo(tokenizer, "H" if self.width == 2 else "I", self.special)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         if len(self.memo) >= MEMO:
-            self.memo.clear()
+            self.memo.halve()
         get = self.memo.__getitem__
         return [b"".join(map(get, self(t or ""))) for t in texts]
 
@@ -170,7 +183,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> No
     """Encode the texts of all documents and write them in the format above, ascending by doc_id.
 
     A null text is as an empty one: only its end id is written. Null doc_ids come first; equal ones stay next to each
-    other, ordered by their ids. Texts are encoded where they are read, and only packed ids are shuffled.
+    other, in the order of their compressed ids, which is the same in every run. Texts are encoded where they are read, and only packed ids are shuffled.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
