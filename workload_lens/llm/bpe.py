@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 #: Default vocabulary; any path of a byte-level BPE file in the format of the tokenizers library may be given.
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries that a worker keeps of each memo before it starts a new one.
-MEMO = 500_000
+MEMO = 250_000
 
 #: The pre-token pattern of byte-level BPE, with white space by its Unicode property.
 PRE_TOKEN = (

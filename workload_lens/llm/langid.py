@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 DIM, GRAM, UNKNOWN = 1024, 3, "und"
 #: Documents and n-grams that are multiplied at a time; every n-gram of every text is used.
 DOCS_AT_ONCE, GRAMS_AT_ONCE = 64, 8192
+#: Texts whose vectors a task holds at a time.
+TEXTS = 1024
 _SPACE = ord(" ")
 
 
@@ -104,10 +106,12 @@ def prototypes(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object)
-            vectors = text_vectors(batch.column(0).to_pylist(), dim).astype(np.float64)
-            for lang in set(langs):
-                sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                langs = np.array(part.column(1).to_pylist(), object)
+                vectors = text_vectors(part.column(0).to_pylist(), dim)
+                for lang in set(langs):
+                    sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0, dtype=np.float64)
         for lang, total in sums.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * dim, pa.string()), pa.array(range(dim), pa.int32()), pa.array(total)], ["lang", "dim", "value"]
@@ -147,10 +151,12 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, score = judged(batch.column(1).to_pylist(), model)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"]
-            )
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                names, score = judged(part.column(1).to_pylist(), model)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"]
+                )
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

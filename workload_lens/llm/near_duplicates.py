@@ -40,8 +40,9 @@ ROUNDS = 2
 CROWD, SAMPLE = 32, 64
 #: Members of a block, and shingles of two blocks that are compared at a time.
 BLOCK, COLUMNS = 128, 4096
-#: Shingles that are sampled at a time.
-AT_ONCE = 8192
+#: Shingles that are sampled at a time, texts that are read at a time, and words whose hashes a task keeps. Workers are
+#: used again by other tasks, so a task forgets its words when it is done.
+AT_ONCE, TEXTS, MEMO = 8192, 64, 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,7 +56,7 @@ class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) >= MEMO:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -98,10 +99,11 @@ def idf_weights(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BINS, np.int64), 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                texts = batch.column(0).slice(i, 64).to_pylist()
+            for i in range(0, batch.num_rows, TEXTS):
+                texts = batch.column(0).slice(i, TEXTS).to_pylist()
                 total += np.bincount(np.concatenate([_bin(np.unique(shingles(t))) for t in texts]), minlength=BINS)
                 n += len(texts)
+        _HASHES.clear()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], ["bin", "n"])
 
@@ -138,45 +140,51 @@ def _draw(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.nda
 def _sampled(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """(doc_id, node, draws, bands) of every document; no draws and bands for a text without a word."""
 
+    def drawn(texts: list[str | None]) -> list[np.ndarray | None]:
+        draws: list[np.ndarray | None] = [None] * len(texts)
+        group: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def flush() -> None:
+            if group:
+                starts = np.cumsum([0] + [len(h) for _, h, _ in group[:-1]])
+                got = _draw(np.concatenate([h for _, h, _ in group]), np.concatenate([w for *_, w in group]), starts)
+                for (i, *_), row in zip(group, got, strict=True):
+                    draws[i] = row
+                group.clear()
+
+        size = 0
+        for i, text in enumerate(texts):
+            hashes, counts = np.unique(shingles(text), return_counts=True)
+            if len(hashes):
+                group.append((i, hashes, idf[_bin(hashes)] * counts.astype(np.float32)))
+                size += len(hashes)
+            if size >= AT_ONCE:
+                flush()
+                size = 0
+        flush()
+        return draws
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            draws: list = [None] * batch.num_rows
-            group: list[tuple[int, np.ndarray, np.ndarray]] = []
-
-            def flush() -> None:
-                if group:
-                    starts = np.cumsum([0] + [len(h) for _, h, _ in group[:-1]])
-                    got = _draw(np.concatenate([h for _, h, _ in group]), np.concatenate([w for *_, w in group]), starts)
-                    for (i, *_), row in zip(group, got, strict=True):
-                        draws[i] = row
-                    group.clear()
-
-            size = 0
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                hashes, counts = np.unique(shingles(text), return_counts=True)
-                if len(hashes):
-                    group.append((i, hashes, idf[_bin(hashes)] * counts.astype(np.float32)))
-                    size += len(hashes)
-                if size >= AT_ONCE:
-                    flush()
-                    size = 0
-            flush()
-            bands, small = [], []
-            for row in draws:
-                if row is None:
-                    bands.append([])
-                    small.append([])
-                    continue
-                parts = row.reshape(BANDS, ROWS)
-                key = np.arange(BANDS, dtype=np.uint64)
-                for j in range(ROWS):
-                    key = _mixed(key * _MIX + parts[:, j])
-                bands.append(key.view(np.int64))
-                small.append(row.astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(small, pa.list_(pa.int32())), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "node", "draws", "bands"],
-            )
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                bands, small = [], []
+                for row in drawn(part.column(2).to_pylist()):
+                    if row is None:
+                        bands.append([])
+                        small.append([])
+                        continue
+                    parts = row.reshape(BANDS, ROWS)
+                    key = np.arange(BANDS, dtype=np.uint64)
+                    for j in range(ROWS):
+                        key = _mixed(key * _MIX + parts[:, j])
+                    bands.append(key.view(np.int64))
+                    small.append(row.astype(np.uint32).view(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(small, pa.list_(pa.int32())), pa.array(bands, pa.list_(pa.int64()))],
+                    ["doc_id", "node", "draws", "bands"],
+                )
+        _HASHES.clear()
 
     return docs.select("doc_id", text_node(F.col("text")).alias("node"), "text").mapInArrow(
         run, f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, draws array<int>, bands array<long>"
@@ -210,8 +218,11 @@ def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [np.sort(shingles(t)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["node", "bag"])
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                bags = [np.sort(shingles(t)).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bags, pa.binary())], ["node", "bag"])
+        _HASHES.clear()
 
     texts = docs.select("doc_id", text_node(F.col("text")).alias("node"), "text").alias("d")
     chosen = texts.join(wanted.alias("w"), F.expr("d.node = w.node and d.doc_id <=> w.first_id")).select("d.node", "d.text")
