@@ -1,4 +1,8 @@
-from workload_lens.config import JobConfig
+import random
+import re
+import time
+
+from workload_lens.config import CONTEXT_PATTERNS, JobConfig
 from workload_lens.functions.context import extract_context
 
 
@@ -46,3 +50,23 @@ def test_settings_from_json():
     assert config.observation_interval == 600 and config.flush_interval == 1200
     assert config.source["role"] == "secondary" and config.sanity_check == "select true"
     assert config.context_patterns == {"controller": "", "action": "a:(.*)", "job_tag": ""}
+
+
+def test_a_megabyte_of_comments_without_a_label(spark):
+    texts = ["/* action controller */" * 45_000, "/* job " * 150_000 + "*/", "/*action\n" * 100_000 + "*/ x"]
+    df = spark.createDataFrame([(t,) for t in texts], "query string").cache()
+    df.count()
+    start = time.time()
+    rows = extract_context(df).drop("query").collect()
+    assert [tuple(r) for r in rows] == [(None,) * 3] * 3 and time.time() - start < 15
+
+
+def test_labels_equal_those_of_the_pattern(spark):
+    rng = random.Random(4)
+    pieces = ["/*", "*/", "action:", "controller:", "job_tag:", "a", ",", "\n", " ", "/", "*", "controller_with_namespace:", "\r"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    rows = extract_context(spark.createDataFrame(list(enumerate(texts)), "i int, query string")).orderBy("i").collect()
+    for text, row in zip(texts, rows, strict=True):
+        for label, pattern in CONTEXT_PATTERNS.items():
+            found = re.search(pattern, text)
+            assert row[label] == (found and found[found.re.groups]), (text, label)

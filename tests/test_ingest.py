@@ -16,7 +16,9 @@ ALL = JobConfig(top_k=None)
 
 
 def rows_of(df, *drop):
-    return sorted(map(str, df.drop("recorded_at", "batch_id", *drop).collect()))
+    # Stored statistics are merged from those of days, so the last digits may differ.
+    rounded = [F.round(c, 6).alias(c) if c in ("mean", "deviation") else F.col(c) for c in df.columns]
+    return sorted(map(str, df.select(*rounded).drop("recorded_at", "batch_id", *drop).collect()))
 
 
 def some_rows(days=(1, 2, 3)):

@@ -46,6 +46,13 @@ SAME = [
     ("select x where a = -1", "select x where a=$3"),
     ('select "users"."id" from users', "select users.id from users"),
     ("select f( a , b )", "SELECT F(a,b)"),
+    ("truncate a.t, only a.u", "truncate b.t, only c.u"),
+    ("lock table a.t, a.u in share mode", "LOCK TABLE b.t, c.u IN SHARE MODE"),
+    ("alter sequence a.s restart with 5", "alter sequence b.s restart with 7"),
+    ("vacuum a.table_1, a.t", "vacuum b.table_22, b.t"),
+    ("insert into s.table_1 values (1)", "insert into r.table_2 values (3)"),
+    ("create index index_1 on table_4 (a)", "create index index_2 on table_5 (a)"),
+    ("set session authorization amy", "set session authorization bob"),
 ]
 DIFFERENT = [
     ("select * from a.t", "select * from t"),
@@ -60,6 +67,9 @@ DIFFERENT = [
     ("select a is distinct from b.x from t", "select a is distinct from c.x from t"),
     ("select * from s.f(1)", "select * from r.f(1)"),
     ("select * from t where x = 1 order by a.x, b.y", "select * from t where x = 1 order by a.x, c.y"),
+    ("select table_1 from t", "select table_2 from t"),
+    ("select * from t where index_1 = 1", "select * from t where index_2 = 1"),
+    ("truncate a, table_1x", "truncate a, table_2x"),
 ]
 
 
@@ -94,6 +104,9 @@ def test_rejects(spark):
         "fetch 1 from a_cursor_1 where 'cut",
         "select /* open",
         "select 1",
+        "select $a$ open $b$",
+        "select $a$ b_cursor_1",
+        "select $1, a$b, $q$x$q$, $$y$$",
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, query string")
     rows = add_fingerprint(df).orderBy("i").collect()
@@ -107,11 +120,16 @@ def test_rejects(spark):
         "unfingerprintable",
         None,
         None,
+        None,
+        "unfingerprintable",
+        None,
     ]
     for r in rows:
         assert (r.fingerprint is None) == (r.reject_reason is not None)
-    raw = spark.range(1).select(F.md5(F.lit("select 'cut"))).first()[0]
-    assert rows[4].fingerprint == raw
+    for i in (4, 9):
+        raw = spark.range(1).select(F.md5(F.lit(texts[i]))).first()[0]
+        assert rows[i].fingerprint == raw
+    assert rows[11].fingerprint != spark.range(1).select(F.md5(F.lit(texts[11]))).first()[0]
 
 
 def test_normalized_keeps_text_and_comments(spark):
@@ -157,3 +175,11 @@ def test_no_regex_twice_and_none_below_the_aggregation(spark, make_snapshots):
     assert plan.count("regexp_replace(") < 30
     below = plan[plan.rindex("HashAggregate") :]
     assert "regexp_replace" not in below and "RLIKE" not in below
+
+
+def test_many_open_tags_take_linear_time(spark):
+    text = "select " + " ".join(f"$t{i}$ x" for i in range(40_000))
+    df = spark.createDataFrame([(text,)], "query string")
+    start = time.time()
+    row = add_fingerprint(df).withColumn("n", normalized_text("query")).first()
+    assert row.fingerprint is not None and row.n == "select ?" and time.time() - start < 20

@@ -6,6 +6,7 @@ from verification.snapshot_view import (
     CALL_CTES,
     CUT_CTES,
     DAMAGED_CTES,
+    KIND_CTES,
     LIST_CTES,
     ODD_CTES,
 )
@@ -458,6 +459,20 @@ ORACLES: dict[str, str] = {
       some_sources as (select id from logical_sources where id <> 0)
       {_fk("fingerprint_id", "some_fingerprints", "stats")}
       union all {_fk("logical_source_id", "some_sources", "stats")}""",
+    "fingerprint_statement_kinds": f"""with {KIND_CTES}
+      select case kind when 0 then 'set role some_role'
+        when 1 then 'grant select on ' || event_type || ' to some_role'
+        when 2 then 'lock table some_schema.' || event_type || ',some_schema.other in share mode'
+        when 3 then 'truncate some_schema.x,y,some_schema.' || event_type
+        when 4 then 'alter sequence some_schema.' || event_type || ' restart with ?'
+        when 5 then 'create index some_index on some_schema.some_table(' || event_type || ')'
+        when 6 then 'select table_7,index_8 from some_schema.some_table join ' || event_type || ' using(a)'
+        when 7 then 'move ? from ' || event_type || '_cursor_x'
+        else 'alter table ' || event_type || ' owner to some_role' end as form,
+        count(distinct query) as texts, count(*) as calls from kinds group by 1""",
+    "context_custom_patterns": f"""with {KIND_CTES}
+      select distinct query, regexp_extract(query, 'tenant.(t[0-9])', 1) as controller,
+        null::varchar as action, null::varchar as job_tag from kinds""",
     "window_merge_shifted": f"""with {LABELLED}
       select {KEY}, fingerprint, count(*)::double as calls,
         round(stddev_pop(value + 1e10) + 0.0314, 1) as stddev_near

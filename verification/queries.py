@@ -199,6 +199,22 @@ def preview(spark, sf_dir):
     )
 
 
+def fingerprint_statement_kinds(spark, sf_dir):
+    """Statements of other kinds by the form in which nothing is left that may differ by accident."""
+    kinds = view.with_ctes(spark, sf_dir, view.KIND_CTES, "select * from kinds")
+    texts = kinds.groupBy("query").agg(F.count(F.lit(1)).alias("calls"))
+    forms = add_canonical_text(texts, "query", "form")
+    return forms.groupBy("form").agg(F.count(F.lit(1)).alias("texts"), F.sum("calls").alias("calls"))
+
+
+def context_custom_patterns(spark, sf_dir):
+    """Labels by patterns of the user's own: one with two groups, one without a group, one left out."""
+    kinds = view.with_ctes(spark, sf_dir, view.KIND_CTES, "select * from kinds")
+    patterns = {"controller": r"/\*tenant(:|=)(t\d+)", "action": "select", "job_tag": ""}
+    texts = kinds.select("query").distinct()
+    return extract_context(texts, patterns=patterns)
+
+
 def collapse_in_list(spark, sf_dir):
     lists = view.with_ctes(spark, sf_dir, view.LIST_CTES, "select * from lists")
     texts = lists.groupBy("query").agg(F.count(F.lit(1)).alias("calls"))
@@ -654,4 +670,6 @@ QUERIES: dict[str, Query] = {
     "fk_violations_events": _fk("statement_events", {"fingerprints": "id % 3 <> 0", "physical_sources": "id % 2 <> 0"}),
     "fk_violations_stats": _fk("fingerprint_stats", {"fingerprints": "id % 3 <> 0", "logical_sources": "id <> 0"}),
     "window_merge_shifted": window_merge_shifted,
+    "fingerprint_statement_kinds": fingerprint_statement_kinds,
+    "context_custom_patterns": context_custom_patterns,
 }

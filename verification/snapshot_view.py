@@ -118,6 +118,26 @@ far as (
 """
 )
 
+# Statements of other kinds: roles, lists of relations, sequences, generated names, cursors.
+KIND_CTES = (
+    BASE_CTES
+    + """,
+kinds as (
+  select k % 9 as kind, event_type, concat(case when k % 2 = 0 then '/*tenant:t' else '/*tenant=t' end, cast(user_id % 5 as varchar(10)), '*/ ',
+    case k % 9
+      when 0 then concat('SET ROLE r', cast(user_id as varchar(10)))
+      when 1 then concat('grant select on ', event_type, ' to u', cast(user_id as varchar(10)), ', v', cast(k as varchar(10)))
+      when 2 then concat('LOCK TABLE s', cast(user_id as varchar(10)), '.', event_type, ', s', cast(k as varchar(10)), '.other IN SHARE MODE')
+      when 3 then concat('truncate s', cast(k as varchar(10)), '.x, y, s', cast(user_id as varchar(10)), '.', event_type)
+      when 4 then concat('ALTER SEQUENCE s', cast(user_id as varchar(10)), '.', event_type, ' RESTART WITH ', cast(k as varchar(10)))
+      when 5 then concat('create index index_', cast(k as varchar(10)), ' on s', cast(user_id as varchar(10)), '.table_', cast(k as varchar(10)), ' (', event_type, ')')
+      when 6 then concat('select table_7, index_8 from s', cast(user_id as varchar(10)), '.table_', cast(k as varchar(10)), ' join ', event_type, ' using (a)')
+      when 7 then concat('MOVE FORWARD ', cast(k as varchar(10)), ' FROM ', event_type, '_cursor_', cast(user_id as varchar(10)))
+      else concat('alter table ', event_type, ' owner to u', cast(user_id as varchar(10))) end) as query
+  from base)
+"""
+)
+
 # Windows that reach from the first to the last call of a day.
 CUT_CTES = """
 cut as (

@@ -12,9 +12,15 @@ _LINE_FEED_ONLY = "(?d)"
 # A last group that is one or more of a character class is never empty.
 _NEVER_EMPTY = re.compile(r"\(\[(?:\\.|[^\]\\])+\]\+\)(?!.*\((?!\?))")
 _END_OF_COMMENT = r"\*/"
+# A pattern that begins like this can match from the first comment of a line if it can from a
+# later one, so the others need not be tried: else every comment would walk the same line.
+_ANY_COMMENT = r"/\*.*"
+_FIRST_COMMENT = r"(?<![^\n])(?:(?!/\*)[^\n])*+/\*.*"
 
 
 def _in_java(pattern: str) -> str:
+    if pattern.startswith(_ANY_COMMENT) and not pattern.startswith(_ANY_COMMENT + "?"):
+        pattern = _FIRST_COMMENT + pattern[len(_ANY_COMMENT) :]
     return _LINE_FEED_ONLY + pattern.replace("(?P<", "(?<")
 
 

@@ -34,12 +34,15 @@ _HIDING = (
     rf"({_QUOTED_NAME})"
     rf"|(?<![\w$])[eE](')(?:{_ESCAPE_BODY})(')"
     rf"|(?:(?<![\w$])(?:[bBxXnN]|[uU]&))?(')(?:{_PLAIN_BODY})(')"
-    r"|(?<![\w$])(\$)((?:[A-Za-z_]\w*+)?)\$.*?\$\7(\$)"
+    # One that is not closed hides all that follows, so no later tag walks the same text again.
+    r"|(?<![\w$])(\$)((?:[A-Za-z_]\w*+)?)\$(?:.*?\$\7(\$)|.*+)"
     rf"|{_COMMENT})"
 )
 _HIDING_KEEP = "$1$2$3$4$5$6$8 "
 
-_WELL_FORMED = rf"(?s)\A(?:[^'\"/]++|''|{_QUOTED_NAME}|/(?!\*))*+\z"
+_WELL_FORMED = (
+    rf"(?s)\A(?:[^'\"/$]++|''|\$\$|\$(?=\d)|(?<=[\w$])\$|{_QUOTED_NAME}|/(?!\*))*+\z"
+)
 _BLANK = r"\A[\s;]*+\z"
 _CONSTANT = rf"''|\$\$|{_PARAMETER}|{_NUMBER}"
 
@@ -48,8 +51,6 @@ _SPACE_AT_PUNCTUATION = r' (?:(?=[^\w\s"$?])|(?<=[^\w\s"$?] ))'
 # --- names that differ from run to run -----------------------------------------------------
 _TEMP_TABLE = r"(?i)(?<![\w$])([\w$]+)_temp_table_[0-9a-z]{6,}+([\w$]*+)"
 _CURSOR = r"(?i)(?<![\w$-])([\w$-]+)[_-]cursor_[0-9a-z]++([\w$]*+)"
-_GENERATED_INDEX = r"(?i)(?<![\w$])index_\d++(?![\w$])"
-_GENERATED_TABLE = r"(?i)(?<![\w$])table_\d++(?![\w$])"
 
 # Words that end a FROM list, and words before FROM that make it something
 # other than the start of a list of relations.
@@ -65,14 +66,27 @@ _NOT_A_LIST = (
 _FROM = rf"\bfrom (?<!\b(?:{'|'.join(_NOT_A_LIST)}) from )"
 _LIST_WORD = rf'(?:(?!(?:{"|".join(_AFTER_FROM_LIST)})\b)[\w$."?]++ ?)'
 _FROM_LIST_COMMA = rf"(?i)({_FROM}|(?!\A)\G)({_LIST_WORD}++),"
+# Statements on a list of relations without FROM.
+_STATEMENT_LIST_COMMA = (
+    r"(?i)(\A(?:truncate|lock|analyze|vacuum) (?:table )?(?:only )?|(?!\A)\G)"
+    rf"({_LIST_WORD}++),"
+)
 _LIST_MARK = "\x02"
 _SCHEMA = rf"(?:{_NAME}\.){{1,2}}"
 _SCHEMA_BEFORE_RELATION = (
     rf'(?i)((?:{_FROM}|\bjoin |\busing |{_LIST_MARK})(?:only )?){_SCHEMA}(?=[\w"])(?!{_NAME}\()'
-    r"|(\b(?:(?:into|update|table|truncate|lock|copy|analyze|references|view|cluster)"
+    r"|(\b(?:(?:into|update|table|truncate|lock|copy|analyze|vacuum|references|view|cluster|sequence)"
     r'|index \S++ on) (?:if (?:not )?exists )?(?:only )?)'
     rf'{_SCHEMA}(?=[\w"])'
 )
+# Names that tools generate count only where a relation or an index stands.
+_GENERATED_TABLE = (
+    rf"(?i)((?:{_FROM}|\b(?:join|using|into|update|table|truncate|lock|copy|analyze|vacuum|references|cluster) "
+    rf"|\bindex \S++ on |{_LIST_MARK})(?:if (?:not )?exists )?(?:only )?(?:some_schema\.)?)table_\d++(?![\w$])"
+)
+_GENERATED_INDEX = (
+    rf"(?i)(\bindex (?:concurrently )?(?:if (?:not )?exists )?(?:{_NAME}\.)?)index_\d++(?![\w$])"
+)
 
 _UNARY_MINUS = (
     r"(?i)([=<>(,*/%|\[+]|\b(?:select|when|then|else|and|or|between|limit|offset|in|like|by) )-\?"
@@ -123,12 +137,13 @@ def add_canonical_text(
             (r"\A[ ;]++|[ ;]++\z", ""),
             (_UNARY_MINUS, "$1?"),
             (_FROM_LIST_COMMA, f"$1$2,{_LIST_MARK}"),
+            (_STATEMENT_LIST_COMMA, f"$1$2,{_LIST_MARK}"),
             (_SCHEMA_BEFORE_RELATION, "$1$2some_schema."),
+            (_GENERATED_TABLE, "$1some_table"),
+            (_GENERATED_INDEX, "$1some_index"),
             (_LIST_MARK, ""),
             (_TEMP_TABLE, "$1_temp_table_x$2"),
             (_CURSOR, "$1_cursor_x$2"),
-            (_GENERATED_INDEX, "some_index"),
-            (_GENERATED_TABLE, "some_table"),
         ),
     )
     # Quoted names that need their quotes keep their case, so they also go to the end.
@@ -185,7 +200,7 @@ _KEPT_OR_CONSTANT = (
     rf"(?s)({_KEPT})"
     rf"|(?<![\w$])[eE]'(?:{_ESCAPE_BODY})'"
     rf"|(?:(?<![\w$])(?:[bBxXnN]|[uU]&))?'(?:{_PLAIN_BODY})'"
-    r"|(?<![\w$])\$((?:[A-Za-z_]\w*+)?)\$.*?\$\2\$"
+    r"|(?<![\w$])\$((?:[A-Za-z_]\w*+)?)\$(?:.*?\$\2\$|.*+)"
     rf"|{_PARAMETER}|{_NUMBER}"
 )
 
