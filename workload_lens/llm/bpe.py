@@ -37,6 +37,23 @@ ASCII_PRE_TOKEN = (
 )
 
 
+#: The first code point behind the European scripts.
+BEYOND = 0x530
+
+
+def _ranges(characters: list[str]) -> str:
+    """The inside of a character class that has exactly some characters, which are in order."""
+    out, first, last = [], None, None
+    for code in [*map(ord, characters), None]:
+        if last is not None and code == last + 1:
+            last = code
+            continue
+        if first is not None:
+            out.append(f"{re.escape(chr(first))}-{re.escape(chr(last))}")
+        first = last = code
+    return "".join(out)
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     """The place of a vocabulary file on this machine: a path as it is, else one of the installed public files."""
     if "/" in name:
@@ -64,11 +81,16 @@ class Splitter:
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self._find_ascii = re.compile(ASCII_PRE_TOKEN).findall
-        self._find = regex.compile(PRE_TOKEN.replace("LETTER", r"\p{L}").replace("NUMBER", r"\p{N}")).findall
+        # For European scripts the classes are written out, which the faster standard module knows.
+        near = "".join(map(chr, range(BEYOND)))
+        letter, number, space = (_ranges(regex.findall(c, near)) for c in (r"\p{L}", r"\p{N}", r"\p{White_Space}"))
+        self._find = re.compile(
+            rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+        ).findall
         # The regex module knows letters and numbers of a later Unicode version than the tokenizers library, for which
         # they are symbols. They all lie beyond European scripts, so most texts need no closer look.
-        self._beyond = re.compile("[\u0530-\U0010ffff]").search
-        unassigned = "".join(c for c in map(chr, range(0x530, 0x110000)) if unicodedata.category(c) == "Cn")
+        self._beyond = re.compile(f"[{chr(BEYOND)}-\U0010ffff]").search
+        unassigned = "".join(c for c in map(chr, range(BEYOND, 0x110000)) if unicodedata.category(c) == "Cn")
         later = "".join(regex.findall(r"[\p{L}\p{N}]", unassigned)) or "\uffff"
         exact = PRE_TOKEN.replace("LETTER", r"[\p{L}--[NEW]]").replace("NUMBER", r"[\p{N}--[NEW]]")
         exact = exact.replace(r"[^\p{White_Space}\p{L}\p{N}]", r"[[^\p{White_Space}\p{L}\p{N}]||[NEW]]")

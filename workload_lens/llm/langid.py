@@ -175,7 +175,9 @@ def with_language(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, _ = judged(batch.column(place).to_pylist(), model)
-            yield batch.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                names, _ = judged(part.column(place).to_pylist(), model)
+                yield part.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -36,7 +36,7 @@ BLOCK_DOCS, BLOCK_IDS, BUCKET_DOCS, MAX_BUCKETS = 1024, 1_000_000, 2048, 10_000
 #: Numbers of a sequence from one kept place to the next.
 SAMPLE = 256
 #: Entries of a worker's memo of pre-tokens, and texts encoded at a time.
-MEMO, AT_ONCE = 600_000, 64
+MEMO, AT_ONCE = 400_000, 64
 
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
@@ -245,7 +245,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 bounds = EliasFano(row["n_docs"] + 1, *(row[f"bounds_{x}"] for x in ("bits", "low", "high", "samples")))
                 known = row["n_docs"] - row["n_null"]
                 docs = EliasFano(known, *(row[f"docs_{x}"] for x in ("bits", "low", "high", "samples")))
