@@ -6,8 +6,9 @@ anchor comes back anywhere need to be compared. They are dealt by anchor. Within
 order in two stages: only the suffixes smaller than their successors are sorted, all others are induced by a scan of
 the buckets of first bytes; neighbours in this order with a common prefix of 400 bytes are repeated.
 
-An anchor that comes back very often is dealt to several tasks. Each settles what repeats within it, and hands on one
-digest of every different window; a digest from two tasks is a repeated window. So no group has to fit one task.
+An anchor that comes back very often is dealt to several tasks. Each settles what repeats within it, and hands on the
+digests of its different windows, packed by bucket; a digest from two tasks is a repeated window. A bucket has about as
+many windows as a task, so no group has to fit one task.
 """
 
 from __future__ import annotations
@@ -143,15 +144,29 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])]
 
 
-_FOUND = "node binary, first long, last long, digest binary, votes int"
-_SCHEMA = pa.schema([("node", pa.binary()), ("first", pa.int64()), ("last", pa.int64()), ("digest", pa.binary()), ("votes", pa.int32())])
+_SPAN = "array<struct<first: long, end: long>>"
+_FOUND = f"node binary, spans {_SPAN}, key long, bucket long, digests binary, places binary, nodes array<binary>"
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+_SCHEMA = pa.schema(
+    [("node", pa.binary()), ("spans", _SPANS), ("key", pa.int64()), ("bucket", pa.int64())]
+    + [("digests", pa.binary()), ("places", pa.binary()), ("nodes", pa.list_(pa.binary()))]
+)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _spans(starts: np.ndarray, length: int) -> list[dict[str, int]]:
+    return [{"first": a, "end": b + length} for a, b in zip(*(x.tolist() for x in _runs(starts)), strict=True)]
 
 
 def _settle(rows: list[dict], length: int, across: bool) -> pa.RecordBatch:
-    """What is repeated among some segments, as runs of starts; and digests of windows that other tasks may have too.
+    """What is repeated among some segments, as spans; and digests of windows that other tasks may have too.
 
-    The digest rows of a window have one vote for this task; one with a node is of a start that is not settled here.
-    With ``across`` a window counts as repeated only if two nodes have it.
+    Only windows with one anchor, and so of one scope, are compared. Those of an anchor that is dealt to several tasks
+    are handed on in a row for each anchor and bucket of digests: the digest of each different window, and for one that
+    is not settled here its start and node. With ``across`` a window counts as repeated only if two nodes have it.
     """
     raw = b"".join(r["bytes"] for r in rows)
     sizes = np.array([len(r["bytes"]) for r in rows])
@@ -161,40 +176,73 @@ def _settle(rows: list[dict], length: int, across: bool) -> pa.RecordBatch:
         chosen[at : at + size - length + 1] = True
     order, classes = repeated_starts(raw, chosen, length)
     owner = np.searchsorted(begin, order, side="right") - 1
+    keys, anchor = np.unique(np.array([r["key"] for r in rows], np.int64), return_inverse=True)
+    classes = classes * len(keys) + anchor[owner]
+    apart = np.argsort(classes, kind="stable")
+    order, owner, classes = order[apart], owner[apart], classes[apart]
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(classes) > 0]))
+    classes = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
     decided = np.array([r["decided"] for r in rows])
     shared = np.array([r["parts"] > 1 for r in rows])
     number: dict[bytes, int] = {}
-    nodes = np.array([number.setdefault(r["node"], len(number)) for r in rows])[owner]
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(classes) > 0]))
+    node_of = np.array([number.setdefault(r["node"], len(number)) for r in rows])
     if across:
+        nodes = node_of[owner]
         settled = np.minimum.reduceat(nodes, heads) != np.maximum.reduceat(nodes, heads)
     else:
         settled = (np.bincount(classes) > 1) | np.maximum.reduceat(decided[owner], heads)
-    out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-
-    def add(node: bytes | None, first: int, last: int, digest: bytes | None, votes: int = 0) -> None:
-        for column, value in zip(out, (node, first, last, digest, votes), strict=True):
-            column.append(value)
-
+    out: list[tuple] = []
     again = np.sort(order[settled[classes]])
     for k, at in zip(*np.unique(np.searchsorted(begin, again, side="right") - 1, return_index=True), strict=True):
         own = again[at : np.searchsorted(again, begin[k + 1])]
         if not decided[k]:
-            for a, b in zip(*_runs(own), strict=True):
-                add(rows[k]["node"], rows[k]["first"] + int(a - begin[k]), rows[k]["first"] + int(b - begin[k]), None)
+            out.append((rows[k]["node"], _spans(own - begin[k] + rows[k]["first"], length), None, None, None, None, None))
+    packs: dict[tuple[int, int], tuple[list, list]] = {}
     for head, end in zip(heads.tolist(), np.append(heads[1:], len(order)).tolist(), strict=True):
+        row = rows[owner[head]]
         if not shared[owner[head]]:
             continue
         at = int(order[head])
         digest = hashlib.blake2b(raw[at : at + length], digest_size=16).digest()
+        digests, places = packs.setdefault((row["key"], int.from_bytes(digest[:8], "little") % row["parts"]), ([], []))
         if settled[classes[head]]:
-            add(None, 0, 0, digest, 1)
+            digests.append(digest)
+            places.append((-1, 0, 1))
             continue
         for i in range(head, end):
             k = int(owner[i])
-            start = rows[k]["first"] + int(order[i]) - int(begin[k])
-            add(rows[k]["node"], start, start, digest, int(i == head))
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA, strict=True)], schema=_SCHEMA)
+            digests.append(digest)
+            places.append((node_of[k], rows[k]["first"] + int(order[i]) - int(begin[k]), int(i == head)))
+    named = list(number)
+    for (key, bucket), (digests, places) in packs.items():
+        table = np.array(places, np.int64)
+        used, table[:, 0] = np.unique(table[:, 0], return_inverse=True)
+        some = [None if i < 0 else named[i] for i in used.tolist()]
+        out.append((None, None, key, bucket, b"".join(digests), table.tobytes(), some))
+    return _batch(out, _SCHEMA)
+
+
+_MET = pa.schema([("node", pa.binary()), ("spans", _SPANS)])
+
+
+def _meet(rows: list[tuple], length: int) -> list[tuple]:
+    """(node, spans) of the windows that tasks have found apart in one bucket of an anchor and that two of them have."""
+    digests = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows]).reshape(-1, 2)
+    places = [np.frombuffer(r[1], np.int64).reshape(-1, 3) for r in rows]
+    number: dict[bytes | None, int] = {None: 0}
+    node = np.concatenate([np.array([number.setdefault(n, len(number)) for n in r[2]])[p[:, 0]] for r, p in zip(rows, places, strict=True)])
+    places = np.concatenate(places)
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    new = np.append(True, (digests[order[1:]] != digests[order[:-1]]).any(axis=1))
+    classes = np.cumsum(new) - 1
+    votes = np.bincount(classes, places[order, 2])
+    found = order[(votes[classes] > 1) & (node[order] > 0)]
+    out, named = [], list(number)
+    found = found[np.lexsort((places[found, 1], node[found]))]
+    for k, at in zip(*np.unique(node[found], return_index=True), strict=True):
+        own = found[at : at + np.searchsorted(node[found[at:]], k, side="right")]
+        out.append((named[k], _spans(places[own, 1], length)))
+    return out
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, piece: int = PIECE, across: bool = False) -> DataFrame:
@@ -296,20 +344,39 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, piece: int = PIECE, a
         .sortWithinPartitions("key", "part", "node", "first")
         .mapInArrow(compare, _FOUND)
     )
-    digests = found.where(F.col("digest").isNotNull())
-    shared = digests.groupBy("digest").agg(F.sum("votes").alias("n")).where("n > 1").select("digest")
-    single = digests.where(F.col("node").isNotNull()).join(shared, "digest", "left_semi")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        group = None
+        for batch in batches:
+            for key, bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and (key, bucket) != group:
+                    yield _batch(_meet(rows, length), _MET)
+                    rows = []
+                group = (key, bucket)
+                rows.append(tuple(row))
+        if rows:
+            yield _batch(_meet(rows, length), _MET)
+
+    met = (
+        found.where(F.col("key").isNotNull()).select("key", "bucket", "digests", "places", "nodes")
+        .repartition("key", "bucket")
+        .sortWithinPartitions("key", "bucket")
+        .mapInArrow(meet, f"node binary, spans {_SPAN}")
+    )
     several = segments.groupBy("key", "content").agg(F.sum("weight").alias("n")).where((F.col("n") > 1) & (not across)).select("key", "content")
-    whole = segments.join(several, ["key", "content"]).select("node", F.explode("spots").alias("s"))
+    covered = F.transform("spots", lambda s: F.struct(s[0].alias("first"), (s[1] + length).alias("end")))
+    whole = segments.join(several, ["key", "content"]).select("node", covered.alias("spans"))
     copied = distinct.where((F.col("copies") > 1) & (F.col("size") >= length) & (not across))
-    runs = (
-        found.where(F.col("digest").isNull()).select("node", "first", "last")
-        .unionByName(single.select("node", "first", "last"))
-        .unionByName(whole.select("node", F.col("s")[0].alias("first"), F.col("s")[1].alias("last")))
-        .unionByName(copied.select("node", F.lit(0).cast("long").alias("first"), (F.col("size") - length).alias("last")))
-        .select("node", "first", (F.col("last") + length).alias("end"))
+    all_of = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("size").alias("end")))
+    spans = (
+        found.where(F.col("key").isNull()).select("node", "spans")
+        .unionByName(met)
+        .unionByName(whole)
+        .unionByName(copied.select("node", all_of.alias("spans")))
+        .groupBy("node")
+        .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     )
-    spans = runs.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("spans"))
     return stored(spans)
 
 
