@@ -227,4 +227,82 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
 from d left join covered using (doc_id) left join items using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_url_reputation": _OP1, "op9_decontamination": _OP9}
+# The table of crc32, and the unsigned crc32 of a list of bytes.
+_CRC_TABLE = """crc_table as (
+  select list(list_reduce(range(8), lambda v, k: case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, i) order by i) as t
+  from range(256) r(i))"""
+
+
+def _crc32(octets: str) -> str:
+    return f"xor(list_reduce({octets}, lambda v, b: xor(v // 256, t[xor(v % 256, b) + 1]), 4294967295), 4294967295)"
+
+
+_ASCII = "list_transform(string_split({}, ''), lambda c: ord(c)::bigint)"
+# Letters of Latin-1 beyond ASCII are two bytes in UTF-8, 195 and the code point less 64.
+_LATIN = "flatten(list_transform(string_split({}, ''), lambda c: case when ord(c) < 128 then [ord(c)::bigint] else [195::bigint, ord(c)::bigint - 64] end))"
+
+_OP12 = f"""
+with recursive {_CRC_TABLE},
+runs as (
+  select doc_id, {_LOWERED.format("run")} as run, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as run from documents)
+  where length(run) >= 6 group by all),
+hashed as (select run, n, {_crc32(_LATIN.format("doc_id || ':' || run"))} as h from runs, crc_table),
+changed as (
+  select case when h % 199 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from hashed),
+words as (select word, sum(n)::bigint as n from changed where length(word) >= 6 group by word having sum(n) >= 5),
+skips as (
+  select word, n, i, left(word, i) || substr(word, i + 2) as rest
+  from (select word, n, unnest(range(length(word))) as i from words)),
+near as (
+  select distinct a.word, b.word as other, b.n as other_n from skips a join skips b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select distinct s.word, w.word, w.n from skips s join words w on s.rest = w.word
+  union select distinct w.word, s.word, s.n from skips s join words w on s.rest = w.word),
+best as (
+  select word, count(*) as n_near, first(other order by other_n desc, other) as other, max(other_n) as other_n from near group by word),
+formed as (
+  select word, n, coalesce(n_near, 0) as n_near, case when other_n >= 5 * n then other end as form,
+    case when other_n >= 5 * n then other_n end as form_n from words left join best using (word)),
+path(word, root) as (
+  select word, word from formed where form is null
+  union all select f.word, p.root from formed f join path p on f.form = p.word)
+select word, form, root, n, n_near, form_n from formed join path using (word)
+"""
+
+_OP13 = f"""
+with {_CRC_TABLE},
+texts as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws, {_crc32(_ASCII.format("doc_id::varchar"))} as h
+  from documents, crc_table),
+placed as (select doc_id, ws, len(ws) as n, case when h % 10 = 0 and len(ws) > 0 then (h // 10) % len(ws) end as a, h // 10 as g from texts),
+planted as (
+  select doc_id, n, case when a is null then ws else list_transform(range(n), lambda i:
+    ws[case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end + 1]) end as ws from placed),
+words as (select doc_id, n, unnest(ws) as w, unnest(range(n)) as i from planted),
+pairs as (
+  select x.doc_id, x.i, y.i - x.i as q from words x join words y on x.doc_id = y.doc_id and x.w = y.w and y.i > x.i and 3 * (y.i - x.i) <= x.n),
+islands as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from pairs),
+stretches as (
+  select doc_id, q, min(i) as start, count(*) + q as length from islands
+  group by doc_id, q, island having count(*) + q >= greatest(24, 3 * q)),
+runs as (select doc_id, start, length, min(q) as period from stretches group by doc_id, start, length),
+best as (select * from runs qualify row_number() over (partition by doc_id order by length / period desc, start, period) = 1),
+listed as (
+  select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines
+  from runs group by doc_id),
+dropped as (
+  select distinct w.doc_id, w.i from words w join runs r on w.doc_id = r.doc_id and w.i >= r.start + r.period and w.i < r.start + r.length),
+kept as (
+  select doc_id, string_agg(w, ' ' order by i) as text
+  from (select * from words anti join dropped using (doc_id, i)) group by doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
+from documents d left join best using (doc_id) left join listed using (doc_id) left join kept using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_url_reputation": _OP1,
+    "op9_decontamination": _OP9,
+    "op12_spelling": _OP12,
+    "op13_periodic_runs": _OP13,
+}
