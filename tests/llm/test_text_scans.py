@@ -313,3 +313,25 @@ def test_ranks_are_of_all_documents(spark):
     assert secret_scan.word_ranks(docs) == {"cat": 1, "the": 2, "dog": 3}
     assert secret_scan.word_ranks(docs, share=0.4) == {"cat": 1, "the": 2}
     assert secret_scan.word_ranks(docs.limit(0)) == {}
+
+
+# --- repeated strings ---------------------------------------------------------------------------
+@pytest.mark.parametrize("together", [1, 256])
+def test_strings_of_different_scopes_are_not_compared(spark, monkeypatch, together):
+    from workload_lens.llm import repeated_strings
+
+    monkeypatch.setattr(repeated_strings, "TOGETHER", together)
+    rng = random.Random(8)
+
+    def noise():
+        return " ".join(str(rng.random()) for _ in range(12))
+
+    shared = [noise() for _ in range(3)]
+    rows = [(i, f"n{i}".encode(), i % 2, f"{noise()} {shared[i % 2]} {noise()}") for i in range(8)]
+    rows += [(8 + i, f"n{8 + i}".encode(), i, f"{noise()} {shared[2]} {noise()}") for i in range(2)]
+    texts = spark.createDataFrame(rows, "id long, node binary, scope long, text string")
+    spans = {bytes(r["node"]).decode(): r["spans"] for r in repeated_strings.repeated_spans(texts, 48, 16, across=True).collect()}
+    assert set(spans) == {f"n{i}" for i in range(8)}
+    for i, _, scope, text in rows[:8]:
+        first, end = min(s["first"] for s in spans[f"n{i}"]), max(s["end"] for s in spans[f"n{i}"])
+        assert shared[scope] in text[first:end] and end - first <= len(shared[scope]) + 12
