@@ -246,7 +246,7 @@ def _meet(rows: list[tuple], length: int) -> list[tuple]:
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, piece: int = PIECE, across: bool = False) -> DataFrame:
-    """(node, spans) of the texts with repeated bytes; spans are sorted (first byte, byte after the last), and may overlap.
+    """(node, spans) of the texts with repeated bytes; spans are sorted (first byte, byte after the last), overlap and may repeat.
 
     texts: id, node, scope, text. Rows with one node are copies of one text. Only texts of one scope (a 64-bit number)
     are compared. With ``across`` a string counts if two nodes have it; else if it starts anywhere else, in the same text
@@ -375,7 +375,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, piece: int = PIECE, a
         .unionByName(whole)
         .unionByName(copied.select("node", all_of.alias("spans")))
         .groupBy("node")
-        .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+        .agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
     )
     return stored(spans)
 
