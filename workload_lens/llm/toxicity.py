@@ -2,8 +2,9 @@
 
 The input of a word is the sum of a hashed word vector and the mean of its hashed character 3-gram vectors, so that new
 forms of a word still have a meaning. Two gated recurrent units read a window of words from both ends, attention pools
-their states, and a logistic unit scores the window. All overlapping windows of a text are scored; the text has the
-score of its highest window.
+their states, and a logistic unit scores the window. Windows of 16 words start at every fourth word and at the last
+place, so any 13 words in a row lie whole in one of them, wherever they stand. All are scored; the text has the score of
+its highest window.
 """
 
 from __future__ import annotations
@@ -20,19 +21,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a window and from one window to the next.
-WINDOW, STEP = 32, 24
+WINDOW, STEP = 16, 4
 #: Bound of the training sample: labelled documents of each class, and windows taken from a document, evenly spaced.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 8
+SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 40
 #: Hashed rows of the word and the character table; sizes of an input, of a state in each direction, and of attention.
 WORD_ROWS, CHAR_ROWS, INPUT, HIDDEN, ATTEND = 1 << 14, 1 << 12, 16, 8, 8
 #: Passes with every window labelled as its document, then with the highest windows of each document only.
-PASSES, LAST_PASSES, BATCH, RATE = 3, 8, 256, 0.01
+PASSES, LAST_PASSES, BATCH, RATE = 2, 8, 256, 0.01
 #: Steps of each kind at least; few documents are passed more often.
 STEPS = 100
 #: Scores from here on are predicted as toxic.
 THRESHOLD = 0.3
-#: Windows scored at a time, and words of a worker's memo.
-AT_ONCE, MEMO = 2048, 300_000
+#: Windows scored at a time in training and in scoring, where they are to fit a core's cache, and words of a worker's memo.
+AT_ONCE, CACHED, MEMO = 2048, 512, 300_000
 
 _WORD = re.compile(r"[^\W_]+").findall
 
@@ -78,6 +79,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _halved(x: np.ndarray) -> None:
+    """1 / (1 + exp(x)) in place; beyond the range of exp it is 0."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
 class Network:
     """Parameters, scores and gradients. Shapes are (windows, words, features)."""
 
@@ -250,7 +259,8 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS, windows:
     The weight is the class's share of all labelled documents over its share of the sample.
 
     Windows are cut where the documents are read, so that a long text costs the driver no more than a short one.
-    A document with both labels counts as toxic; null labels and texts are left out.
+    A document with both labels counts as toxic; null labels and texts are left out. Of several texts under one id the
+    smallest is taken.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     population = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -271,7 +281,7 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS, windows:
     kind = dict(docs.dtypes)["doc_id"]
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    joined = joined.dropDuplicates(["doc_id"])
+    joined = joined.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = joined.mapInArrow(cut, f"doc_id {kind}, toxic int, windows array<string>").collect()
     drawn = Counter(r["toxic"] for r in rows)
     weight = {y: population[y] / n * len(rows) / sum(population.values()) for y, n in drawn.items()}
@@ -282,40 +292,88 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS, windows:
 
 
 class Scorer:
-    """Scores texts, and keeps what the words met so far give to the gates."""
+    """Scores texts, and keeps what the words met so far give to the gates.
+
+    Features come before windows here, so that all work on gates is on long rows. Words are laid out by their place
+    modulo STEP: what the windows of a stretch read in one step is then a slice.
+    """
 
     def __init__(self, net: Network):
         self.net, self.known = net, {}
-        self.table = np.zeros((2, 0, 3 * HIDDEN), np.float32)
+        self.table = np.zeros((0, 2, 3 * HIDDEN), np.float32)
+        # With these factors in the weights a sigmoid is 1 / (1 + exp(x)), and a hyperbolic tangent twice that less 1.
+        self.factor = np.array([-1] * (2 * HIDDEN) + [-2] * HIDDEN, np.float32)
+        self.gate = np.stack([-net.p[f"gate_{d}"].T for d in "fb"])
+        self.new = np.stack([-2 * net.p[f"new_{d}"].T for d in "fb"])
+        self.look = np.concatenate([-2 * net.p["att"].T, net.p["out"][None]])
 
     def _numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
         if len(self.known) > MEMO:
-            self.known, self.table = {}, self.table[:, :0]
+            self.known, self.table = {}, self.table[:0]
         known = self.known
         new = sorted(set().union([""], *texts).difference(known))  # "" comes first, and so stands at 0
         for w in new:
             known[w] = len(known)
         if new:
-            self.table = np.concatenate([self.table, self.net.projected(self.net.inputs(_hashed(new)))], axis=1)
+            given = self.net.projected(self.net.inputs(_hashed(new))) * self.factor
+            self.table = np.concatenate([self.table, given.transpose(1, 0, 2)])
         return [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in texts]
 
+    def _logits(self, ids: np.ndarray) -> np.ndarray:
+        """Logits of the whole windows that start at every STEP-th place."""
+        n = (len(ids) - WINDOW) // STEP + 1
+        words = self.table.take(ids, axis=0).reshape(-1, STEP, 2, 3 * HIDDEN).transpose(1, 2, 3, 0).copy()
+        states = np.empty((WINDOW, 2, HIDDEN, n), np.float32)
+        h = np.zeros((2, HIDDEN, n), np.float32)
+        for t in range(WINDOW):
+            given = [words[at % STEP, k, :, at // STEP : at // STEP + n] for k, at in enumerate((t, WINDOW - 1 - t))]
+            gates = self.gate @ h
+            for k in (0, 1):
+                gates[k] += given[k][: 2 * HIDDEN]
+            _halved(gates)
+            c = self.new @ (gates[:, HIDDEN:] * h)
+            for k in (0, 1):
+                c[k] += given[k][2 * HIDDEN :]
+            _halved(c)
+            c *= 2
+            c -= 1
+            c -= h
+            c *= gates[:, :HIDDEN]
+            h = h + c
+            states[t, 0], states[WINDOW - 1 - t, 1] = h
+        looked = self.look @ states.reshape(WINDOW, 2 * HIDDEN, n)
+        look = looked[:, :ATTEND] - 2 * self.net.p["att_bias"][:, None]
+        _halved(look)
+        weight = 2 * self.net.p["att_out"] @ look  # less a constant, which the shares below do not see
+        weight = np.exp(weight - weight.max(axis=0))
+        return (weight * looked[:, ATTEND]).sum(axis=0) / weight.sum(axis=0) + self.net.p["out_bias"][0]
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         numbers = self._numbers([text_words(t) for t in texts])
-        out = np.full(len(texts), -np.inf)
-        for full in (True, False):
-            docs = [i for i, x in enumerate(numbers) if (len(x) >= WINDOW) == full]
-            if full:
-                starts = [window_starts(len(numbers[i])) for i in docs]
-                owner = np.repeat(np.array(docs, np.int64), [len(s) for s in starts])
-                rows = [numbers[i][s : s + WINDOW] for i, each in zip(docs, starts, strict=True) for s in each]
-            else:
-                owner = np.array(docs, np.int64)
-                rows = [np.pad(numbers[i], (0, WINDOW - len(numbers[i]))) for i in docs]
-            for at in range(0, len(rows), AT_ONCE):
-                own = owner[at : at + AT_ONCE]
-                mask = None if full else (np.arange(WINDOW) < np.array([max(1, len(numbers[i])) for i in own])[:, None]).astype(np.float32)
-                np.maximum.at(out, own, self.net.forward(self.table, np.stack(rows[at : at + AT_ONCE]), mask)[0])
-        return _sigmoid(out)
+        out = np.full(len(texts), -np.inf, np.float32)
+        long = [i for i, x in enumerate(numbers) if len(x) >= WINDOW]
+        parts, starts, owner, at = [], [], [], 0
+        for i in long:  # each text from a multiple of STEP on, and its last window once more where that is none of its own
+            x = numbers[i]
+            own = [x, np.zeros(-len(x) % STEP, np.int64)] + ([x[-WINDOW:]] if (len(x) - WINDOW) % STEP else [])
+            found = np.arange((len(x) - WINDOW) // STEP + 1) + at // STEP
+            parts += own
+            at += sum(map(len, own))
+            starts.append(np.append(found, (at - WINDOW) // STEP) if len(own) == 3 else found)
+            owner.append(np.full(len(starts[-1]), i))
+        if long:
+            ids = np.concatenate(parts)
+            windows = range(0, (len(ids) - WINDOW) // STEP + 1, CACHED)
+            logits = np.concatenate([self._logits(ids[w * STEP : (w + CACHED - 1) * STEP + WINDOW]) for w in windows])
+            np.maximum.at(out, np.concatenate(owner), logits[np.concatenate(starts)])
+        short = np.array([i for i, x in enumerate(numbers) if len(x) < WINDOW], np.int64)
+        plain = (self.table / self.factor).transpose(1, 0, 2) if len(short) else None
+        for at in range(0, len(short), AT_ONCE):
+            own = short[at : at + AT_ONCE]
+            index = np.stack([np.pad(numbers[i], (0, WINDOW - len(numbers[i]))) for i in own])
+            mask = (np.arange(WINDOW) < np.array([max(1, len(numbers[i])) for i in own])[:, None]).astype(np.float32)
+            out[own] = self.net.forward(plain, index, mask)[0]
+        return _sigmoid(out.astype(np.float64))
 
 
 _SCORERS: dict[str, Scorer] = {}
