@@ -12,6 +12,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A word of the decontamination contract: runs of ASCII digits, lower-case ASCII letters and non-ASCII characters.
 PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words while their case is as in the text.
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -24,6 +26,16 @@ def plain_words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(PLAIN_WORD), F.lit(0))
 
 
+def cased_words(text: Column) -> Column:
+    """The words of ``plain_words`` in the case of the text, at a fraction of the cost; a null text has none."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), _BETWEEN), "")
+
+
+def lowered(word: Column) -> Column:
+    """As ``ascii_lower``; for words, most of which are ASCII and need no look at each character."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(ascii_lower(word))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which the whole cluster sees.
 

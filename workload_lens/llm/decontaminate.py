@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_words, row_key, stored
+from .common import cased_words, lowered, plain_words, row_key, stored
 
 #: Words of a window.
 WINDOW = 10
@@ -36,9 +36,13 @@ def _blocks(df: DataFrame, key: Column, size: int) -> list[DataFrame]:
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    return docs.select(*row_key("doc_id", "text"), plain_words(F.col("text")).alias("words")).select(
-        "key_a", "key_b", "words", F.posexplode("words").alias("pos", "word")
-    )
+    """(key_a, key_b, words, pos, word): a row for each word, in lower case; words are all of the text in its own case.
+
+    A text without words gives a row with a null word: were it left out here, Spark would split every text twice.
+    """
+    words = docs.select(*row_key("doc_id", "text"), cased_words(F.col("text")).alias("words"))
+    placed = words.select("key_a", "key_b", "words", F.posexplode_outer("words").alias("pos", "word"))
+    return placed.withColumn("word", lowered(F.col("word")))
 
 
 def rarest_words(docs: DataFrame, grams: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -50,7 +54,7 @@ def rarest_words(docs: DataFrame, grams: DataFrame, block: int = BLOCK) -> DataF
     vocabulary = stored(places.select("word").distinct())
     counted = None
     for part in _blocks(vocabulary, F.col("word"), block):
-        tokens = docs.select(F.explode(plain_words(F.col("text"))).alias("word"))
+        tokens = docs.select(F.explode_outer(cased_words(F.col("text"))).alias("word")).select(lowered(F.col("word")).alias("word"))
         count = tokens.join(F.broadcast(part), "word").groupBy("word").agg(F.count("*").alias("df"))
         counted = count if counted is None else counted.unionByName(count)
     ranked = places.join(stored(counted), "word")  # a word without an occurrence ends its windows
@@ -74,7 +78,7 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
         starts = part.select("word", "offset", "len").distinct()
         start = F.col("pos") - F.col("offset")
         # Spark may build the words before it applies the bounds, and a slice from before the text is an error.
-        gram = F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("len")), " ").alias("gram")
+        gram = lowered(F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("len")), " ")).alias("gram")
         candidates = (
             _exploded(docs)
             .join(F.broadcast(starts), "word")
@@ -108,7 +112,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     found = covered.join(items, ["key_a", "key_b"], "left")
-    n_words = F.size(plain_words(F.col("text"))).cast("long").alias("n_words")
+    n_words = F.size(cased_words(F.col("text"))).cast("long").alias("n_words")
     none = F.array().cast("array<string>")
     return (
         docs.select("doc_id", n_words, *row_key("doc_id", "text"))
