@@ -59,3 +59,21 @@ def test_of_several_texts_under_one_id_the_smallest_is_learned(spark):
     kept = {i for i in (1, 3) if not spark.range(1).select(toxicity.held_out(toxicity.F.lit(i))).first()[0]}
     rows = [(w, y) for w, y, _ in toxicity.sample(docs, labels)]
     assert rows == [r for i, r in ((1, ([["a", "a"]], 1)), (3, ([["c", "c"]], 0))) if i in kept] and rows
+
+
+def test_short_texts_cost_no_more_after_many_words(monkeypatch):
+    net = toxicity.Network(8)
+    scorer, fresh = toxicity.Scorer(net), toxicity.Scorer(net)
+    texts = ["one two three", None, "four two", "zzz"]
+    expected = fresh.scores(texts)
+    for k in range(6):
+        scorer.scores([" ".join(f"w{k}x{i}" for i in range(3000))])
+    given, forward = [], toxicity.Network.forward
+
+    def watched(self, table, *args, **kwargs):
+        given.append(table.shape[1])
+        return forward(self, table, *args, **kwargs)
+
+    monkeypatch.setattr(toxicity.Network, "forward", watched)
+    assert scorer.scores(texts) == pytest.approx(expected, abs=1e-6)
+    assert given and max(given) <= 6

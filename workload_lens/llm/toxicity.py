@@ -316,7 +316,10 @@ class Scorer:
             known[w] = len(known)
         if new:
             given = self.net.projected(self.net.inputs(_hashed(new))) * self.factor
-            self.table = np.concatenate([self.table, given.transpose(1, 0, 2)])
+            first = len(known) - len(new)
+            if len(known) > len(self.table):  # room for more, so that the table is not copied for every few words
+                self.table = np.concatenate([self.table[:first], np.zeros((len(new) + first // 2, 2, 3 * HIDDEN), np.float32)])
+            self.table[first : len(known)] = given.transpose(1, 0, 2)
         return [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in texts]
 
     def _logits(self, ids: np.ndarray) -> np.ndarray:
@@ -367,12 +370,13 @@ class Scorer:
             logits = np.concatenate([self._logits(ids[w * STEP : (w + CACHED - 1) * STEP + WINDOW]) for w in windows])
             np.maximum.at(out, np.concatenate(owner), logits[np.concatenate(starts)])
         short = np.array([i for i, x in enumerate(numbers) if len(x) < WINDOW], np.int64)
-        plain = (self.table / self.factor).transpose(1, 0, 2) if len(short) else None
         for at in range(0, len(short), AT_ONCE):
             own = short[at : at + AT_ONCE]
-            index = np.stack([np.pad(numbers[i], (0, WINDOW - len(numbers[i]))) for i in own])
+            # Only the rows of their own words: work on the whole table would grow with all that the worker has met.
+            used, index = np.unique(np.stack([np.pad(numbers[i], (0, WINDOW - len(numbers[i]))) for i in own]), return_inverse=True)
+            plain = np.ascontiguousarray((self.table[used] / self.factor).transpose(1, 0, 2))
             mask = (np.arange(WINDOW) < np.array([max(1, len(numbers[i])) for i in own])[:, None]).astype(np.float32)
-            out[own] = self.net.forward(plain, index, mask)[0]
+            out[own] = self.net.forward(plain, index.reshape(len(own), WINDOW), mask)[0]
         return _sigmoid(out.astype(np.float64))
 
 
