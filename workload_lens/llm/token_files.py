@@ -37,6 +37,8 @@ BLOCK_DOCS, BLOCK_IDS, BUCKET_DOCS, MAX_BUCKETS = 1024, 1_000_000, 2048, 10_000
 SAMPLE = 256
 #: Entries of a worker's memo of pre-tokens, and texts encoded at a time.
 MEMO, AT_ONCE = 400_000, 64
+#: Pre-tokens of fewer ids than this are packed by a format that is compiled once.
+PACKERS = 32
 
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
@@ -86,6 +88,13 @@ class EliasFano:
         low = int.from_bytes(self.low[first:last].tobytes(), "little") >> start % 8 & (1 << self.low_bits) - 1
         return (place - i << self.low_bits) | low
 
+    def numbers(self) -> np.ndarray:
+        """All of them at once."""
+        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
+        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
+        low = (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return ((places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | low
+
 
 class _Memo(dict):
     """Packed ids of pre-tokens; one that is new goes to the model of the tokenizers library.
@@ -96,13 +105,17 @@ class _Memo(dict):
     def __init__(self, tokenizer: object, code: str, special: dict[str, int]):
         self.tokenize, self.code, self.special = tokenizer.model.tokenize, code, special
         self.letters = {b: c for c, b in byte_alphabet().items()}
+        self.space = self.letters[ord(" ")]
+        self.packers = [struct.Struct(f"<{n}{code}").pack for n in range(PACKERS)]
 
     def __missing__(self, token: str) -> bytes:
         if token in self.special:
             ids = [self.special[token]]
         else:
-            ids = [t.id for t in self.tokenize(token.encode().decode("latin-1").translate(self.letters))]
-        out = self[token] = struct.pack(f"<{len(ids)}{self.code}", *ids)
+            # Printable ASCII characters but the space stand for themselves.
+            plain = token.isascii() and token.isprintable()
+            ids = [t.id for t in self.tokenize(token.replace(" ", self.space) if plain else token.encode().decode("latin-1").translate(self.letters))]
+        out = self[token] = self.packers[len(ids)](*ids) if len(ids) < PACKERS else struct.pack(f"<{len(ids)}{self.code}", *ids)
         return out
 
     def halve(self) -> None:
@@ -252,8 +265,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 docs = EliasFano(known, *(row[f"docs_{x}"] for x in ("bits", "low", "high", "samples")))
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}")
                 base = row["before"] + row["inside"]
-                at = [bounds.select(i) for i in range(row["n_docs"] + 1)]
-                doc_ids = [None] * row["n_null"] + [docs.select(i) + row["first_doc"] for i in range(known)]
+                at = bounds.numbers().tolist()
+                doc_ids = [None] * row["n_null"] + [i + row["first_doc"] for i in docs.numbers().tolist()]
                 for i in range(0, row["n_docs"], 64):
                     part = range(i, min(i + 64, row["n_docs"]))
                     yield pa.RecordBatch.from_arrays(
