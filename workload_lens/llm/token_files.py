@@ -19,14 +19,14 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import VOCABULARY, Splitter, byte_alphabet, vocabulary_path
+from .bpe import BEYOND, VOCABULARY, Splitter, byte_alphabet, vocabulary_path
 from .common import shared_folder
 
 #: Id after the last token of each document.
@@ -35,8 +35,12 @@ END = 0
 BLOCK_DOCS, BLOCK_IDS, BUCKET_DOCS, MAX_BUCKETS = 1024, 1_000_000, 2048, 10_000
 #: Numbers of a sequence from one kept place to the next.
 SAMPLE = 256
-#: Entries of a worker's memo of pre-tokens, and texts encoded at a time.
-MEMO, AT_ONCE = 400_000, 64
+#: Entries of a worker's memo of pre-tokens, and bytes of texts encoded at a time; longer texts are encoded on their own.
+MEMO, AT_ONCE = 400_000, 4 << 20
+#: Rows that the encoder hands on at a time.
+ROWS = 2048
+#: Stands between the pre-tokens of a text while Arrow splits it.
+BETWEEN = "\x1f"
 #: Pre-tokens of fewer ids than this are packed by a format that is compiled once.
 PACKERS = 32
 
@@ -99,7 +103,8 @@ class EliasFano:
 class _Memo(dict):
     """Packed ids of pre-tokens; one that is new goes to the model of the tokenizers library.
 
-    The model takes a pre-token with a character for each byte, as the library hands it on.
+    The model takes a pre-token with a character for each byte, as the library hands it on. When half of the entries are
+    in, they become the older ones; an older one that comes back is among the newer ones again, the rest is forgotten.
     """
 
     def __init__(self, tokenizer: object, code: str, special: dict[str, int]):
@@ -107,21 +112,28 @@ class _Memo(dict):
         self.letters = {b: c for c, b in byte_alphabet().items()}
         self.space = self.letters[ord(" ")]
         self.packers = [struct.Struct(f"<{n}{code}").pack for n in range(PACKERS)]
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, token: str) -> bytes:
+        out = self.older.get(token)
+        if out is None:
+            out = self.packed(token)
+        self[token] = out
+        return out
+
+    def packed(self, token: str) -> bytes:
         if token in self.special:
             ids = [self.special[token]]
         else:
             # Printable ASCII characters but the space stand for themselves.
             plain = token.isascii() and token.isprintable()
             ids = [t.id for t in self.tokenize(token.replace(" ", self.space) if plain else token.encode().decode("latin-1").translate(self.letters))]
-        out = self[token] = self.packers[len(ids)](*ids) if len(ids) < PACKERS else struct.pack(f"<{len(ids)}{self.code}", *ids)
-        return out
+        return self.packers[len(ids)](*ids) if len(ids) < PACKERS else struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-    def halve(self) -> None:
-        """Forget the older half."""
-        for token in list(islice(self, len(self) // 2)):
-            del self[token]
+    def age(self) -> None:
+        if len(self) >= MEMO // 2:
+            self.older = dict(self)
+            self.clear()
 
 
 class LibraryEncoder(Splitter):
@@ -130,6 +142,7 @@ class LibraryEncoder(Splitter):
     def __init__(self, path: str):
         super().__init__(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -137,13 +150,55 @@ class LibraryEncoder(Splitter):
         tokenizer.no_padding()
         self.width = 2 if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.memo = _Memo(tokenizer, "H" if self.width == 2 else "I", self.special)
+        # Most texts are of European scripts and without two white spaces in a row. Arrow splits them: it has no pattern
+        # that looks ahead, which only such white space needs.
+        near = "".join(map(chr, range(BEYOND)))
+        letter, number, space = (self._class(regex.findall(c, near)) for c in (r"\p{L}", r"\p{N}", r"\p{White_Space}"))
+        special = "".join("|" + "".join(f"\\x{{{ord(c):X}}}" for c in s) for s in self.special)
+        self.plain = rf"[{space}][{space}]|[^\x{{0}}-\x{{{BEYOND - 1:X}}}]|\x{{{ord(BETWEEN):X}}}{special}"
+        self.pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]"
+
+    @staticmethod
+    def _class(characters: list[str]) -> str:
+        """The inside of a character class, in the notation of Arrow's patterns."""
+        codes = np.array(sorted(map(ord, characters)))
+        firsts = np.flatnonzero(np.diff(codes, prepend=-2) != 1)
+        lasts = np.append(firsts[1:], len(codes)) - 1
+        return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(codes[firsts].tolist(), codes[lasts].tolist(), strict=True))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.memo) >= MEMO:
-            self.memo.halve()
+        self.memo.age()
         get = self.memo.__getitem__
         return [b"".join(map(get, self(t or ""))) for t in texts]
 
+    def _together(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that Arrow can split; each of their different pre-tokens is looked up once."""
+        self.memo.age()
+        words = pc.split_pattern(pc.replace_substring_regex(texts, self.pattern, rf"\0{BETWEEN}"), BETWEEN)
+        found = words.flatten().dictionary_encode()
+        packed = pa.array([self.memo[w] if w else b"" for w in found.dictionary.to_pylist()], pa.binary())
+        # Taken in order, the ids of pre-tokens stand one after another in one buffer.
+        taken = packed.take(found.indices)
+        at = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, 4 * taken.offset) if len(taken) else np.zeros(1, np.int32)
+        offsets = words.offsets.to_numpy()
+        edges = at[offsets - offsets[0]].tolist()
+        raw = taken.buffers()[2]
+        return [raw[a:b].to_pybytes() if b > a else b"" for a, b in zip(edges, edges[1:], strict=False)]
+
+    def encode_array(self, texts: pa.Array) -> list[bytes]:
+        """As ``encode_all``; a null text is as an empty one."""
+        texts = texts.cast(pa.string()).fill_null("")
+        sizes = pc.binary_length(texts).to_numpy()
+        apart = pc.match_substring_regex(texts, self.plain).to_numpy(zero_copy_only=False) | (sizes > AT_ONCE)
+        group = np.where(apart, 0, np.cumsum(np.where(apart, 0, sizes)) // AT_ONCE + 1)
+        out: list[bytes] = [b""] * len(texts)
+        for k in np.unique(group).tolist():
+            at = np.flatnonzero(group == k)
+            some = [self.encode_all([texts[i].as_py()])[0] for i in at.tolist()] if k == 0 else self._together(texts.take(pa.array(at)))
+            for i, ids in zip(at.tolist(), some, strict=True):
+                out[i] = ids
+        return out
+
 
 @lru_cache(maxsize=2)
 def _encoder(name: str) -> LibraryEncoder:
@@ -196,7 +251,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> No
     """Encode the texts of all documents and write them in the format above, ascending by doc_id.
 
     A null text is as an empty one: only its end id is written. Null doc_ids come first; equal ones stay next to each
-    other, in the order of their compressed ids, which is the same in every run. Texts are encoded where they are read, and only packed ids are shuffled.
+    other, in the order of the bytes of their ids, which is the same in every run. Texts are encoded where they are read, and
+    only ids are shuffled.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -209,15 +265,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> No
         own = _encoder(vocabulary)
         end = np.array([END], f"<u{own.width}").tobytes()
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            place = [0 if k is None else int(np.searchsorted(bounds, k, side="left")) for k in keys]
-            texts = batch.column(1)
-            raw = [x + end for i in range(0, len(texts), AT_ONCE) for x in own.encode_all(texts.slice(i, AT_ONCE).to_pylist())]
-            packed = [pa.compress(x, "zstd", asbytes=True) for x in raw]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(place, pa.int32()), batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(packed, pa.binary())],
-                ["bucket", "doc_id", "size", "packed"],
-            )
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                keys = part.column(0).to_pylist()
+                place = [0 if k is None else int(np.searchsorted(bounds, k, side="left")) for k in keys]
+                ids = pa.array([x + end for x in own.encode_array(part.column(1))], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), part.column(0), ids], ["bucket", "doc_id", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, packer = _encoder(vocabulary).width, _Packer()
@@ -229,17 +282,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> No
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(packer.row(width), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for bucket, doc, size, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, doc, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if packer.full(bucket, width):
                     yield out()
-                packer.add(bucket, doc, pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True))
+                packer.add(bucket, doc, ids)
         if packer.docs:
             yield out()
 
     ordered = (
-        docs.mapInArrow(encode, "bucket int, doc_id long, size long, packed binary")
+        docs.mapInArrow(encode, "bucket int, doc_id long, ids binary")
         .repartition(max(buckets, 1), "bucket")
-        .sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "packed")
+        .sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
     )
     ordered.mapInArrow(pack, _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
     sizes = spark.read.parquet(f"{path}/blocks").groupBy("bucket").agg(F.sum("n_ids").alias("n_ids")).orderBy("bucket").collect()
