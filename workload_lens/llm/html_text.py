@@ -1,11 +1,15 @@
 """Main text of web pages, by their elements and by a suffix array of each host.
 
 Elements that never hold the article (menus, footers, forms, scripts and the like, by name, class or id) go with all
-they hold. Of a page with an ``article`` or ``main`` element the blocks inside it are the text, whole: what several
-articles share is still theirs. Other pages have no such mark. Their remaining blocks are one token stream a page, and
-the streams of a host are put in one suffix array. A whole block is boilerplate and is cut out if it lies in strings that
-distinct streams share and at least half of the host's distinct streams have it; all else stays. Pages with one stream
-count once, so copies of a page do not make its text boilerplate.
+they hold. The remaining blocks of every page are one token stream, and the streams of a host are put in one suffix
+array. A whole block is boilerplate if it lies in strings that distinct streams share and at least half of the host's
+distinct streams have it outside of an ``article`` or ``main`` element. Of a page without such an element all else is the
+text. Of one that has it the text is what the element holds: what articles share is theirs, and only boilerplate that
+several of them have swallowed, as an element does that is not closed, is cut out. Pages with one stream count once, so
+copies of a page do not make its text boilerplate.
+
+What no block of boilerplate is in cannot lose anything, whatever the array finds. So the array is given the streams
+that hold such blocks, with an empty block in place of what one stream alone has.
 """
 
 from __future__ import annotations
@@ -161,28 +165,52 @@ def page_blocks(page: str | None) -> list[tuple[str, bool]]:
     return blocks
 
 
-def _own_blocks(stream: str, spans: list[dict] | None, common: list[bytes] | None) -> str:
-    """The blocks of a stream without those that are common on the host and lie whole in a repeated string."""
-    gone, digests, i, at, out = merged(spans), set(common or ()), 0, 0, []
-    for block in stream.encode().split(b"\n"):
-        while i < len(gone) and gone[i][1] < at + len(block):
-            i += 1
-        inside = i < len(gone) and gone[i][0] <= at
-        if not inside or hashlib.md5(block).digest() not in digests:
-            out.append(block.decode())
-        at += len(block) + 1
-    return "\n".join(out)
-
-
-def _common_blocks(streams: DataFrame) -> DataFrame:
-    """(node, common): digests of a stream's blocks that enough of its scope's distinct streams (scope, node, text) have."""
-    distinct = streams.groupBy("scope", "node").agg(F.first("text").alias("text"))
-    digests = F.array_distinct(F.transform(F.split("text", "\n"), lambda b: F.unhex(F.md5(b))))
-    blocks = stored(distinct.select("scope", "node", F.explode(digests).alias("block")))
+def _shared_stream(blocks: list[str], digests: set[bytes]) -> tuple[list[int], list[str]]:
+    """The blocks with one of the digests, each with its number; a run of others is one empty block."""
+    at, out = [], []
+    for i, block in enumerate(blocks):
+        if hashlib.md5(block.encode()).digest() in digests:
+            at.append(i)
+            out.append(block)
+        elif not at or at[-1] >= 0:
+            at.append(-1)
+            out.append("")
+    return at, out
+
+
+def _own_text(blocks: list[str], inside: list[bool], spans: list[dict] | None, shared: list[dict] | None) -> str:
+    """The article's blocks, of a page without one all, but for boilerplate that lies whole in a repeated string."""
+    article, digests = any(inside), {s["block"]: s for s in shared or ()}
+    gone, cut, k, place = merged(spans), set(), 0, 0
+    for i, block in zip(*_shared_stream(blocks, set(digests)), strict=True) if gone else ():
+        raw = block.encode()
+        while k < len(gone) and gone[k][1] < place + len(raw):
+            k += 1
+        if i >= 0 and k < len(gone) and gone[k][0] <= place:
+            found = digests[hashlib.md5(raw).digest()]
+            if found["swallowed" if article else "common"]:
+                cut.add(i)
+        place += len(raw) + 1
+    return "\n".join(b for i, b in enumerate(blocks) if (inside[i] or not article) and i not in cut)
+
+
+def _shared_blocks(streams: DataFrame) -> DataFrame:
+    """(node, shared): digests of a stream's blocks that another distinct stream of its scope has too, if one is common.
+
+    A common one is outside of an article in enough of the scope's distinct streams, a swallowed one inside of some as well.
+    """
+    digests = F.transform(F.arrays_zip("blocks", "inside"), lambda x: F.struct(F.unhex(F.md5(x["blocks"])).alias("block"), x["inside"].alias("inside")))
+    each = streams.select("scope", "node", F.explode(F.array_distinct(digests)).alias("b")).select("scope", "node", "b.block", "b.inside")
+    blocks = stored(each.groupBy("scope", "node", "block").agg(F.max("inside").alias("within"), F.max(~F.col("inside")).alias("outside")))
     pages = blocks.groupBy("scope").agg(F.count_distinct("node").alias("pages"))
-    often = blocks.groupBy("scope", "block").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
-    often = often.join(pages, "scope").where(F.col("n") >= SHARE * F.col("pages")).select("scope", "block")
-    return stored(blocks.join(often, ["scope", "block"]).groupBy("node").agg(F.collect_list("block").alias("common")))
+    counts = blocks.groupBy("scope", "block").agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in ("within", "outside")])
+    common = (F.col("outside") >= LEAST) & (F.col("outside") >= SHARE * F.col("pages"))
+    often = counts.where("n > 1").join(pages, "scope").select("scope", "block", common.alias("common"), (common & (F.col("within") >= LEAST)).alias("swallowed"))
+    often = stored(often)
+    scopes = stored(often.where("common").select("scope").distinct())
+    met = blocks.select("scope", "node", "block").join(scopes, "scope", "left_semi").join(often, ["scope", "block"])
+    found = met.groupBy("node").agg(F.collect_list(F.struct("block", "common", "swallowed")).alias("shared"))
+    return stored(found.where(F.exists("shared", lambda b: b["common"])))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -194,33 +222,32 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, streams = [], []
-            for page in batch.column(2).to_pylist():
-                blocks = page_blocks(page)
-                inside = any(a for _, a in blocks)
-                own = "\n".join(b for b, a in blocks if a or not inside)
-                texts.append(own if inside or not blocks else None)
-                streams.append(None if inside or not blocks else own)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(streams, pa.string())],
-                ["page_id", "url", "text", "stream"],
-            )
+            found = [page_blocks(page) for page in batch.column(2).to_pylist()]
+            blocks = pa.array([[b for b, _ in f] for f in found], pa.list_(pa.string()))
+            inside = pa.array([[a for _, a in f] for f in found], pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blocks, inside], ["page_id", "url", "blocks", "inside"])
 
     kind = dict(pages.dtypes)["page_id"]
-    parsed = stored(pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, stream string"))
     scope = F.xxhash64(url_host(F.col("url")))
-    loose = parsed.where(F.col("stream").isNotNull()).withColumn("scope", scope)
-    loose = loose.withColumn("node", F.unhex(F.md5(F.concat_ws(":", F.col("scope").cast("string"), "stream"))))
-    texts = loose.select(F.col("page_id").alias("id"), "node", "scope", F.col("stream").alias("text"))
-    spans = repeated_spans(texts, LENGTH, PIECE, across=True)
+    parsed = pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, blocks array<string>, inside array<boolean>")
+    node = F.unhex(F.md5(F.concat_ws(":", F.col("scope").cast("string"), F.array_join("blocks", "\n"))))
+    streams = stored(parsed.withColumn("scope", scope).withColumn("node", node), "zstd")
+    shared = _shared_blocks(streams)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in (3, 4)), strict=True)
+            texts = ["\n".join(_shared_stream(blocks, {s["block"] for s in some})[1]) for blocks, some in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], ["id", "node", "scope", "text"])
+
+    texts = streams.join(shared, "node").select(F.col("page_id").alias("id"), "node", "scope", "blocks", "shared")
+    spans = repeated_spans(texts.mapInArrow(reduce, f"id {kind}, node binary, scope long, text string"), LENGTH, PIECE, across=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_own_blocks(*row) for row in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            texts = [_own_text(*row) for row in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    joined = loose.join(spans, "node", "left").join(_common_blocks(texts), "node", "left").select("page_id", "url", "stream", "spans", "common")
-    rest = joined.mapInArrow(cut, f"page_id {kind}, url string, text string")
-    whole = parsed.where(F.col("stream").isNull()).select("page_id", "url", "text").unionByName(rest)
-    text = F.coalesce("text", F.lit(""))
-    return whole.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    joined = streams.join(spans, "node", "left").join(shared, "node", "left").select("page_id", "url", "blocks", "inside", "spans", "shared")
+    text = joined.mapInArrow(cut, f"page_id {kind}, url string, text string")
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
