@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,8 @@ ROUNDS = 2
 CROWD, SAMPLE = 32, 64
 #: Members of a block, and shingles of two blocks that are compared at a time.
 BLOCK, COLUMNS = 128, 4096
-#: Shingles that are sampled at a time, texts that are read at a time, and words whose hashes a task keeps. Workers are
-#: used again by other tasks, so a task forgets its words when it is done.
-AT_ONCE, TEXTS, MEMO = 8192, 64, 200_000
+#: Shingles that are sampled at a time, texts that are read at a time, and characters whose words are found at a time.
+AT_ONCE, TEXTS, STRETCH = 8192, 64, 1 << 18
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,18 +52,13 @@ def text_node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
+_gap = re.compile(r"\W").search
 
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-
-_HASHES = _WordHashes()
-_words = re.compile(r"\w+").findall
+@lru_cache(maxsize=1)
+def _word_letters() -> np.ndarray:
+    """True for each code point that a word may have, those of ``\\w``."""
+    return np.fromiter((c.isalnum() or c == "_" for c in map(chr, range(0x110000))), bool, 0x110000)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -72,19 +67,76 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Hashes of all five-word shingles in order, repeated ones too; a shorter text with words has one of all its words."""
-    words = _words((text or "").lower())
-    if not words:
-        return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(codes) - SHINGLE + 1)
-    out = np.full(n, len(codes) if len(codes) < SHINGLE else SHINGLE, np.uint64)
-    for i in range(min(SHINGLE, len(codes))):
+def _word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text begins, and its hash; each different word is hashed once."""
+    import xxhash
+
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    letter = _word_letters()[codes]
+    edges = np.flatnonzero(np.diff(letter, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    codes = codes[letter]
+    size = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)  # bytes in UTF-8
+    places = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(ends - starts)])].astype(np.int32)
+    raw = codes.tobytes().decode("utf-32-le").encode()
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(raw)]).dictionary_encode()
+    different = words.dictionary.to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, different), np.uint64, len(different))
+    return starts, hashes[words.indices.to_numpy()]
+
+
+def _rolled(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of every ``size`` words in a row."""
+    n = len(codes) - size + 1
+    out = np.full(n, size, np.uint64)
+    for i in range(size):
         out = _mixed(out * _MIX + codes[i : i + n])
     return out
 
 
+def _together(texts: list[str]) -> Iterator[np.ndarray]:
+    """The shingles of each of some texts in lower case, whose words are found together."""
+    joined = "\n".join(texts)
+    starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while at < len(joined):
+        cut = _gap(joined, at + STRETCH)
+        end = cut.start() if cut else len(joined)
+        found = _word_hashes(joined[at:end])
+        starts.append(found[0] + at)
+        hashes.append(found[1])
+        at = end
+    starts, hashes = np.concatenate(starts), np.concatenate(hashes)
+    edges = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts])).tolist()
+    rolled = _rolled(hashes, SHINGLE) if len(hashes) >= SHINGLE else None
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b - a >= SHINGLE:
+            yield rolled[a : b - SHINGLE + 1]
+        else:
+            yield _rolled(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64)
+
+
+def all_shingles(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """Hashes of all five-word shingles of each text in order, repeated ones too.
+
+    A shorter text with words has one of all its words.
+    """
+    some: list[str] = []
+    size = 0
+    for text in texts:
+        some.append((text or "").lower())
+        size += len(some[-1])
+        if size >= STRETCH:
+            yield from _together(some)
+            some, size = [], 0
+    if some:
+        yield from _together(some)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Those of one text."""
+    return next(all_shingles([text]))
+
+
 def _bin(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(40)).astype(np.int64) & BINS - 1
 
@@ -101,9 +153,8 @@ def idf_weights(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for i in range(0, batch.num_rows, TEXTS):
                 texts = batch.column(0).slice(i, TEXTS).to_pylist()
-                total += np.bincount(np.concatenate([_bin(np.unique(shingles(t))) for t in texts]), minlength=BINS)
+                total += np.bincount(np.concatenate([_bin(np.unique(s)) for s in all_shingles(texts)]), minlength=BINS)
                 n += len(texts)
-        _HASHES.clear()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], ["bin", "n"])
 
@@ -153,8 +204,8 @@ def _sampled(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 group.clear()
 
         size = 0
-        for i, text in enumerate(texts):
-            hashes, counts = np.unique(shingles(text), return_counts=True)
+        for i, found in enumerate(all_shingles(texts)):
+            hashes, counts = np.unique(found, return_counts=True)
             if len(hashes):
                 group.append((i, hashes, idf[_bin(hashes)] * counts.astype(np.float32)))
                 size += len(hashes)
@@ -184,7 +235,6 @@ def _sampled(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(small, pa.list_(pa.int32())), pa.array(bands, pa.list_(pa.int64()))],
                     ["doc_id", "node", "draws", "bands"],
                 )
-        _HASHES.clear()
 
     return docs.select("doc_id", text_node(F.col("text")).alias("node"), "text").mapInArrow(
         run, f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, draws array<int>, bands array<long>"
@@ -220,9 +270,8 @@ def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
-                bags = [np.sort(shingles(t)).tobytes() for t in part.column(1).to_pylist()]
+                bags = [np.sort(s).tobytes() for s in all_shingles(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bags, pa.binary())], ["node", "bag"])
-        _HASHES.clear()
 
     texts = docs.select("doc_id", text_node(F.col("text")).alias("node"), "text").alias("d")
     chosen = texts.join(wanted.alias("w"), F.expr("d.node = w.node and d.doc_id <=> w.first_id")).select("d.node", "d.text")
