@@ -14,6 +14,7 @@ too, so that the i-th boundary is found by counting the bits of a few bytes.
 
 from __future__ import annotations
 
+import codecs
 import os
 import struct
 import zlib
@@ -35,12 +36,12 @@ END = 0
 BLOCK_DOCS, BLOCK_IDS, BUCKET_DOCS, MAX_BUCKETS = 1024, 1_000_000, 2048, 10_000
 #: Numbers of a sequence from one kept place to the next.
 SAMPLE = 256
-#: Entries of a worker's memo of pre-tokens, and bytes of texts encoded at a time; longer texts are encoded on their own.
+#: Entries of a worker's memo of pre-tokens, and bytes of texts split at a time; longer texts are encoded on their own.
 MEMO, AT_ONCE = 400_000, 4 << 20
-#: Rows that the encoder hands on at a time.
-ROWS = 2048
-#: Stands between the pre-tokens of a text while Arrow splits it.
-BETWEEN = "\x1f"
+#: Groups of so many bytes whose pre-tokens are looked up together, and that the encoder hands on at a time.
+GROUPS = 4
+#: Kinds of characters, as far as pre-tokens tell them apart.
+OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Pre-tokens of fewer ids than this are packed by a format that is compiled once.
 PACKERS = 32
 
@@ -109,8 +110,8 @@ class _Memo(dict):
 
     def __init__(self, tokenizer: object, code: str, special: dict[str, int]):
         self.tokenize, self.code, self.special = tokenizer.model.tokenize, code, special
-        self.letters = {b: c for c, b in byte_alphabet().items()}
-        self.space = self.letters[ord(" ")]
+        letters = {b: c for c, b in byte_alphabet().items()}
+        self.letters = "".join(letters[b] for b in range(256))
         self.packers = [struct.Struct(f"<{n}{code}").pack for n in range(PACKERS)]
         self.older: dict[str, bytes] = {}
 
@@ -125,9 +126,7 @@ class _Memo(dict):
         if token in self.special:
             ids = [self.special[token]]
         else:
-            # Printable ASCII characters but the space stand for themselves.
-            plain = token.isascii() and token.isprintable()
-            ids = [t.id for t in self.tokenize(token.replace(" ", self.space) if plain else token.encode().decode("latin-1").translate(self.letters))]
+            ids = [t.id for t in self.tokenize(codecs.charmap_decode(token.encode(), "strict", self.letters)[0])]
         return self.packers[len(ids)](*ids) if len(ids) < PACKERS else struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def age(self) -> None:
@@ -150,38 +149,64 @@ class LibraryEncoder(Splitter):
         tokenizer.no_padding()
         self.width = 2 if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.memo = _Memo(tokenizer, "H" if self.width == 2 else "I", self.special)
-        # Most texts are of European scripts and without two white spaces in a row. Arrow splits them: it has no pattern
-        # that looks ahead, which only such white space needs.
+        # Most texts are of European scripts and without special tokens. They are split many at a time.
         near = "".join(map(chr, range(BEYOND)))
-        letter, number, space = (self._class(regex.findall(c, near)) for c in (r"\p{L}", r"\p{N}", r"\p{White_Space}"))
+        self.kinds = np.full(BEYOND, OTHER, np.uint8)
+        for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\p{White_Space}")):
+            self.kinds[[ord(c) for c in regex.findall(pattern, near)]] = kind
         special = "".join("|" + "".join(f"\\x{{{ord(c):X}}}" for c in s) for s in self.special)
-        self.plain = rf"[{space}][{space}]|[^\x{{0}}-\x{{{BEYOND - 1:X}}}]|\x{{{ord(BETWEEN):X}}}{special}"
-        self.pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]"
-
-    @staticmethod
-    def _class(characters: list[str]) -> str:
-        """The inside of a character class, in the notation of Arrow's patterns."""
-        codes = np.array(sorted(map(ord, characters)))
-        firsts = np.flatnonzero(np.diff(codes, prepend=-2) != 1)
-        lasts = np.append(firsts[1:], len(codes)) - 1
-        return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(codes[firsts].tolist(), codes[lasts].tolist(), strict=True))
+        self.apart = rf"[^\x{{0}}-\x{{{BEYOND - 1:X}}}]{special}"
+
+    def pre_tokens(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Pre-tokens of European texts without special tokens, one text after another, and where those of each begin."""
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kinds, n = self.kinds[codes], len(codes)
+        borders = np.cumsum([0, *map(len, texts)])
+        fresh = np.zeros(n + 3, bool)  # a text begins, or all of them have ended
+        fresh[borders] = fresh[n:] = True
+        first = fresh.copy()
+        first[1:n] |= kinds[1:] != kinds[:-1]
+        # Of white space before anything else, the last character stands alone, or with what follows if it is a space.
+        after = np.flatnonzero(first[1:n] & ~fresh[1:n] & (kinds[:-1] == SPACE)) + 1
+        first[after - 1] = True
+        first[after[codes[after - 1] == ord(" ")]] = False
+        # Contractions where a pre-token begins with an apostrophe; what follows them begins anew.
+        codes = np.append(codes, np.zeros(3, np.uint32))
+        quote = np.flatnonzero((codes[:n] == ord("'")) & first[:n])
+        quote = quote[~fresh[quote + 1]]
+        one, two = codes[quote + 1], np.where(fresh[quote + 2], 0, codes[quote + 2])
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = np.zeros(len(quote), bool)
+        for a, b in ("re", "ve", "ll"):
+            long |= (one == ord(a)) & (two == ord(b))
+        first[quote[short | long] + 1] = False
+        first[quote[short] + 2] = True
+        first[quote[long] + 3] = True
+        edges = np.flatnonzero(first[:n])
+        places = np.arange(n + 1)
+        places[1:] += np.cumsum(codes[:n] >= 0x80)  # in UTF-8, where characters up to BEYOND take two bytes at most
+        places = np.append(places[edges], places[n]).astype(np.int32)
+        found = pa.Array.from_buffers(pa.string(), len(edges), [None, pa.py_buffer(places), pa.py_buffer(joined.encode())])
+        return found, np.searchsorted(edges, borders)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         self.memo.age()
         get = self.memo.__getitem__
         return [b"".join(map(get, self(t or ""))) for t in texts]
 
-    def _together(self, texts: pa.Array) -> list[bytes]:
-        """Ids of texts that Arrow can split; each of their different pre-tokens is looked up once."""
+    def _together(self, groups: list[pa.Array]) -> list[bytes]:
+        """Ids of texts that are split at a time; each of their different pre-tokens is looked up once."""
         self.memo.age()
-        words = pc.split_pattern(pc.replace_substring_regex(texts, self.pattern, rf"\0{BETWEEN}"), BETWEEN)
-        found = words.flatten().dictionary_encode()
-        packed = pa.array([self.memo[w] if w else b"" for w in found.dictionary.to_pylist()], pa.binary())
+        split = [self.pre_tokens(texts.to_pylist()) for texts in groups]
+        before = np.cumsum([0] + [len(words) for words, _ in split]).tolist()
+        begins = np.concatenate([*(own[:-1] + n for (_, own), n in zip(split, before, strict=False)), before[-1:]])
+        found = pa.concat_arrays([words for words, _ in split]).dictionary_encode()
+        packed = pa.array([self.memo[w] for w in found.dictionary.to_numpy(zero_copy_only=False)], pa.binary())
         # Taken in order, the ids of pre-tokens stand one after another in one buffer.
         taken = packed.take(found.indices)
         at = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, 4 * taken.offset) if len(taken) else np.zeros(1, np.int32)
-        offsets = words.offsets.to_numpy()
-        edges = at[offsets - offsets[0]].tolist()
+        edges = at[begins].tolist()
         raw = taken.buffers()[2]
         return [raw[a:b].to_pybytes() if b > a else b"" for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -189,13 +214,14 @@ class LibraryEncoder(Splitter):
         """As ``encode_all``; a null text is as an empty one."""
         texts = texts.cast(pa.string()).fill_null("")
         sizes = pc.binary_length(texts).to_numpy()
-        apart = pc.match_substring_regex(texts, self.plain).to_numpy(zero_copy_only=False) | (sizes > AT_ONCE)
-        group = np.where(apart, 0, np.cumsum(np.where(apart, 0, sizes)) // AT_ONCE + 1)
+        apart = pc.match_substring_regex(texts, self.apart).to_numpy(zero_copy_only=False) | (sizes > AT_ONCE)
+        group = np.where(apart, -1, np.cumsum(np.where(apart, 0, sizes)) // AT_ONCE)
         out: list[bytes] = [b""] * len(texts)
-        for k in np.unique(group).tolist():
-            at = np.flatnonzero(group == k)
-            some = [self.encode_all([texts[i].as_py()])[0] for i in at.tolist()] if k == 0 else self._together(texts.take(pa.array(at)))
-            for i, ids in zip(at.tolist(), some, strict=True):
+        for i in np.flatnonzero(apart).tolist():
+            out[i] = self.encode_all([texts[i].as_py()])[0]
+        for k in np.unique(group[~apart] // GROUPS).tolist():
+            own = [np.flatnonzero(group == g) for g in range(k * GROUPS, (k + 1) * GROUPS)]
+            for i, ids in zip(np.concatenate(own).tolist(), self._together([texts.take(pa.array(at)) for at in own]), strict=True):
                 out[i] = ids
         return out
 
@@ -265,8 +291,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> No
         own = _encoder(vocabulary)
         end = np.array([END], f"<u{own.width}").tobytes()
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+            cuts = [0, *(np.flatnonzero(np.diff(size // (GROUPS * AT_ONCE))) + 1).tolist(), batch.num_rows]
+            for i, end in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(i, end - i)
                 keys = part.column(0).to_pylist()
                 place = [0 if k is None else int(np.searchsorted(bounds, k, side="left")) for k in keys]
                 ids = pa.array([x + end for x in own.encode_array(part.column(1))], pa.binary())
