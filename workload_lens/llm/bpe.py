@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,10 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 #: Default vocabulary; any path of a byte-level BPE file in the format of the tokenizers library may be given.
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries that a worker keeps of each memo before it starts a new one.
-MEMO = 250_000
+MEMO = 150_000
 
 #: The pre-token pattern of byte-level BPE, with white space by its Unicode property.
 PRE_TOKEN = (
@@ -137,7 +140,7 @@ class Codec(Splitter):
         for rank, merge in enumerate(self.spec["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.merges[vocabulary[a], vocabulary[b]] = rank, vocabulary[a + b]
-        self.fragments: dict[bytes, list[int]] = {}
+        self.fragments: dict[bytes, bytes] = {}
         self.tokens: dict[str, bytes] = {}
         del self.spec
 
@@ -179,17 +182,18 @@ class Codec(Splitter):
 
     def _new(self, token: str) -> bytes:
         if token in self.special:
-            ids = [self.special[token]]
+            parts = [struct.pack("<I", self.special[token])]
         else:
-            ids = []
+            parts = []
             for fragment in self.cuts(token.encode()):
                 got = self.fragments.get(fragment)
                 if got is None:
                     if len(self.fragments) >= MEMO:
                         self.fragments.clear()
-                    got = self.fragments[fragment] = self.merged(fragment)
-                ids += got
-        out = np.array(ids, "<u4").tobytes()
+                    ids = self.merged(fragment)
+                    got = self.fragments[fragment] = struct.pack(f"<{len(ids)}I", *ids)
+                parts.append(got)
+        out = b"".join(parts)
         if len(token) <= 64:
             if len(self.tokens) >= MEMO:
                 self.tokens.clear()
@@ -218,7 +222,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [own.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -231,7 +235,7 @@ def decoded(ids: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if x is None else own.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -244,7 +248,7 @@ def digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             rows: tuple[list, list, list] = ([], [], [])
             for text in batch.column(1).to_pylist():
                 ids = own.encode(text)

@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 from .near_duplicates import text_node
 
 #: Bytes of a string that counts, and of the pieces that anchors are chosen from.
 LENGTH, PIECE = 400, 64
 #: Segments of an anchor that are dealt together, and windows that are put in order at a time.
 TOGETHER, AT_ONCE = 256, 100_000
-#: Starts that anchors are found for at a time; windows reach over the border.
-STRETCH = 1 << 22
+#: Starts that anchors are found for at a time; windows reach over the border. Every worker has two tables of 8 bytes for each.
+STRETCH = 1 << 18
 
 _BASE = 0xD6E8FEB86659FD93
 _PLACE = np.uint64((1 << 24) - 1)
@@ -255,7 +255,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, piece: int = PIECE, a
     docs = texts.select("id", "node", "scope", "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cols: tuple[list, ...] = ([], [], [], [], [], [])
             for scope, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 raw = text.encode()
@@ -292,7 +292,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, piece: int = PIECE, a
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for node, copies, text, keys, firsts, lasts, chosen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw, seen, parts_of = text.encode(), {}, {w["key"]: w["parts"] for w in chosen}
@@ -320,7 +320,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, piece: int = PIECE, a
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         windows, group = 0, None
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 if windows >= AT_ONCE and (row["key"], row["part"]) != group:
                     yield _settle(rows, length, across)
@@ -348,7 +348,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, piece: int = PIECE, a
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         group = None
-        for batch in batches:
+        for batch in slices(batches):
             for key, bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if rows and (key, bucket) != group:
                     yield _batch(_meet(rows, length), _MET)
@@ -414,7 +414,7 @@ def removal(docs: DataFrame) -> DataFrame:
     spans = _document_spans(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cols: tuple[list, list, list, list] = ([], [], [], [])
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw, gone = (text or "").encode(), merged(spans)
@@ -440,7 +440,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     spans = _document_spans(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [
                 None if t is None else kept_bytes(t.encode(), merged(s)).decode("utf-8", "ignore")
                 for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
