@@ -22,3 +22,11 @@ def test_groups_share_their_lookups(monkeypatch):
     monkeypatch.setattr(tf, "AT_ONCE", 8)
     assert own.encode_array(pa.array(["ab  cd", "ab  cd", "ab"])) == own.encode_all(["ab  cd", "ab  cd", "ab"])
     assert seen[:3] == ["ab", " ", " cd"] and len(seen) == 6
+
+
+def test_every_row_is_written_with_its_end(spark, tmp_path):
+    docs = spark.createDataFrame([(i, None if i % 5 == 0 else "ab  cd " * i) for i in range(40)], "doc_id long, text string").coalesce(1)
+    own = tf._encoder(tf.VOCABULARY)
+    rows = tf.token_table(docs, str(tmp_path / "files")).collect()
+    want = {i: len(own.encode_all([None if i % 5 == 0 else "ab  cd " * i])[0]) // own.width + 1 for i in range(40)}
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == want

@@ -293,8 +293,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> No
         for batch in batches:
             size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
             cuts = [0, *(np.flatnonzero(np.diff(size // (GROUPS * AT_ONCE))) + 1).tolist(), batch.num_rows]
-            for i, end in zip(cuts, cuts[1:], strict=False):
-                part = batch.slice(i, end - i)
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(i, j - i)
                 keys = part.column(0).to_pylist()
                 place = [0 if k is None else int(np.searchsorted(bounds, k, side="left")) for k in keys]
                 ids = pa.array([x + end for x in own.encode_array(part.column(1))], pa.binary())
