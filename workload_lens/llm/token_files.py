@@ -37,7 +37,7 @@ BLOCK_DOCS, BLOCK_IDS, BUCKET_DOCS, MAX_BUCKETS = 1024, 1_000_000, 2048, 10_000
 #: Numbers of a sequence from one kept place to the next.
 SAMPLE = 256
 #: Entries of a worker's memo of pre-tokens, and bytes of texts split at a time; longer texts are encoded on their own.
-MEMO, AT_ONCE = 400_000, 4 << 20
+MEMO, AT_ONCE = 400_000, 1 << 20
 #: Groups of so many bytes whose pre-tokens are looked up together, and that the encoder hands on at a time.
 GROUPS = 4
 #: Kinds of characters, as far as pre-tokens tell them apart.
@@ -184,9 +184,9 @@ class LibraryEncoder(Splitter):
         first[quote[short] + 2] = True
         first[quote[long] + 3] = True
         edges = np.flatnonzero(first[:n])
-        places = np.arange(n + 1)
-        places[1:] += np.cumsum(codes[:n] >= 0x80)  # in UTF-8, where characters up to BEYOND take two bytes at most
-        places = np.append(places[edges], places[n]).astype(np.int32)
+        places = np.arange(n + 1, dtype=np.int32)
+        places[1:] += np.cumsum(codes[:n] >= 0x80, dtype=np.int32)  # in UTF-8, where characters up to BEYOND take two bytes at most
+        places = np.append(places[edges], places[n])
         found = pa.Array.from_buffers(pa.string(), len(edges), [None, pa.py_buffer(places), pa.py_buffer(joined.encode())])
         return found, np.searchsorted(edges, borders)
 
