@@ -58,3 +58,22 @@ def test_members_that_no_representative_joins_are_compared(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 16, raising=False)
     got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(docs).collect()}
     assert [got[i] for i in range(len(texts))] == expected
+
+
+def test_members_of_a_crowd_meet_their_shingles_once(spark, monkeypatch):
+    """What blocks are compared from has a row for each two blocks, not one for each member of them."""
+    make = np.random.default_rng(3)
+    _, texts = variants(make, "w", 96, 40, 3)
+    bags = [np.sort(near_duplicates.shingles(t)).tobytes() for t in texts]
+    names = [f"{i:02}".encode() for i in range(len(texts))]
+    place = spark.createDataFrame([(1, n, n) for n in names], "bucket long, node binary, comp binary")
+    table = spark.createDataFrame(list(zip(names, bags, strict=True)), "node binary, bag binary")
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16)
+    compared = []
+    arrow = type(place).mapInArrow
+    monkeypatch.setattr(type(place), "mapInArrow", lambda df, *a, **k: compared.append(df) or arrow(df, *a, **k))
+    idf = np.ones(near_duplicates.BINS, np.float32)
+    links = {(bytes(r["a"]), bytes(r["b"])) for r in near_duplicates._rest(place, table, idf, 0.6).collect()}
+    assert compared[-1].count() == 6 * 6  # 6 blocks alone, and 15 pairs of 2
+    near = {(names[i], names[j]) for i in range(96) for j in range(i) if near_duplicates._similar(bags[i], bags[j], idf) >= 0.6}
+    assert links <= near and {n for pair in links for n in pair} == {n for pair in near for n in pair}

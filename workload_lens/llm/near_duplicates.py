@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 from .graph import components
 
 #: Words of a shingle and the least similarity of a link.
@@ -338,15 +338,16 @@ def _rest(place: DataFrame, bags: DataFrame, idf: np.ndarray, similarity: float)
     large, deal = F.col("c") >= BLOCK, F.xxhash64("node")
     own = F.when(large, F.col("comp"))
     block = F.xxhash64(own, F.pmod(deal, F.ceil(F.when(large, F.col("c")).otherwise(F.col("rest")) / BLOCK)))
-    dealt = stored(
-        place.join(sizes, ["bucket", "comp"]).join(rest, "bucket", "left").select("bucket", "node", "comp", block.alias("block"), own.alias("own"))
-    )
-    blocks = dealt.select("bucket", "block", "own").distinct()
+    dealt = place.join(sizes, ["bucket", "comp"]).join(rest, "bucket", "left").select("bucket", "node", "comp", block.alias("block"), own.alias("own"))
+    # Members meet their bags once, and blocks are packed in a row before each goes to every other that it meets.
+    member = F.struct("node", "comp", "bag")
+    packed = stored(dealt.join(bags, "node").groupBy("bucket", "block", "own").agg(F.collect_list(member).alias("members")))
+    blocks = packed.select("bucket", "block", "own")
     one, two = blocks.alias("x"), blocks.alias("y")
     meet = one.join(two, F.expr("x.bucket = y.bucket and x.block <= y.block and (x.own is null or y.own is null or x.own != y.own)"))
     seats = F.expr("if(x.block = y.block, array(struct(0 as side, x.block as block)), array(struct(0 as side, x.block as block), struct(1 as side, y.block as block)))")
     meet = meet.select("x.bucket", F.col("x.block").alias("one"), F.col("y.block").alias("two"), F.explode(seats).alias("s"))
-    rows = meet.select("bucket", "one", "two", "s.side", "s.block").join(dealt.drop("own"), ["bucket", "block"]).join(bags, "node")
+    rows = meet.select("bucket", "one", "two", "s.side", "s.block").join(packed.drop("own"), ["bucket", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -355,18 +356,18 @@ def _rest(place: DataFrame, bags: DataFrame, idf: np.ndarray, similarity: float)
 
         rows: list[tuple] = []
         group = None
-        for batch in batches:
-            for bucket, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in slices(batches, 1):
+            for bucket, x, y, side, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if rows and (bucket, x, y) != group:
                     yield out(rows)
                     rows = []
                 group = (bucket, x, y)
-                rows.append(tuple(row))
+                rows.extend((side, m["node"], m["comp"], m["bag"]) for m in members)
         if rows:
             yield out(rows)
 
     key = ("bucket", "one", "two")
-    return rows.select(*key, "side", "node", "comp", "bag").repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(run, "a binary, b binary")
+    return rows.select(*key, "side", "members").repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(run, "a binary, b binary")
 
 
 def _frequent_draws(sample: DataFrame) -> DataFrame:
