@@ -9,12 +9,15 @@ the buckets of first bytes; neighbours in this order with a common prefix of 400
 An anchor that comes back very often is dealt to several tasks. Each settles what repeats within it, and hands on the
 digests of its different windows, packed by bucket; a digest from two tasks is a repeated window. A bucket has about as
 many windows as a task, so no group has to fit one task.
+
+Passages are found in the same way: there a text is a row of codes of its words, and a window has 51 of them.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,25 @@ TOGETHER, AT_ONCE = 256, 100_000
 #: Starts that anchors are found for at a time; windows reach over the border. Every worker has two tables of 8 bytes for each.
 STRETCH = 1 << 18
 
+
+
+class Rule(NamedTuple):
+    """What counts as repeated: a string of ``length`` symbols, bytes or words, whose anchors are pieces of ``piece`` symbols.
+
+    A symbol is coded in ``width`` bytes: 1 for a byte, which is its own code, 4 for a word. With ``across`` a string
+    counts if two texts have it; else if it starts anywhere else, in the same text or in a copy too.
+    """
+
+    length: int
+    piece: int
+    width: int = 1
+    across: bool = False
+
+
+#: Passages of over 50 words that several texts have. Words are what white space of ASCII parts.
+PASSAGES = Rule(51, 16, 4, True)
+
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
 _BASE = 0xD6E8FEB86659FD93
 _PLACE = np.uint64((1 << 24) - 1)
 _BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
@@ -52,26 +74,51 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def anchors(raw: bytes, length: int = LENGTH, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end."""
+    edges = np.flatnonzero(np.diff(~_SPACE[np.frombuffer(raw, np.uint8)], prepend=False, append=False))
+    return edges[::2], edges[1::2]
+
+
+def word_codes(raw: bytes) -> bytes:
+    """A text as codes of 4 bytes, digests of its words; each different word is hashed once."""
+    import xxhash
+
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends = word_places(raw)
+    places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    letters = data[~_SPACE[data]].tobytes()
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(letters)]).dictionary_encode()
+    different = words.dictionary.to_pylist()
+    return np.fromiter(map(xxhash.xxh32_intdigest, different), np.uint32, len(different))[words.indices.to_numpy()].tobytes()
+
+
+def coded(raw: bytes, rule: Rule) -> bytes:
+    return raw if rule.width == 1 else word_codes(raw)
+
+
+def anchors(raw: bytes, length: int = LENGTH, piece: int = PIECE, width: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the anchors of a text, and the first and last start of the windows that each belongs to.
 
-    Every start of a window belongs to exactly one anchor: the leftmost piece in the window with the least hash.
+    Every start of a window belongs to exactly one anchor: the leftmost piece in the window with the least hash. All
+    are counted in symbols of ``width`` bytes.
     """
     keys, firsts, lasts = [], [], []
-    data = np.frombuffer(raw, np.uint8)
+    data = np.frombuffer(raw, np.uint8 if width == 1 else np.uint32)
     places = length - piece + 1  # of a piece in a window
     for at in range(0, len(data) - length + 1, STRETCH):
         part = data[at : at + STRETCH + length - 1]
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTES[part] * _UP[: len(part)], out=sums[1:])
+        values = _BYTES[part] if width == 1 else _mixed(part.astype(np.uint64) * np.uint64(_BASE))
+        np.cumsum(values * _UP[: len(part)], out=sums[1:])
         n = len(part) - piece + 1
         hashes = _mixed((sums[piece:] - sums[:n]) * _DOWN[:n])
         least = (hashes & ~_PLACE) | np.arange(n, dtype=np.uint64)
-        width = 1
-        while width * 2 <= places:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        rest = places - width
+        reach = 1
+        while reach * 2 <= places:
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
+        rest = places - reach
         if rest:
             least = np.minimum(least[:-rest], least[rest:])
         change = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
@@ -161,19 +208,20 @@ def _spans(starts: np.ndarray, length: int) -> list[dict[str, int]]:
     return [{"first": a, "end": b + length} for a, b in zip(*(x.tolist() for x in _runs(starts)), strict=True)]
 
 
-def _settle(rows: list[dict], length: int, across: bool) -> pa.RecordBatch:
+def _settle(rows: list[dict], rule: Rule) -> pa.RecordBatch:
     """What is repeated among some segments, as spans; and digests of windows that other tasks may have too.
 
     Only windows with one anchor, and so of one scope, are compared. Those of an anchor that is dealt to several tasks
     are handed on in a row for each anchor and bucket of digests: the digest of each different window, and for one that
     is not settled here its start and node. With ``across`` a window counts as repeated only if two nodes have it.
     """
+    width, length = rule.width, rule.length * rule.width
     raw = b"".join(r["bytes"] for r in rows)
     sizes = np.array([len(r["bytes"]) for r in rows])
     begin = np.concatenate([[0], np.cumsum(sizes)])
     chosen = np.zeros(len(raw), bool)
     for at, size in zip(begin.tolist(), sizes.tolist(), strict=False):
-        chosen[at : at + size - length + 1] = True
+        chosen[at : at + size - length + 1 : width] = True
     order, classes = repeated_starts(raw, chosen, length)
     owner = np.searchsorted(begin, order, side="right") - 1
     keys, anchor = np.unique(np.array([r["key"] for r in rows], np.int64), return_inverse=True)
@@ -186,7 +234,7 @@ def _settle(rows: list[dict], length: int, across: bool) -> pa.RecordBatch:
     shared = np.array([r["parts"] > 1 for r in rows])
     number: dict[bytes, int] = {}
     node_of = np.array([number.setdefault(r["node"], len(number)) for r in rows])
-    if across:
+    if rule.across:
         nodes = node_of[owner]
         settled = np.minimum.reduceat(nodes, heads) != np.maximum.reduceat(nodes, heads)
     else:
@@ -196,7 +244,7 @@ def _settle(rows: list[dict], length: int, across: bool) -> pa.RecordBatch:
     for k, at in zip(*np.unique(np.searchsorted(begin, again, side="right") - 1, return_index=True), strict=True):
         own = again[at : np.searchsorted(again, begin[k + 1])]
         if not decided[k]:
-            out.append((rows[k]["node"], _spans(own - begin[k] + rows[k]["first"], length), None, None, None, None, None))
+            out.append((rows[k]["node"], _spans((own - begin[k]) // width + rows[k]["first"], rule.length), None, None, None, None, None))
     packs: dict[tuple[int, int], tuple[list, list]] = {}
     for head, end in zip(heads.tolist(), np.append(heads[1:], len(order)).tolist(), strict=True):
         row = rows[owner[head]]
@@ -212,7 +260,7 @@ def _settle(rows: list[dict], length: int, across: bool) -> pa.RecordBatch:
         for i in range(head, end):
             k = int(owner[i])
             digests.append(digest)
-            places.append((node_of[k], rows[k]["first"] + int(order[i]) - int(begin[k]), int(i == head)))
+            places.append((node_of[k], rows[k]["first"] + (int(order[i]) - int(begin[k])) // width, int(i == head)))
     named = list(number)
     for (key, bucket), (digests, places) in packs.items():
         table = np.array(places, np.int64)
@@ -252,70 +300,92 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, piece: int = PIECE, a
     are compared. With ``across`` a string counts if two nodes have it; else if it starts anywhere else, in the same text
     or in a copy too.
     """
+    (spans,) = spans_by_rule(texts, [Rule(length, piece, across=across)])
+    return stored(spans)
+
+
+def spans_by_rule(texts: DataFrame, rules: list[Rule]) -> list[DataFrame]:
+    """As ``repeated_spans`` for each rule, in its symbols; texts are read and dealt together for all of them."""
     docs = texts.select("id", "node", "scope", "text")
 
+    def keys_of(raw: bytes, scope: int, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, first, last = anchors(raw, *rule[:3])
+        return (keys ^ np.uint64(scope % 2**64)).view(np.int64), first, last
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = pa.list_(pa.int64())
         for batch in slices(batches):
-            cols: tuple[list, ...] = ([], [], [], [], [], [])
+            sizes: list[int] = []
+            cols: list[list] = [[] for _ in columns]
             for scope, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 raw = text.encode()
-                keys, first, last = anchors(raw, length, piece)
-                keys = (keys ^ np.uint64(scope % 2**64)).view(np.int64)
-                for column, value in zip(cols, (len(raw), keys, first, last, *np.unique(keys, return_counts=True)), strict=True):
+                sizes.append(len(raw))
+                found = [x for rule in rules for x in np.unique(keys_of(coded(raw, rule), scope, rule)[0], return_counts=True)]
+                for column, value in zip(cols, found, strict=True):
                     column.append(value)
-            many = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), *(pa.array(c, many) for c in cols[1:])],
-                ["id", "node", "size", "keys", "firsts", "lasts", "own", "times"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *(pa.array(c, many) for c in cols)],
+                ["id", "node", "size", *columns],
             )
 
     kind = dict(docs.dtypes)["id"]
-    arrays = ("keys", "firsts", "lasts", "own", "times")
-    marked = docs.mapInArrow(find, f"id {kind}, node binary, size long, " + ", ".join(f"{c} array<long>" for c in arrays))
+    columns = [f"{c}{i}" for i in range(len(rules)) for c in ("own", "times")]
+    marked = docs.mapInArrow(find, f"id {kind}, node binary, size long, " + ", ".join(f"{c} array<long>" for c in columns))
     distinct = stored(
         marked.groupBy("node").agg(
-            F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in arrays]
+            F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in columns]
         )
     )
-    # A row for each text and key, so that a text made of one phrase has one, however often the phrase comes.
-    places = distinct.select("node", F.explode(F.arrays_zip("own", "times")).alias("p")).select("node", F.col("p.own").alias("key"), "p.times")
-    often = places.groupBy("key").agg(F.sum("times").alias("n"), F.count("*").alias("texts")).where("n > 1")
-    parts = F.ceil(F.greatest("texts", F.col("n") / 8) / TOGETHER)
-    keys = places.join(often, "key").groupBy("node").agg(F.collect_list(F.struct("key", parts.alias("parts"))).alias("wanted"))
-    wanted = distinct.select("node", "first_id", "copies", "keys", "firsts", "lasts").join(keys, "node")
+    keys = None
+    for i, rule in enumerate(rules):
+        # A row for each text and key, so that a text made of one phrase has one, however often the phrase comes.
+        places = distinct.select("node", F.explode(F.arrays_zip(F.col(f"own{i}").alias("key"), F.col(f"times{i}").alias("times"))).alias("p")).select("node", "p.*")
+        often = places.groupBy("key").agg(F.sum("times").alias("n"), F.count("*").alias("texts")).where("texts > 1" if rule.across else "n > 1")
+        parts = F.ceil(F.greatest("texts", F.col("n") / 8) / TOGETHER)
+        of_rule = places.join(often, "key").select("node", F.struct(F.lit(i).alias("rule"), "key", parts.alias("parts")).alias("k"))
+        keys = of_rule if keys is None else keys.unionByName(of_rule)
+    wanted = distinct.select("node", "first_id", "copies").join(keys.groupBy("node").agg(F.collect_list("k").alias("wanted")), "node")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spots = pa.list_(pa.list_(pa.int64()))
         schema = pa.schema(
-            [("key", pa.int64()), ("parts", pa.int64()), ("content", pa.binary()), ("weight", pa.int64()), ("node", pa.binary()), ("spots", pa.list_(pa.list_(pa.int64()))), ("bytes", pa.binary())]
+            [("rule", pa.int32()), ("key", pa.int64()), ("parts", pa.int64()), ("content", pa.binary()), ("weight", pa.int64()), ("node", pa.binary()), ("spots", spots), ("bytes", pa.binary())]
         )
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
         for batch in slices(batches):
             rows: list[tuple] = []
-            for node, copies, text, keys, firsts, lasts, chosen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw, seen, parts_of = text.encode(), {}, {w["key"]: w["parts"] for w in chosen}
-                for key, first, last in zip(keys, firsts, lasts, strict=True):
-                    if key in parts_of:
-                        # Equal segments of a text are one; only where texts are told apart each stands for itself.
-                        segment = raw[first : last + length]
-                        seen.setdefault((key, segment, first if across else None), []).append((first, last))
-                for (key, segment, _), spots in seen.items():
-                    content = hashlib.blake2b(segment, digest_size=16).digest()
-                    rows.append((key, parts_of[key], content, len(spots) * copies, node, spots, segment))
+            for node, copies, scope, text, chosen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for i, rule in enumerate(rules):
+                    parts_of = {w["key"]: w["parts"] for w in chosen if w["rule"] == i}
+                    if not parts_of:
+                        continue
+                    raw, seen = coded(text.encode(), rule), {}
+                    for key, first, last in zip(*(c.tolist() for c in keys_of(raw, scope, rule)), strict=True):
+                        if key in parts_of:
+                            # Equal segments of a text are one; only where texts are told apart each stands for itself.
+                            segment = raw[first * rule.width : (last + rule.length) * rule.width]
+                            seen.setdefault((key, segment, first if rule.across else None), []).append((first, last))
+                    for (key, segment, _), spots in seen.items():
+                        content = hashlib.blake2b(segment, digest_size=16).digest()
+                        rows.append((i, key, parts_of[key], content, len(spots) * copies, node, spots, segment))
                 if len(rows) >= 2000:
-                    yield out(rows)
+                    yield _batch(rows, schema)
                     rows = []
             if rows:
-                yield out(rows)
+                yield _batch(rows, schema)
 
     chosen = docs.alias("d").join(wanted.alias("w"), F.expr("d.node = w.node and d.id <=> w.first_id"))
     segments = stored(
-        chosen.select("d.node", "w.copies", "d.text", "w.keys", "w.firsts", "w.lasts", "w.wanted").mapInArrow(
-            cut, "key long, parts long, content binary, weight long, node binary, spots array<array<long>>, bytes binary"
+        chosen.select("d.node", "w.copies", "d.scope", "d.text", "w.wanted").mapInArrow(
+            cut, "rule int, key long, parts long, content binary, weight long, node binary, spots array<array<long>>, bytes binary"
         )
     )
+    return [_spans_of(segments.where(F.col("rule") == i).drop("rule"), distinct, rule) for i, rule in enumerate(rules)]
+
+
+def _spans_of(segments: DataFrame, distinct: DataFrame, rule: Rule) -> DataFrame:
+    """(node, spans) by one rule, from the segments of the texts that share an anchor with others."""
+    length, across = rule.length, rule.across
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -323,17 +393,19 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, piece: int = PIECE, a
         for batch in slices(batches):
             for row in batch.to_pylist():
                 if windows >= AT_ONCE and (row["key"], row["part"]) != group:
-                    yield _settle(rows, length, across)
+                    yield _settle(rows, rule)
                     rows, windows = [], 0
                 rows.append(row)
-                group, windows = (row["key"], row["part"]), windows + len(row["bytes"]) - length + 1
+                group, windows = (row["key"], row["part"]), windows + len(row["bytes"]) // rule.width - length + 1
         if rows:
-            yield _settle(rows, length, across)
+            yield _settle(rows, rule)
 
     # Equal segments are compared once. What two texts, or two places, have whole is repeated as it is.
-    same = ["key", "content", *(["node", "spots"] if across else [])]
-    one = F.min(F.struct("node", "spots")).alias("one")
-    segment = segments.groupBy(*same).agg(F.sum("weight").alias("weight"), F.first("parts").alias("parts"), one, F.first("bytes").alias("bytes"))
+    one = F.struct("node", "spots")
+    if across:
+        segment = segments.select("key", "content", "weight", "parts", one.alias("one"), "bytes")
+    else:
+        segment = segments.groupBy("key", "content").agg(F.sum("weight").alias("weight"), F.first("parts").alias("parts"), F.min(one).alias("one"), F.first("bytes").alias("bytes"))
     dealt = F.xxhash64(F.col("one.node") if across else F.col("content"))
     found = stored(
         segment.select(
@@ -364,25 +436,33 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, piece: int = PIECE, a
         .sortWithinPartitions("key", "bucket")
         .mapInArrow(meet, f"node binary, spans {_SPAN}")
     )
-    several = segments.groupBy("key", "content").agg(F.sum("weight").alias("n")).where((F.col("n") > 1) & (not across)).select("key", "content")
-    covered = F.transform("spots", lambda s: F.struct(s[0].alias("first"), (s[1] + length).alias("end")))
-    whole = segments.join(several, ["key", "content"]).select("node", covered.alias("spans"))
-    copied = distinct.where((F.col("copies") > 1) & (F.col("size") >= length) & (not across))
-    all_of = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("size").alias("end")))
-    spans = (
-        found.where(F.col("key").isNull()).select("node", "spans")
-        .unionByName(met)
-        .unionByName(whole)
-        .unionByName(copied.select("node", all_of.alias("spans")))
-        .groupBy("node")
-        .agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
-    )
-    return stored(spans)
+    spans = found.where(F.col("key").isNull()).select("node", "spans").unionByName(met)
+    if not across:
+        several = segments.groupBy("key", "content").agg(F.sum("weight").alias("n")).where("n > 1").select("key", "content")
+        covered = F.transform("spots", lambda s: F.struct(s[0].alias("first"), (s[1] + length).alias("end")))
+        whole = segments.join(several, ["key", "content"]).select("node", covered.alias("spans"))
+        copied = distinct.where((F.col("copies") > 1) & (F.col("size") >= length))
+        all_of = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("size").alias("end")))
+        spans = spans.unionByName(whole).unionByName(copied.select("node", all_of.alias("spans")))
+    return spans.groupBy("node").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def _document_spans(docs: DataFrame) -> DataFrame:
+    """(node, spans, passages) of the texts of documents: bytes of repeated strings, and words of passages that others have."""
     text = F.coalesce("text", F.lit("")).alias("text")
-    return repeated_spans(docs.select(F.col("doc_id").alias("id"), text_node(F.col("text")).alias("node"), F.lit(0).cast("long").alias("scope"), text))
+    texts = docs.select(F.col("doc_id").alias("id"), text_node(F.col("text")).alias("node"), F.lit(0).cast("long").alias("scope"), text)
+    strings, words = spans_by_rule(texts, [Rule(LENGTH, PIECE), PASSAGES])
+    none = F.lit(None).cast(_SPAN)
+    both = strings.select("node", "spans", none.alias("passages")).unionByName(words.select("node", none.alias("spans"), F.col("spans").alias("passages")))
+    return stored(both.groupBy("node").agg(F.max("spans").alias("spans"), F.max("passages").alias("passages")))
+
+
+def passage_bytes(raw: bytes, passages: list[dict] | None) -> list[list[int]]:
+    """The bytes of passages, from the first byte of the first word of each to the last of the last."""
+    if not passages:
+        return []
+    starts, ends = word_places(raw)
+    return [[int(starts[a]), int(ends[b - 1])] for a, b in merged(passages)]
 
 
 def merged(spans: list[dict] | None) -> list[list[int]]:
@@ -406,45 +486,48 @@ def _joined(docs: DataFrame, spans: DataFrame, *columns: Column) -> DataFrame:
 
 
 def removal(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_bytes.
 
     A null text is as an empty one; texts of fewer than 400 bytes lose nothing. Equal texts of 400 bytes or more are
-    removed whole, each copy of them. Matches never cross documents, and are judged on the input.
+    removed whole, each copy of them. Matches never cross documents, and are judged on the input. Passages are runs of
+    words in passages of over 50 words that other texts have too, of any number of bytes; they are told and not removed.
     """
     spans = _document_spans(docs)
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            cols: tuple[list, list, list, list] = ([], [], [], [])
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            rows: list[tuple] = []
+            for text, spans, passages in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 raw, gone = (text or "").encode(), merged(spans)
-                kept = kept_bytes(raw, gone)
-                for column, value in zip(cols, (len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
+                kept, shared = kept_bytes(raw, gone), passage_bytes(raw, passages)
+                rows.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), len(shared), sum(b - a for a, b in shared)))
+            cols = [pa.array([r[i] for r in rows], pa.string() if name == "kept_sha256" else pa.int64()) for i, name in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *names])
 
     kind = dict(docs.dtypes)["doc_id"]
     return _joined(docs, spans, F.col("doc_id"), F.col("text")).mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long"
     )
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their columns; repeated bytes are gone from text, and n_chars, if there, counts what is left.
 
+    Passages of over 50 words that other texts have too are gone as well, where they have fewer bytes than a string needs.
     Bytes of a character that is cut go too. Null texts stay null, and a text that is removed whole is empty.
     """
     spans = _document_spans(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [
-                None if t is None else kept_bytes(t.encode(), merged(s)).decode("utf-8", "ignore")
-                for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            ]
+            texts: list[str | None] = []
+            for text, spans, passages in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if text is not None and (spans or passages):
+                    raw = text.encode()
+                    more = [{"first": a, "end": b} for a, b in passage_bytes(raw, passages)]
+                    text = kept_bytes(raw, merged(sorted((spans or []) + more, key=lambda s: s["first"]))).decode("utf-8", "ignore")
+                texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
