@@ -64,3 +64,15 @@ def test_short_passages_go_from_the_texts(spark, rows):
             assert cut[i] == rs.kept_bytes(raw, [list(e) for e in expected[i]]).decode() != text
         elif i in (5, 6, 7, 9, 10):
             assert cut[i] == text
+
+
+def test_codes_of_words_do_not_depend_on_stretches(monkeypatch):
+    raw = ("ab é ab  " + "x" * 90 + " tail\nab " * 40 + "x" * 90).encode()
+    words = raw.split()
+    whole = np.frombuffer(rs.word_codes(raw), np.uint32)
+    assert len({(w, int(c)) for w, c in zip(words, whole, strict=True)}) == len(set(words)) == len(set(whole.tolist()))
+    monkeypatch.setattr(rs, "STRETCH", 50)  # shorter than a word
+    parts = np.frombuffer(rs.word_codes(raw), np.uint32)
+    short = np.array([len(w) <= 50 for w in words])
+    assert (parts == whole)[short].all() and len(set(parts[~short].tolist())) == len({w for w in words if len(w) > 50})
+    assert rs.word_codes(b" \n") == rs.word_codes(b"") == b""

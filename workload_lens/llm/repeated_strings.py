@@ -81,16 +81,25 @@ def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_codes(raw: bytes) -> bytes:
-    """A text as codes of 4 bytes, digests of its words; each different word is hashed once."""
-    import xxhash
-
+    """A text as codes of 4 bytes, digests of its words; words of a stretch are hashed together."""
     data = np.frombuffer(raw, np.uint8)
     starts, ends = word_places(raw)
-    places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    letters = data[~_SPACE[data]].tobytes()
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(letters)]).dictionary_encode()
-    different = words.dictionary.to_pylist()
-    return np.fromiter(map(xxhash.xxh32_intdigest, different), np.uint32, len(different))[words.indices.to_numpy()].tobytes()
+    codes = np.empty(len(starts), np.uint32)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = int(np.searchsorted(ends, base + STRETCH, side="right"))
+        if to == at:  # a word longer than a stretch
+            codes[at] = int.from_bytes(hashlib.blake2b(raw[base : ends[at]], digest_size=4).digest(), "little")
+            at += 1
+            continue
+        part = data[base : ends[to - 1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[part] * _UP[: len(part)], out=sums[1:])
+        first, end = starts[at:to] - base, ends[at:to] - base
+        codes[at:to] = _mixed((sums[end] - sums[first]) * _DOWN[first]) >> np.uint64(32)
+        at = to
+    return codes.tobytes()
 
 
 def coded(raw: bytes, rule: Rule) -> bytes:
